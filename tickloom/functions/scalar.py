@@ -74,8 +74,8 @@ def bar_clock(day: Column, bucket: Column, bar_seconds: int = BAR_SECONDS) -> Co
 
 def try_parse_date(text: Column) -> Column:
     """``YYYY-MM-DD`` or ``YYYYMMDD``; NULL when neither fits."""
-    dashed = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, F.lit("yyyy-MM-dd")))
-    packed = F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, F.lit("yyyyMMdd")))
+    dashed = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
+    packed = F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd"))
     return F.coalesce(dashed, packed)
 
 

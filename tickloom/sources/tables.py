@@ -38,7 +38,7 @@ def read_daily_folders(spark: SparkSession, root: str, symbols: Iterable[str] |
     """Quotes of all daily folders in one scan, the date taken from the folder name."""
     stored = QUOTE_SCHEMA.fields[:-1]
     rows = spark.read.schema(type(QUOTE_SCHEMA)(stored)).option("recursiveFileLookup", True).parquet(root)
-    day = F.try_to_date(F.regexp_extract("_metadata.file_path", r"/nbbom_(\d{8})/[^/]+$", 1), F.lit("yyyyMMdd"))
+    day = F.try_to_date(F.regexp_extract("_metadata.file_path", r"/nbbom_(\d{8})/[^/]+$", 1), "yyyyMMdd")
     dated = rows.withColumn("date", day).filter(F.col("date").isNotNull())
     prices = ["best_bid", "best_bidsiz", "best_ask", "best_asksiz"]
     return select_quotes(dated, symbols).withColumns({c: nan_to_null(F.col(c)) for c in prices})
