@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def pair_count(x: Column, y: Column) -> Column:
@@ -80,6 +81,6 @@ def f_tail(f_value: float, df1: float, df2: float) -> float:
     return incomplete_beta(df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * f_value))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_tail_udf(f_value: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return pd.Series([f_tail(f, a, b) for f, a, b in zip(f_value, df1, df2)], dtype="float64")

@@ -10,6 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tickloom.functions.stats import f_tail_udf
 from tickloom.operators.evaluation import prediction_metrics
@@ -54,7 +55,7 @@ def _residual_sum(n: float, moments: np.ndarray, size: int) -> float:
     return max(float(n * (cov[0, 0] - cov[1:, 0] @ beta)), 0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _residual_sum_udf(n: pd.Series, moments: pd.Series, size: pd.Series) -> pd.Series:
     """One small solve per aggregated row; no data rows get here."""
     return pd.Series(

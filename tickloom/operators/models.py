@@ -36,6 +36,10 @@ class Experiment:
     target: str = TARGET
 
 
+# Training rows per task: a boosting round is many short jobs, so tiny tasks cost more than they save.
+ROWS_PER_TASK = 100_000
+
+
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
@@ -51,6 +55,8 @@ def fit_trees(
     Trees grow level by level from binned histograms, aggregated on executors.
     """
     shared_dir(train.sparkSession)  # lets the fit checkpoint its running residuals
+    rows = complete_cases(train, features, target).select(*dict.fromkeys((*features, target)))
+    rows = rows.coalesce(max(1, rows.count() // ROWS_PER_TASK))
     trees = GBTRegressor(
         featuresCol="features",
         labelCol=target,
@@ -61,7 +67,7 @@ def fit_trees(
         seed=params.seed,
         maxBins=params.max_bins,
     )
-    return trees.fit(assemble(complete_cases(train, features, target), features).select("features", target))
+    return trees.fit(assemble(rows, features).select("features", target))
 
 
 def predict(model: GBTRegressionModel, df: DataFrame, features: Sequence[str] = FEATURES, target: str = TARGET) -> DataFrame:
@@ -93,7 +99,7 @@ def run_experiments(
     min_train_rows: int = 1,
     params: TreeParams = TreeParams(),
     with_rank_ic: bool = False,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> DataFrame:
     """Fit each experiment on train rows and score it on test rows.
 

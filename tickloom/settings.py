@@ -69,8 +69,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """New path inside the shared folder, different on every call."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """New path inside the shared folder, different on every call.
+
+    All paths of one application lie in one subfolder, to be removed with it.
+    """
+    root = shared_dir(spark).rstrip("/")
+    return f"{root}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df, name: str = "stage"):

@@ -82,11 +82,23 @@ def read_quotes_jdbc(
     return _prices_not_nan(select_quotes(cast, symbols))
 
 
+EVENT_SCHEMA = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+        T.StructField("props", T.StringType()),
+    ]
+)
+
+
 def time_of_day_ns(ts: Column) -> Column:
     """Nanoseconds since midnight of a timestamp without time zone."""
-    whole = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-    micros = (F.date_part(F.lit("SECOND"), ts) % 1) * 1_000_000
-    return whole.cast("long") * NS_PER_SECOND + micros.cast("long") * 1000
+    since_midnight = ts - ts.cast("date").cast("timestamp_ntz")
+    seconds = since_midnight.cast("interval second").cast("decimal(18,6)")
+    return (seconds * NS_PER_SECOND).cast("long")
 
 
 def quotes_from_events(events: DataFrame) -> DataFrame:
@@ -110,4 +122,4 @@ def quotes_from_events(events: DataFrame) -> DataFrame:
 
 
 def read_event_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return quotes_from_events(spark.read.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet"))
