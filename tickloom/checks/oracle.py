@@ -222,7 +222,7 @@ def _granger_sql() -> str:
     extra["sums"] = " UNION ALL ".join(selects)
     extra["tested"] = (
         f"SELECT *, ((rss_r - rss_u) / {width}) / (rss_u / (n - {2 * width})) AS f, (n - {2 * width}) / 2.0 AS half, "
-        f"(rss_r - rss_u) / rss_r AS gain FROM sums WHERE rss_u > 0 AND n > {2 * width}"
+        f"(rss_r - rss_u) / rss_r AS gain FROM sums WHERE rss_u > 1e-12 * rss_r AND n > {2 * width}"
     )
     extra["tail"] = f"SELECT *, 2 * half / (2 * half + {width} * f) AS x FROM tested"
     assert width == 4
@@ -251,7 +251,7 @@ def _granger_1lag_sql() -> str:
     }
     return _compose(
         f"SELECT symbol_a, symbol_b, direction, n, {_round('(left_r - left_u) / (left_u / (n - 2))', 6, 'f_statistic')}, "
-        f"{_round('(left_r - left_u) / left_r', 6, 'rss_reduction')} FROM shares WHERE left_u > 0 AND n > 2",
+        f"{_round('(left_r - left_u) / left_r', 6, 'rss_reduction')} FROM shares WHERE left_u > 1e-12 * left_r AND n > 2",
         1800,
         extra,
     )
