@@ -56,19 +56,30 @@ def bars(spark: SparkSession, sf_dir: str, spec: BarSpec = BarSpec()) -> DataFra
     return events.ofi_bars(quotes(spark, sf_dir), spec)
 
 
+def stored_bars(spark: SparkSession, sf_dir: str, spec: BarSpec = BarSpec()) -> DataFrame:
+    """Bars written and read back, the hand-off between the extraction and later jobs."""
+    return materialize(bars(spark, sf_dir, spec), "bars")
+
+
 def dataset(spark: SparkSession, sf_dir: str, spec: BarSpec = BarSpec(), normalization: str = "training_set") -> DataFrame:
-    """Modelling dataset from stored bars, the hand-off between the two jobs."""
-    stored = materialize(bars(spark, sf_dir, spec), "bars")
-    return modelling_dataset(stored, SPLITS, normalization, spec.bar_seconds)
+    """Modelling dataset from stored bars."""
+    return modelling_dataset(stored_bars(spark, sf_dir, spec), SPLITS, normalization, spec.bar_seconds)
+
+
+def stored_dataset(
+    spark: SparkSession, sf_dir: str, spec: BarSpec = BarSpec(), normalization: str = "training_set"
+) -> DataFrame:
+    """Dataset written and read back, for jobs that read it more than once."""
+    return materialize(dataset(spark, sf_dir, spec, normalization), "dataset")
 
 
 def pair_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = materialize(dataset(spark, sf_dir, PAIR_SPEC), "dataset")
+    stored = stored_dataset(spark, sf_dir, PAIR_SPEC)
     return pairs.pair_bars(stored, pairs.pair_table(spark, PAIRS))
 
 
 def return_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = materialize(dataset(spark, sf_dir, PAIR_SPEC), "dataset")
+    stored = stored_dataset(spark, sf_dir, PAIR_SPEC)
     returns = materialize(prices.bar_returns(prices.price_bars(quotes(spark, sf_dir), PAIR_SPEC)), "returns")
     return pairs.pair_returns(stored, returns, pairs.pair_table(spark, PAIRS))
 
@@ -148,12 +159,12 @@ def partition_discovery(spark, sf_dir):
 
 
 def completeness(spark, sf_dir):
-    stored = materialize(bars(spark, sf_dir), "bars")
+    stored = stored_bars(spark, sf_dir)
     return _comparable(calendar.completeness(stored, quotes(spark, sf_dir).select("date").distinct()))
 
 
 def bar_dedup(spark, sf_dir):
-    stored = materialize(bars(spark, sf_dir), "bars")
+    stored = stored_bars(spark, sf_dir)
     return _comparable(features.dedup_bars(bar_files.coerce_bars(stored.unionByName(stored))))
 
 
@@ -171,7 +182,7 @@ def zscore_expanding(spark, sf_dir):
 
 
 def zscore_train(spark, sf_dir):
-    return _comparable(features.zscore_training(bars(spark, sf_dir), SPLITS.train_end).select(*BAR_KEYS, "ofi", "ofi_z"))
+    return _comparable(features.zscore_training(stored_bars(spark, sf_dir), SPLITS.train_end).select(*BAR_KEYS, "ofi", "ofi_z"))
 
 
 def lag_features(spark, sf_dir):
@@ -180,13 +191,13 @@ def lag_features(spark, sf_dir):
 
 
 def ofi_changes(spark, sf_dir):
-    changes = features.add_ofi_changes(dataset(spark, sf_dir, normalization="daily"))
+    changes = features.add_ofi_changes(stored_dataset(spark, sf_dir, normalization="daily"))
     names = ["next_ofi", "next_ofi_z", "next_ofi_sign", "ofi_change", "ofi_z_change"]
     return _comparable(changes.select(*BAR_KEYS, *names, *(f"ofi_change_lag{k}" for k in (1, 2, 3, 6, 12))))
 
 
 def describe_ofi(spark, sf_dir):
-    return _comparable(evaluation.describe_columns(materialize(bars(spark, sf_dir), "bars"), ["ofi", "n_events", "bucket"]), 6)
+    return _comparable(evaluation.describe_columns(stored_bars(spark, sf_dir), ["ofi", "n_events", "bucket"]), 6)
 
 
 def dataset_profile(spark, sf_dir):
@@ -194,7 +205,7 @@ def dataset_profile(spark, sf_dir):
 
 
 def sequences(spark, sf_dir):
-    blocks = features.sliding_sequences(dataset(spark, sf_dir))
+    blocks = features.sliding_sequences(stored_dataset(spark, sf_dir))
     steps = blocks.select("symbol", "split", "row_no", "y", F.posexplode("x").alias("step", "values"))
     return _comparable(
         steps.select(
@@ -220,7 +231,7 @@ def lead_lag(spark, sf_dir):
 
 
 def acf(spark, sf_dir):
-    return _comparable(pairs.autocorrelation(dataset(spark, sf_dir)))
+    return _comparable(pairs.autocorrelation(stored_dataset(spark, sf_dir)))
 
 
 def metrics(spark, sf_dir):
@@ -240,13 +251,13 @@ def model_report(spark, sf_dir):
 
 
 def ar1_ols(spark, sf_dir):
-    stored = materialize(dataset(spark, sf_dir), "dataset")
+    stored = stored_dataset(spark, sf_dir)
     train, _, test = features.split_frames(stored)
     return _comparable(linear.ols_predict(train, test, ["lag1"]).select(*BAR_KEYS, F.col(TARGET).alias("y"), "p"), 6)
 
 
 def ar_p(spark, sf_dir):
-    return _comparable(linear.ar_baselines(materialize(dataset(spark, sf_dir), "dataset")), 6)
+    return _comparable(linear.ar_baselines(stored_dataset(spark, sf_dir)), 6)
 
 
 def granger_1lag(spark, sf_dir):
@@ -259,7 +270,7 @@ def granger(spark, sf_dir):
 
 
 def _fitted(spark, sf_dir):
-    stored = materialize(dataset(spark, sf_dir), "dataset")
+    stored = stored_dataset(spark, sf_dir)
     return stored, models.fit_trees(stored.filter("split = 'train'"))
 
 
@@ -282,7 +293,7 @@ def ablation(spark, sf_dir):
 
 
 def change_suite(spark, sf_dir):
-    return suites.change_suite(features.add_ofi_changes(materialize(dataset(spark, sf_dir), "dataset")))
+    return suites.change_suite(features.add_ofi_changes(stored_dataset(spark, sf_dir)))
 
 
 def cross_suite(spark, sf_dir):

@@ -97,7 +97,8 @@ def history_positions(
 
     Bars are unique per (keys, day, bucket), so a day holds at most
     86400 / bar_seconds of them and the per-day window is bounded. Only one
-    count per day goes through the per-key window.
+    count per day goes through the per-key window. The counts read ``df`` a
+    second time (its keys only): hand in a stored frame, not a long pipeline.
     """
     days = df.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.stats import pair_count, safe_corr
 from tickloom.operators.ordered import shift_columns
-from tickloom.settings import ACF_LAGS, CHUNK_ROWS, PAIR_LAGS
+from tickloom.settings import ACF_LAGS, CHUNK_ROWS, PAIR_LAGS, materialize
 
 PAIR_KEYS = ["symbol_a", "symbol_b"]
 
@@ -48,14 +48,15 @@ def pair_shifts(
 ) -> DataFrame:
     """Lags and next-bar values of both sides along a pair's matched bars.
 
-    ``lagged`` and ``targets`` map column stems (without side) to output stems.
+    Positions need a day count besides the rows, so the join is stored first
+    and done once. ``lagged`` and ``targets`` map column stems (without side) to output stems.
     """
     shifts: dict[str, tuple[str, int]] = {}
     for side in ("a", "b"):
         for stem, out in lagged.items():
             shifts.update({f"{side}_{out}{k}": (f"{side}_{stem}", k) for k in lags})
         shifts.update({f"{side}_{out}": (f"{side}_{stem}", -1) for stem, out in targets.items()})
-    return shift_columns(wide, PAIR_KEYS, shifts, chunk_rows)
+    return shift_columns(materialize(wide, "pairs"), PAIR_KEYS, shifts, chunk_rows)
 
 
 def pair_bars(dataset: DataFrame, pairs: DataFrame, lags: Sequence[int] = PAIR_LAGS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -54,11 +54,12 @@ def read_bar_files(spark: SparkSession, path: str, skip_combined: bool = True) -
 def write_bar_partitions(bars: DataFrame, path: str, partition_by: Sequence[str] = ("date",)) -> None:
     """Replace exactly the partitions present in ``bars``.
 
+    The rebalance lets AQE merge small days into one task and split a huge one.
     By day as a rule: a directory per (symbol, day) means one tiny file per
     symbol-day, but ``("symbol", "date")`` gives just that where it is wanted.
     """
     (
-        bars.repartition(*partition_by)
+        bars.hint("rebalance", *partition_by)
         .sortWithinPartitions(*partition_by, "symbol", "bucket")
         .write.partitionBy(*partition_by)
         .mode("overwrite")
