@@ -67,3 +67,17 @@ def test_suite_definitions():
     assert len(price) == 12 and len(price["b:price_plus_ofi_both"].features) == 16
     assert price["a:price_only_own"].target == "a_ret_next"
     assert suites.ABLATIONS["full_model"] == FEATURES
+
+
+def test_training_job(spark, frame, tmp_path):
+    from tickloom.plans.training import train_trees
+    from tickloom.sources.metrics import read_metric_records, split_scores
+
+    model = train_trees(frame, str(tmp_path / "trees_metrics.json"), str(tmp_path / "model"), ["x", "noise"], params=QUICK)
+    records = read_metric_records(spark, str(tmp_path)).persist()
+    record = records.first()
+    assert record.params["n_estimators"] == "5" and record.feature_importance == models.importance_by_name(model, ["x", "noise"])
+    want = {r.split: r.mse for r in models.evaluate_splits(model, frame, ["x", "noise"]).collect()}
+    assert split_scores(records, "test").first().mse == pytest.approx(want["test"])
+    assert split_scores(records, "validation").first().mse == pytest.approx(want["val"])
+    assert models.load_model(str(tmp_path / "model")).getNumTrees == 5

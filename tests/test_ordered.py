@@ -41,8 +41,8 @@ def test_row_positions_are_exact(spark, max_rows):
     got = ordered.row_positions(df, ["k"], ["t", "seq"], max_rows).toPandas()
     for _, group in got.groupby("k"):
         group = group.sort_values(["t", "seq"])
-        assert group.rn_first.tolist() == list(range(1, len(group) + 1))
-        assert group.rn_last.tolist() == list(range(len(group), 0, -1))
+        assert group.from_start.tolist() == list(range(1, len(group) + 1))
+        assert group.from_end.tolist() == list(range(len(group), 0, -1))
 
 
 def test_hot_groups_are_cut_and_cold_ones_are_not(spark):

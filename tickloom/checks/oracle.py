@@ -47,10 +47,10 @@ PARTS = {
     "flow": """
         SELECT symbol, date, bucket, time_ns, seq, best_bid, best_bidsiz, best_ask, best_asksiz,
                prev_bid, prev_bidsiz, prev_ask, prev_asksiz,
-               CASE WHEN best_bid > prev_bid THEN best_bidsiz WHEN best_bid < prev_bid THEN -prev_bidsiz
-                    ELSE best_bidsiz - prev_bidsiz END AS e_bid,
-               CASE WHEN best_ask < prev_ask THEN -best_asksiz WHEN best_ask > prev_ask THEN prev_asksiz
-                    ELSE -(best_asksiz - prev_asksiz) END AS e_ask
+               CASE WHEN best_bid < prev_bid THEN 0 ELSE best_bidsiz END
+                 - CASE WHEN best_bid > prev_bid THEN 0 ELSE prev_bidsiz END AS e_bid,
+               CASE WHEN best_ask < prev_ask THEN 0 ELSE prev_asksiz END
+                 - CASE WHEN best_ask > prev_ask THEN 0 ELSE best_asksiz END AS e_ask
         FROM linked WHERE prev_bid IS NOT NULL AND prev_ask IS NOT NULL""",
     "bars": """
         SELECT symbol, date, bucket, sum(e_bid + e_ask) AS ofi, count(*) AS n_events,
@@ -61,12 +61,9 @@ PARTS = {
         FROM session WHERE best_bid > 0 AND best_ask > 0""",
     "pbars": """
         SELECT symbol, date, bucket,
-               max(CASE WHEN rn_first = 1 THEN mid END) AS bar_open, max(CASE WHEN rn_last = 1 THEN mid END) AS bar_close,
+               first(mid ORDER BY time_ns, seq) AS bar_open, last(mid ORDER BY time_ns, seq) AS bar_close,
                avg(mid) AS bar_vwap, avg(spread) AS avg_spread, count(*) AS n_quotes
-        FROM (SELECT *, row_number() OVER (PARTITION BY symbol, date, bucket ORDER BY time_ns, seq) AS rn_first,
-                     row_number() OVER (PARTITION BY symbol, date, bucket ORDER BY time_ns DESC, seq DESC) AS rn_last
-              FROM priced)
-        GROUP BY symbol, date, bucket""",
+        FROM priced GROUP BY symbol, date, bucket""",
     "rets": """
         SELECT symbol, date, bucket, bar_open, bar_close, bar_vwap, avg_spread, n_quotes,
                bar_close / before - 1 AS bar_return, ln(bar_close / before) AS log_return

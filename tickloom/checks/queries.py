@@ -17,6 +17,7 @@ from tickloom.operators import calendar, evaluation, events, features, linear, m
 from tickloom.operators.events import BAR_KEYS
 from tickloom.plans import suites
 from tickloom.plans.dataset import modelling_dataset
+from tickloom.plans.training import train_trees
 from tickloom.settings import FEATURES, TARGET, BarSpec, SplitDates, materialize, scratch_path
 from tickloom.sources import bars as bar_files
 from tickloom.sources import metrics as metric_files
@@ -269,23 +270,19 @@ def granger(spark, sf_dir):
     return _comparable(linear.granger_tests(pair_frame(spark, sf_dir)), 6)
 
 
-def _fitted(spark, sf_dir):
-    stored = stored_dataset(spark, sf_dir)
-    return stored, models.fit_trees(stored.filter("split = 'train'"))
-
-
 def gbt_eval(spark, sf_dir):
-    stored, model = _fitted(spark, sf_dir)
-    return models.evaluate_splits(model, stored)
+    """Trees trained on stored data and scored on every split, by way of the saved model."""
+    path = scratch_path(spark, "training")
+    stored = stored_dataset(spark, sf_dir)
+    train_trees(stored, f"{path}/trees_metrics.json", f"{path}/model")
+    return models.evaluate_splits(models.load_model(f"{path}/model"), stored)
 
 
 def importance(spark, sf_dir):
-    _, model = _fitted(spark, sf_dir)
-    path = scratch_path(spark, "model")
-    models.save_model(model, path)
-    values = models.importance_by_name(models.load_model(path), FEATURES)
-    weights = spark.createDataFrame([("trees", values)], "model string, feature_importance map<string,double>")
-    return evaluation.importance_rows(weights)
+    """Feature importances from the metric record of a training job, largest first."""
+    path = scratch_path(spark, "training")
+    train_trees(stored_dataset(spark, sf_dir), f"{path}/trees_metrics.json")
+    return evaluation.importance_rows(metric_files.read_metric_records(spark, path))
 
 
 def ablation(spark, sf_dir):
@@ -307,9 +304,7 @@ def price_vs_ofi_suite(spark, sf_dir):
 def metric_json_roundtrip(spark, sf_dir):
     """Metric records through JSON files and back, one row per model and split."""
     scores = evaluation.prediction_metrics(forecasts(spark, sf_dir), ["model", "split"])
-    block = F.struct(*(c for c in scores.columns if c not in ("model", "split")))
-    per_split = [F.max(F.when(F.col("split") == s, block)).alias(n) for s, n in (("train", "train"), ("val", "validation"), ("test", "test"))]
-    records = scores.groupBy("model").agg(*per_split).withColumn("params", evaluation.constant_map({"bar_seconds": 300}))
+    records = evaluation.metric_records(scores, {"bar_seconds": 300})
     path = scratch_path(spark, "records")
     metric_files.write_metric_records(records, f"{path}/forecast_metrics.json")
     stored = metric_files.read_metric_records(spark, path)

@@ -24,6 +24,7 @@ US_HOLIDAYS_2023 = (
     date(2023, 12, 25),
 )
 
+# Fixed value: name of a daily table, its date behind the prefix.
 TABLE_NAME_PATTERN = r"^nbbom_(.*)$"
 
 

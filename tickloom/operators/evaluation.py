@@ -129,6 +129,23 @@ def metrics_table(metrics: DataFrame) -> DataFrame:
     )
 
 
+def metric_records(
+    scores: DataFrame,
+    params: Mapping[str, object] | None = None,
+    importance: Mapping[str, float] | None = None,
+) -> DataFrame:
+    """Scores per (model, split) as one nested record per model, ready for the JSON sink."""
+    block = F.struct("mse", "mae", "correlation", "directional_accuracy", "n_samples")
+    splits = {"train": "train", "val": "validation", "test": "test"}
+    weights = F.lit(None) if importance is None else F.create_map(*(F.lit(x) for item in importance.items() for x in item))
+    return scores.groupBy("model").agg(
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
+        constant_map(params or {}).alias("params"),
+        weights.cast("map<string,double>").alias("feature_importance"),
+        *(F.max(F.when(F.col("split") == label, block)).alias(name) for label, name in splits.items()),
+    )
+
+
 def importance_rows(records: DataFrame) -> DataFrame:
     """Feature importances of metric records, largest first within a model."""
     exploded = records.select("model", F.explode("feature_importance").alias("feature", "importance"))

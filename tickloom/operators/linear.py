@@ -46,34 +46,39 @@ def ar_baselines(dataset: DataFrame, orders: Sequence[int] = (1, 3, 6), target:
     return prediction_metrics(scored, ["model"])
 
 
-def _residual_sum(n: float, moments: np.ndarray, size: int) -> float:
-    """RSS of variable 0 on the others, from their packed covariances."""
-    cov = np.zeros((size, size))
-    cov[np.triu_indices(size)] = moments
-    cov = np.triu(cov) + np.triu(cov, 1).T
+def _residual_sum(n: float, sums: np.ndarray, products: np.ndarray) -> float:
+    """RSS of column 0 on the others and an intercept, from plain and product sums."""
+    size = len(sums)
+    gram = np.zeros((size, size))
+    gram[np.triu_indices(size)] = products
+    gram = np.triu(gram) + np.triu(gram, 1).T
+    cov = gram / n - np.outer(sums, sums) / (n * n)
     beta = np.linalg.lstsq(cov[1:, 1:], cov[1:, 0], rcond=None)[0]
     return max(float(n * (cov[0, 0] - cov[1:, 0] @ beta)), 0.0)
 
 
 @F.pandas_udf(DoubleType())
-def _residual_sum_udf(n: pd.Series, moments: pd.Series, size: pd.Series) -> pd.Series:
+def _residual_sum_udf(n: pd.Series, sums: pd.Series, products: pd.Series) -> pd.Series:
     """One small solve per aggregated row; no data rows get here."""
     return pd.Series(
-        [
-            None if m is None or count == 0 or any(v is None for v in m) else _residual_sum(count, np.asarray(m, float), int(s))
-            for count, m, s in zip(n, moments, size)
-        ],
+        [_residual_sum(c, np.asarray(s, float), np.asarray(p, float)) if c else None for c, s, p in zip(n, sums, products)],
         dtype="float64",
     )
 
 
-def _packed_covariances(columns: Sequence[Column]) -> Column:
-    """Upper triangle of the covariance matrix over rows where every column is set."""
+def _masked(prefix: str, names: Sequence[str]) -> list[Column]:
+    """Copies of columns, all NULL where one of them is."""
     complete = F.lit(True)
-    for c in columns:
-        complete = complete & c.isNotNull()
-    masked = [F.when(complete, c) for c in columns]
-    return F.array(*(F.covar_pop(masked[i], masked[j]) for i in range(len(masked)) for j in range(i, len(masked))))
+    for name in names:
+        complete = complete & F.col(name).isNotNull()
+    return [F.when(complete, F.col(name)).alias(f"{prefix}{i}") for i, name in enumerate(names)]
+
+
+def _moments(prefix: str, size: int) -> list[Column]:
+    """Row count, sums and the upper triangle of product sums of masked columns."""
+    c = [F.col(f"{prefix}{i}") for i in range(size)]
+    products = F.array(*(F.sum(c[i] * c[j]) for i in range(size) for j in range(i, size)))
+    return [F.count(c[0]).alias(f"{prefix}n"), F.array(*map(F.sum, c)).alias(f"{prefix}s"), products.alias(f"{prefix}p")]
 
 
 def granger_tests(
@@ -83,44 +88,44 @@ def granger_tests(
 ) -> DataFrame:
     """F-test per (pair, direction): do the other side's lags help beyond own lags?
 
-    All that regression needs is the covariance matrix, so every pair and both
-    directions are one aggregation with map-side partials. The restricted and
-    the unrestricted model each use their own complete rows, so the terms keep
-    separate masks. ``df2 = n - k`` leaves the intercept out unless
-    ``intercept_in_df`` is set.
+    All that regression needs are product sums, so every pair and both
+    directions are one aggregation with map-side partials. Each series is first
+    centred on its mean over the pair's rows, which keeps the sums well
+    conditioned. The restricted and the unrestricted model each use their own
+    complete rows, so their terms keep separate masks. ``df2 = n - k`` leaves
+    the intercept out unless ``intercept_in_df`` is set.
     """
     lags = [k for k in lags if f"a_lag{k}" in pairs_lagged.columns]
     width = len(lags)
+    means = pairs_lagged.groupBy(*PAIR_KEYS).agg(F.avg("a_ofi_z").alias("a_mean"), F.avg("b_ofi_z").alias("b_mean"))
 
     def view(direction: str, cause: str, effect: str) -> Column:
+        def centred(side: str, stem: str) -> Column:
+            return F.col(f"{side}_{stem}") - F.col(f"{side}_mean")
+
         return F.struct(
             F.lit(direction).alias("direction"),
-            F.col(f"{effect}_ofi_z").alias("y"),
-            *(F.col(f"{effect}_lag{k}").alias(f"own{k}") for k in lags),
-            *(F.col(f"{cause}_lag{k}").alias(f"other{k}") for k in lags),
+            centred(effect, "ofi_z").alias("y"),
+            *(centred(effect, f"lag{k}").alias(f"own{k}") for k in lags),
+            *(centred(cause, f"lag{k}").alias(f"other{k}") for k in lags),
         )
 
-    views = pairs_lagged.select(*PAIR_KEYS, F.inline(F.array(view("a_to_b", "a", "b"), view("b_to_a", "b", "a"))))
-    own = [F.col("y"), *(F.col(f"own{k}") for k in lags)]
-    both = [*own, *(F.col(f"other{k}") for k in lags)]
-
-    def rows(columns: Sequence[Column]) -> Column:
-        complete = F.lit(True)
-        for c in columns:
-            complete = complete & c.isNotNull()
-        return F.count_if(complete)
-
-    moments = views.groupBy(*PAIR_KEYS, "direction").agg(
-        rows(own).alias("n_r"), _packed_covariances(own).alias("cov_r"),
-        rows(both).alias("n"), _packed_covariances(both).alias("cov_u"),
+    own = ["y", *(f"own{k}" for k in lags)]
+    both = [*own, *(f"other{k}" for k in lags)]
+    views = pairs_lagged.join(means, PAIR_KEYS).select(
+        *PAIR_KEYS, F.inline(F.array(view("a_to_b", "a", "b"), view("b_to_a", "b", "a")))
+    )
+    moments = (
+        views.select(*PAIR_KEYS, "direction", *_masked("r", own), *_masked("u", both))
+        .groupBy(*PAIR_KEYS, "direction")
+        .agg(*_moments("r", len(own)), *_moments("u", len(both)))
     )
-    # Fixed small fan-out of the solve: one row per pair and direction.
     solved = moments.select(
         *PAIR_KEYS,
         "direction",
-        "n",
-        _residual_sum_udf("n_r", "cov_r", F.lit(width + 1)).alias("rss_r"),
-        _residual_sum_udf("n", "cov_u", F.lit(2 * width + 1)).alias("rss_u"),
+        F.col("un").alias("n"),
+        _residual_sum_udf("rn", "rs", "rp").alias("rss_r"),
+        _residual_sum_udf("un", "us", "up").alias("rss_u"),
     )
     df1 = F.lit(float(width))
     df2 = (F.col("n") - 2 * width - (1 if intercept_in_df else 0)).cast("double")

@@ -65,12 +65,12 @@ def row_positions(
     order: Sequence[str],
     max_rows: int = MAX_SLICE_ROWS,
 ) -> DataFrame:
-    """Add ``rn_first`` / ``rn_last``: row numbers from either end of each group."""
+    """Add ``from_start`` / ``from_end``: row numbers from either end of each group."""
     sliced, piece = split_hot_groups(df, keys, order, max_rows, reused=True)
     if piece == list(keys):
         group = Window.partitionBy(*keys)
         first = F.row_number().over(group.orderBy(*order))
-        return sliced.withColumns({"rn_first": first, "rn_last": F.count(F.lit(1)).over(group) - first + 1})
+        return sliced.withColumns({"from_start": first, "from_end": F.count(F.lit(1)).over(group) - first + 1})
     counts = sliced.groupBy(*piece).agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy(*keys)
     offsets = counts.select(
@@ -81,8 +81,8 @@ def row_positions(
     numbered = sliced.withColumn("_rn", F.row_number().over(Window.partitionBy(*piece).orderBy(*order)))
     return (
         numbered.join(offsets, piece)
-        .withColumn("rn_first", F.col("_before") + F.col("_rn"))
-        .withColumn("rn_last", F.col("_total") - F.col("rn_first") + 1)
+        .withColumn("from_start", F.col("_before") + F.col("_rn"))
+        .withColumn("from_end", F.col("_total") - F.col("from_start") + 1)
         .drop(SLICE, "_rn", "_before", "_total")
     )
 

@@ -45,8 +45,8 @@ def price_bars_ranked(quotes: DataFrame, spec: BarSpec = BarSpec(), max_rows: in
     """Same bars by row numbers from both ends and a conditional-max pivot."""
     ranked = row_positions(priced_quotes(quotes, spec), BAR_KEYS, TIME_ORDER, max_rows)
     return ranked.groupBy(*BAR_KEYS).agg(
-        F.max(F.when(F.col("rn_first") == 1, F.col("mid"))).alias("bar_open"),
-        F.max(F.when(F.col("rn_last") == 1, F.col("mid"))).alias("bar_close"),
+        F.max(F.when(F.col("from_start") == 1, F.col("mid"))).alias("bar_open"),
+        F.max(F.when(F.col("from_end") == 1, F.col("mid"))).alias("bar_close"),
         F.avg("mid").alias("bar_vwap"),
         F.avg("spread").alias("avg_spread"),
         F.count(F.lit(1)).alias("n_quotes"),

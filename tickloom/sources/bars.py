@@ -22,6 +22,8 @@ OFI_BAR_SCHEMA = T.StructType(
         T.StructField("bar_end", T.LongType()),
     ]
 )
+# Fixed value: name pattern of bar files.
+BAR_FILE_PATTERN = "ofi5m_*.parquet"
 REQUIRED = ("date", "symbol", "bucket", "ofi")
 
 
@@ -41,7 +43,7 @@ def read_bar_files(spark: SparkSession, path: str, skip_combined: bool = True) -
     asked for. Having no file at all is an error.
     """
     try:
-        rows = spark.read.option("pathGlobFilter", "ofi5m_*.parquet").parquet(path)
+        rows = spark.read.option("pathGlobFilter", BAR_FILE_PATTERN).parquet(path)
     except AnalysisException as error:
         raise FileNotFoundError(f"no bar files in {path}") from error
     if skip_combined:
