@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import scalar as fn
 from tickloom.functions.stats import safe_corr, weighted_corr
-from tickloom.operators.ordered import average_ranks, exact_quantiles
+from tickloom.operators.ordered import average_ranks, exact_quantiles, join_on_keys
 from tickloom.settings import FEATURES, MAX_SLICE_ROWS, TARGET
 
 QUARTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
@@ -61,7 +61,8 @@ def rank_ic(
     sizes = clean.groupBy(*group).agg(((F.count(F.lit(1)) + 1) / 2.0).alias("_middle"))
     ranks_y = average_ranks(clean, group, "_y", max_rows).select(*group, "_y", F.col("avg_rank").alias("_ry"))
     ranks_p = average_ranks(clean, group, "_p", max_rows).select(*group, "_p", F.col("avg_rank").alias("_rp"))
-    ranked = weighted.join(ranks_y, [*group, "_y"]).join(ranks_p, [*group, "_p"]).join(sizes, group)
+    ranked = join_on_keys(join_on_keys(weighted, ranks_y, [*group, "_y"]), ranks_p, [*group, "_p"])
+    ranked = join_on_keys(ranked, sizes, group)
     x, z = (F.col("_ry") - F.col("_middle")), (F.col("_rp") - F.col("_middle"))
     ic = F.coalesce(weighted_corr(x, z, F.col("_w").cast("double")), F.lit(0.0))
     return ranked.groupBy(*group).agg(ic.alias("information_coefficient"))

@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -24,6 +26,14 @@ from tickloom.settings import CHUNK_ROWS, MAX_SLICE_ROWS, materialize
 SLICE = "slice"
 
 
+def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Equi-join in which a NULL key matches a NULL key, so grouped values find all their rows."""
+    others = [c for c in right.columns if c not in keys]
+    renamed = right.select(*(F.col(k).alias(f"_right_{k}") for k in keys), *others)
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys))
+    return left.join(renamed, same).drop(*(f"_right_{k}" for k in keys))
+
+
 def split_hot_groups(
     df: DataFrame,
     keys: Sequence[str],
@@ -65,7 +75,10 @@ def row_positions(
     order: Sequence[str],
     max_rows: int = MAX_SLICE_ROWS,
 ) -> DataFrame:
-    """Add ``from_start`` / ``from_end``: row numbers from either end of each group."""
+    """Add ``from_start`` / ``from_end``: row numbers from either end of each group.
+
+    Keys must not be NULL; the join then keeps the window's partitioning.
+    """
     sliced, piece = split_hot_groups(df, keys, order, max_rows, reused=True)
     if piece == list(keys):
         group = Window.partitionBy(*keys)
@@ -100,15 +113,17 @@ def history_positions(
     count per day goes through the per-key window. The counts read ``df`` a
     second time (its keys only): hand in a stored frame, not a long pipeline.
     """
-    days = df.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(*keys, day, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy(*keys, day).orderBy(*order))
+    # A missing day counts as one day before all others, and stays joinable.
+    dated = df.withColumn("_day", F.coalesce(F.col(day), F.lit("0001-01-01").cast("date")))
+    days = dated.groupBy(*keys, "_day").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*keys, "_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_day").orderBy(*order))
     return (
-        df.withColumn("_rn", within)
-        .join(days, [*keys, day])
+        dated.withColumn("_rn", within)
+        .join(days, [*keys, "_day"])
         .withColumn("pos", F.col("_before") + F.col("_rn") - 1)
-        .drop("_rn", "_before")
+        .drop("_day", "_rn", "_before")
     )
 
 
@@ -176,16 +191,11 @@ def cumulative_counts(
     one row. Distinct values are then cut into bins holding about equal numbers
     of them over *all* groups, which also cuts any single large group.
     """
-    probes = 1024
     values = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    size, cuts = values.agg(
-        F.count(F.lit(1)),
-        F.percentile_approx(value, [i / probes for i in range(1, probes)], 10 * probes),
-    ).first()
-    bins = min(probes, math.ceil((size or 0) / max_rows))
+    bins = math.ceil(values.count() / max_rows)
     if bins > 1:
-        step = probes // bins
-        edges = sorted(set(cuts[step - 1 :: step]))
+        shares = [i / bins for i in range(1, bins)]
+        edges = sorted(set(values.agg(F.percentile_approx(value, shares, 20 * bins)).first()[0]))
         binned = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol=value, outputCol="_bin").transform(values)
     else:
         binned = values.withColumn("_bin", F.lit(0.0))
@@ -196,11 +206,9 @@ def cumulative_counts(
         .select(*piece, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_below"))
     )
     running = Window.partitionBy(*piece).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        binned.withColumn("_inside", F.coalesce(F.sum("n").over(running), F.lit(0)))
-        .join(offsets, piece)
-        .select(*group, value, "n", (F.col("_below") + F.col("_inside")).alias("before"))
-    )
+    inside = binned.withColumn("_inside", F.coalesce(F.sum("n").over(running), F.lit(0)))
+    before = F.col("_below") + F.col("_inside")
+    return join_on_keys(inside, offsets, piece).select(*group, value, "n", before.alias("before"))
 
 
 def average_ranks(df: DataFrame, group: Sequence[str], value: str, max_rows: int = MAX_SLICE_ROWS) -> DataFrame:
@@ -223,7 +231,7 @@ def exact_quantiles(
     """
     counted = cumulative_counts(df, group, value, max_rows)
     totals = df.filter(F.col(value).isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("_total"))
-    counted = counted.join(totals, list(group))
+    counted = join_on_keys(counted, totals, group)
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col(value)))
