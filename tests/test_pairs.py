@@ -121,3 +121,12 @@ def test_ar_baselines_equal_least_squares(dataset):
         assert got[f"AR({p})"].mse == pytest.approx(float((error**2).mean()), rel=1e-6)
         assert got[f"AR({p})"].n_samples == len(test)
     assert pd.notna(got["AR(1)"].correlation)
+
+
+def test_pair_analysis_job(spark, dataset, tmp_path):
+    from tickloom.plans.analysis import pair_analysis
+
+    pair_analysis(dataset, pairs.pair_table(spark, [("a", "b")]), str(tmp_path))
+    assert spark.read.json(str(tmp_path / "correlation")).count() == 1
+    assert spark.read.json(str(tmp_path / "lead_lag")).count() == 8
+    assert spark.read.json(str(tmp_path / "granger")).count() == 2

@@ -82,6 +82,11 @@ def test_daily_folders(spark, make_quotes, tmp_path):
     assert sorted(r.date for r in calendar.dates_from_names(names).collect()) == [DAY, later]
     got = tables.read_daily_folders(spark, str(tmp_path), ["AAA", "BBB"])
     assert sorted((r.symbol, r.date) for r in got.collect()) == [("AAA", DAY), ("AAA", DAY), ("BBB", later)]
+    broken = tmp_path / "nbbom_20230109"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"never opened")
+    ranged = tables.read_daily_folders(spark, str(tmp_path), start=later, end=later)
+    assert [(r.symbol, r.date) for r in ranged.collect()] == [("BBB", later)]
 
 
 def test_catalog_discovery_and_fallback(spark):
@@ -99,6 +104,36 @@ def test_catalog_discovery_and_fallback(spark):
     assert tables.discover_days(spark, "no_such_schema", dt.date(2023, 1, 2), dt.date(2023, 1, 8)).count() == 5
 
 
+def test_daily_catalog_tables(spark, make_quotes):
+    later = DAY + dt.timedelta(days=1)
+    spark.sql("CREATE DATABASE IF NOT EXISTS daily_test")
+    try:
+        for day in (DAY, later):
+            part = stored_quotes(make_quotes).filter(F.col("date") == F.lit(day)).drop("date")
+            part.write.mode("overwrite").saveAsTable(f"daily_test.nbbom_{day:%Y%m%d}")
+        both = tables.read_daily_tables(spark, "daily_test", DAY, dt.date(2023, 1, 31))
+        assert sorted((r.symbol, r.date) for r in both.collect()) == [("AAA", DAY), ("AAA", DAY), ("BBB", later)]
+        assert tables.read_daily_tables(spark, "daily_test", later, later, ["aaa"]).isEmpty()
+        with pytest.raises(FileNotFoundError, match="daily_test"):
+            tables.read_daily_tables(spark, "daily_test", dt.date(2024, 1, 1), dt.date(2024, 1, 2))
+    finally:
+        spark.sql("DROP DATABASE daily_test CASCADE")
+
+
+def test_bars_by_month_equal_bars_at_once(spark, make_quotes, tmp_path):
+    from tickloom.operators.events import ofi_bars
+    from tickloom.plans.dataset import extract_bars_by_month, extract_returns
+    from test_events import random_quotes
+
+    days = [dt.date(2022, 12, 30), dt.date(2023, 1, 3), dt.date(2023, 2, 1)]
+    parts = [make_quotes(random_quotes(40, seed=i), day=d) for i, d in enumerate(days)]
+    quotes = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    extract_bars_by_month(quotes, str(tmp_path / "bars"), days[0], days[2])
+    assert rows_of(bar_files.read_bar_partitions(spark, str(tmp_path / "bars"))) == rows_of(ofi_bars(quotes))
+    extract_returns(quotes, str(tmp_path / "returns"))
+    assert bar_files.read_dataset(spark, str(tmp_path / "returns")).filter("bar_return is not null").count() > 0
+
+
 def test_jdbc_predicates():
     later = DAY + dt.timedelta(days=1)
     assert quote_files.jdbc_day_predicates([later, DAY, DAY]) == ["date = DATE '2023-01-03'", "date = DATE '2023-01-04'"]

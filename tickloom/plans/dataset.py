@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
 
@@ -11,6 +12,7 @@ from tickloom.operators.events import ofi_bars
 from tickloom.operators.prices import bar_returns, price_bars
 from tickloom.settings import BAR_LAGS, CHUNK_ROWS, BarSpec, SplitDates
 from tickloom.sources.bars import write_bar_partitions, write_combined
+from tickloom.sources.quotes import select_quotes
 
 NORMALIZATIONS = ("training_set", "expanding", "daily")
 
@@ -47,6 +49,20 @@ def extract_bars(quotes: DataFrame, path: str, spec: BarSpec = BarSpec()) -> Non
     write_bar_partitions(ofi_bars(quotes, spec), path)
 
 
+def extract_bars_by_month(quotes: DataFrame, path: str, start: date, end: date, spec: BarSpec = BarSpec()) -> None:
+    """Store OFI bars month after month, to keep the shuffle of a very long history in bounds.
+
+    No event crosses midnight, so the split changes nothing; each month replaces
+    just its own days, so a job that stopped can be run again.
+    """
+    first = start
+    while first <= end:
+        following = date(first.year + first.month // 12, first.month % 12 + 1, 1)
+        last = min(end, following - timedelta(days=1))
+        extract_bars(select_quotes(quotes, start=first, end=last), path, spec)
+        first = following
+
+
 def extract_returns(quotes: DataFrame, path: str, spec: BarSpec = BarSpec()) -> None:
     """Store price bars with returns as one ordered table."""
     write_combined(bar_returns(price_bars(quotes, spec)), path)

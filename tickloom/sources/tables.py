@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from datetime import date
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions.scalar import nan_to_null
 from tickloom.operators.calendar import dates_from_names, weekdays
@@ -34,11 +36,39 @@ def discover_days(spark: SparkSession, schema: str, start: date, end: date) -> D
     return dates_from_names(tables).filter(F.col("date").between(F.lit(start), F.lit(end))).select("date")
 
 
-def read_daily_folders(spark: SparkSession, root: str, symbols: Iterable[str] | None = None) -> DataFrame:
-    """Quotes of all daily folders in one scan, the date taken from the folder name."""
-    stored = QUOTE_SCHEMA.fields[:-1]
-    rows = spark.read.schema(type(QUOTE_SCHEMA)(stored)).option("recursiveFileLookup", True).parquet(root)
+def _prices_not_nan(quotes: DataFrame) -> DataFrame:
+    prices = ["best_bid", "best_bidsiz", "best_ask", "best_asksiz"]
+    return quotes.withColumns({c: nan_to_null(F.col(c)) for c in prices})
+
+
+def read_daily_folders(
+    spark: SparkSession,
+    root: str,
+    symbols: Iterable[str] | None = None,
+    start: date | None = None,
+    end: date | None = None,
+) -> DataFrame:
+    """Quotes of all daily folders in one scan, the date taken from the folder name.
+
+    A date range is a condition on file paths, so other days' files are not opened.
+    """
+    stored = T.StructType(QUOTE_SCHEMA.fields[:-1])
+    rows = spark.read.schema(stored).option("recursiveFileLookup", True).parquet(root)
     day = F.try_to_date(F.regexp_extract("_metadata.file_path", r"/nbbom_(\d{8})/[^/]+$", 1), "yyyyMMdd")
     dated = rows.withColumn("date", day).filter(F.col("date").isNotNull())
-    prices = ["best_bid", "best_bidsiz", "best_ask", "best_asksiz"]
-    return select_quotes(dated, symbols).withColumns({c: nan_to_null(F.col(c)) for c in prices})
+    return _prices_not_nan(select_quotes(dated, symbols, start, end))
+
+
+def read_daily_tables(
+    spark: SparkSession, schema: str, start: date, end: date, symbols: Iterable[str] | None = None
+) -> DataFrame:
+    """Union of a schema's daily tables between two dates; absent days are skipped."""
+    found = dates_from_names(list_catalog_tables(spark, schema))
+    wanted = found.filter(F.col("date").between(F.lit(start), F.lit(end))).orderBy("date").collect()  # one row per day
+    if not wanted:
+        raise FileNotFoundError(f"no daily tables in {schema} from {start} to {end}")
+    names = [f.name for f in QUOTE_SCHEMA.fields[:-1]]
+    days = [
+        spark.table(f"{schema}.{row.table_name}").select(*names).withColumn("date", F.lit(row.date)) for row in wanted
+    ]
+    return _prices_not_nan(select_quotes(reduce(DataFrame.unionByName, days), symbols))
