@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import rows_of
 from tickloom.functions.stats import f_tail
 from tickloom.operators import linear, pairs
 
@@ -44,6 +45,12 @@ def test_pair_join_is_an_inner_merge(dataset, wide):
     assert np.allclose(got.b_next, got.b_ofi_z.shift(-1), equal_nan=True)
 
 
+def test_long_pair_lists_are_salted_instead_of_broadcast(spark, dataset):
+    table, columns = pairs.pair_table(spark, [("a", "b"), ("c", "a")]), {"ofi": "ofi"}
+    salted = pairs.pair_join(dataset, table, columns, max_broadcast=1)
+    assert rows_of(salted) == rows_of(pairs.pair_join(dataset, table, columns))
+
+
 def test_correlations(wide):
     got = frame(wide, "a", "b")
     both = {(r.symbol_a, r.symbol_b): r.correlation for r in pairs.contemporaneous_corr(wide).collect()}

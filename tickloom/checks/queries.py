@@ -262,12 +262,12 @@ def ar_p(spark, sf_dir):
 
 
 def granger_1lag(spark, sf_dir):
-    tests = linear.granger_tests(pair_frame(spark, sf_dir), [1])
+    tests = linear.granger_tests(materialize(pair_frame(spark, sf_dir), "pair-bars"), [1])
     return _comparable(tests.select("symbol_a", "symbol_b", "direction", "n", "f_statistic", "rss_reduction"), 6)
 
 
 def granger(spark, sf_dir):
-    return _comparable(linear.granger_tests(pair_frame(spark, sf_dir)), 6)
+    return _comparable(linear.granger_tests(materialize(pair_frame(spark, sf_dir), "pair-bars")), 6)
 
 
 def gbt_eval(spark, sf_dir):

@@ -91,7 +91,7 @@ def granger_tests(
     All that regression needs are product sums, so every pair and both
     directions are one aggregation with map-side partials. Each series is first
     centred on its mean over the pair's rows, which keeps the sums well
-    conditioned. The restricted and the unrestricted model each use their own
+    conditioned; the frame is read twice for that, so hand in a stored one. The restricted and the unrestricted model each use their own
     complete rows, so their terms keep separate masks. ``df2 = n - k`` leaves
     the intercept out unless ``intercept_in_df`` is set.
     """
