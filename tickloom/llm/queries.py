@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import packing, token_files
+from tickloom.llm import bpe, packing, quality_rules, token_files
 from tickloom.settings import scratch_path
 
 
@@ -25,6 +25,23 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = quality_rules.measure_quality(table(spark, sf_dir, "documents"))
+    return verdicts.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "common_words")
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    decoded = bpe.decode_documents(encoded, path)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), path, size=1024, end_id=0)
@@ -33,7 +50,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op2_token_files, op10_packing)
+ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
+    op2_token_files, op7_quality_rules, op9_byte_bpe, op10_packing,
+)
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
