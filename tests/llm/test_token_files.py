@@ -43,8 +43,10 @@ def test_chunks_encode_as_the_whole_text(text):
 
 def test_cache_may_overflow(library):
     encoder = ChunkEncoder(PATH, most=3)
-    for text in ("a b c d e f", "a b", "x" * 5000, "", None):
-        assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == library(text)
+    texts = ["a b c d e f", "a b", " lead", "x" * 5000, "", None, "two  spaces b", "line\nend \n b", "tail "]
+    for batch in (texts, *([t] for t in texts)):
+        for text, packed in zip(batch, encoder.encode(batch)):
+            assert np.frombuffer(packed, encoder.dtype).tolist() == library(text)
 
 
 def checked_pieces(pieces, ids_of, size):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Iterator
 from functools import partial
 
@@ -12,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.text import _CHUNKS
+from tickloom.llm.text import ChunkCache, batches_of
 
 ENCODED_SCHEMA = "doc_id long, ids array<int>"
 DECODED_SCHEMA = "doc_id long, ids array<int>, decoded binary"
@@ -117,57 +118,48 @@ class PrefixTable:
         return out[::-1]
 
 
-class Encoder:
+class Encoder(ChunkCache):
     """Token ids of whole texts, each match of ``pattern`` encoded by itself.
 
-    A match that is a token is that token; the others go through a :class:`PrefixTable`. Chunks
-    between blanks are remembered, ``most`` of them at the most.
+    A match that is a token is that token; the others go through a :class:`PrefixTable`.
     """
 
-    def __init__(self, path: str, pattern: str, most: int = 300_000):
+    def __init__(self, path: str, pattern: str, most: int = 400_000):
+        super().__init__(self._piece, regex.compile(pattern).findall, most)
         self.ranks = Ranks(path)
-        self._matches = regex.compile(pattern).findall
-        self._most = most
-        self._chunks: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
+        self._pieces_known: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        known = self._pieces.get(piece)
+        known = self._pieces_known.get(piece)
         if known is None:
-            if len(self._pieces) >= self._most:
-                self._pieces.clear()
+            if len(self._pieces_known) >= self._most:
+                self._pieces_known.clear()
             data = piece.encode("utf-8")
             whole = self.ranks.ids.get(data)
             ids = [whole] if whole is not None else PrefixTable(self.ranks, data).tokens()
-            known = self._pieces[piece] = np.array(ids, np.int32).tobytes()
+            known = self._pieces_known[piece] = np.array(ids, np.int32).tobytes()
         return known
 
-    def _chunk(self, chunk: str) -> bytes:
-        known = self._chunks.get(chunk)
-        if known is None:
-            if len(self._chunks) >= self._most:
-                self._chunks.clear()
-            known = self._chunks[chunk] = b"".join(map(self._piece, self._matches(chunk)))
-        return known
 
-    def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self._chunk, _CHUNKS(text or ""))), np.int32)
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str, pattern: str) -> Encoder:
+    return Encoder(path, pattern)
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(path, pattern)
+    encoder = _encoder(path, pattern)
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            rows = batch.slice(at, 1000)
-            parts = [encoder.encode(text) for text in rows.column(1).to_pylist()]
-            bounds = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(parts)), type=_IDS)
-            yield pa.RecordBatch.from_arrays([rows.column(0), ids], names=["doc_id", "ids"])
+        for at, texts in batches_of(batch.column(1).to_pylist()):
+            parts = encoder.encode(texts)
+            bounds = np.cumsum([0, *map(len, parts)]) // 4
+            ids = pa.array(np.frombuffer(b"".join(parts), np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), ids, type=_IDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), lists], names=["doc_id", "ids"])
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bytes_of = Ranks(path).bytes_of.__getitem__
-    for batch in batches:
+    for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
         decoded = [None if ids is None else b"".join(map(bytes_of, ids)) for ids in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"]

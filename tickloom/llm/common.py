@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -11,3 +12,27 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def id_bitmaps(ids: DataFrame, id_col: str) -> DataFrame:
+    """Set of ids as one 4 KB bitmap per range of 32,768 ids: columns ``bucket``, ``bits``.
+
+    A bit per possible id makes a set small enough that Spark, which measures it, can mostly
+    join it without moving the other side.
+    """
+    known = ids.filter(F.col(id_col).isNotNull())
+    return known.groupBy(F.bitmap_bucket_number(id_col).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(id_col)).alias("bits")
+    )
+
+
+def with_membership(df: DataFrame, id_col: str, bitmaps: DataFrame, name: str) -> DataFrame:
+    """``df`` with the boolean column ``name``: whether the id is in the set; false for a null id."""
+    bucket, bits = unused(df, "id_bucket"), unused(df, "id_bits")
+    joined = df.withColumn(bucket, F.bitmap_bucket_number(id_col)).join(
+        bitmaps.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits)), bucket, "left"
+    )
+    position = F.bitmap_bit_position(id_col)
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.when(F.col(bits).isNotNull(), F.call_function("getbit", byte, (position % 8).cast("int")) == 1)
+    return joined.select(*df.columns, F.coalesce(bit, F.lit(False)).alias(name))

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.text import ChunkEncoder
+from tickloom.llm.text import batches_of, chunk_encoder
 
 PIECE_SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -130,7 +130,7 @@ class SumOfSquaresPacker:
 def _pack_partition(
     batches: Iterator[pa.RecordBatch], tokenizer: str, size: int, end_id: int, max_open: int
 ) -> Iterator[pa.RecordBatch]:
-    encoder, packer = ChunkEncoder(tokenizer), SumOfSquaresPacker(size, max_open)
+    encoder, packer = chunk_encoder(tokenizer), SumOfSquaresPacker(size, max_open)
     end, first, closed = encoder.pack([end_id]), TaskContext.get().partitionId() << 36, 0
 
     def rows(windows: list[Window]) -> pa.RecordBatch:
@@ -147,14 +147,12 @@ def _pack_partition(
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
     for batch in batches:
-        windows: list[Window] = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = np.frombuffer(encoder.encode([text])[0] + end, encoder.dtype)
-            windows += packer.place(doc_id, ids)
-            if len(windows) > 2000:
-                yield rows(windows)
-                windows = []
-        yield rows(windows)
+        doc_ids = batch.column(0).to_pylist()
+        for at, texts in batches_of(batch.column(1).to_pylist()):
+            windows: list[Window] = []
+            for doc_id, packed in zip(doc_ids[at:], encoder.encode(texts)):
+                windows += packer.place(doc_id, np.frombuffer(packed + end, encoder.dtype))
+            yield rows(windows)
     yield rows(packer.drain())
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, packing, quality_rules, token_files
+from tickloom.llm import bpe, kneser_ney, packing, quality_rules, token_files
 from tickloom.settings import scratch_path
 
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return kneser_ney.score_documents(docs, labels).drop("row_hash")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     folder = scratch_path(spark, "token-files")
@@ -51,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    op2_token_files, op7_quality_rules, op9_byte_bpe, op10_packing,
+    op1_kneser_ney, op2_token_files, op7_quality_rules, op9_byte_bpe, op10_packing,
 )
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import public_tokenizers
+import regex
 import xxhash
 from tokenizers import Tokenizer
 
@@ -14,6 +19,7 @@ _MASK = (1 << 64) - 1
 # vocabulary crosses from a non-blank to a blank, so such chunks encode one by one. U+001C to
 # U+001F count as blanks in `re` but not in the tokenizers.
 _CHUNKS = re.compile("[^\\S\x1c-\x1f]*[\\S\x1c-\x1f]+|[^\\S\x1c-\x1f]+").findall
+_UNEVEN = re.compile(r"\s(?= )|\s\Z").search
 
 
 def ascii_words(text: str | None) -> list[bytes]:
@@ -62,34 +68,120 @@ def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(rolled)
 
 
-class ChunkEncoder:
-    """Exact token ids of whole texts by the `tokenizers` library, as packed integers.
+class ChunkCache:
+    """Whole texts encoded chunk by chunk, each distinct chunk once while it is remembered.
 
-    Every distinct chunk goes through the library once and is then looked up; the cache holds
-    ``most`` chunks at the most. Special tokens in a text are ordinary text. A null text is
-    empty.
+    ``matches`` splits a chunk into what ``encode_match`` encodes. ``most`` words are remembered,
+    and as many other chunks.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self._most = most
-        self._known: dict[str, bytes] = {}
+    def __init__(self, encode_match: Callable[[str], bytes], matches: Callable[[str], list[str]], most: int):
+        self._encode_match, self._matches, self._most = encode_match, matches, most
+        self._words: dict[str, bytes] = {}
+        self._chunks: dict[str, bytes] = {}
 
-    def pack(self, ids) -> bytes:
-        return np.asarray(ids, self.dtype).tobytes()
+    def _chunk(self, chunk: str) -> bytes:
+        known = self._words.get(chunk[1:]) if chunk[:1] == " " else None
+        known = known if known is not None else self._chunks.get(chunk)
+        if known is None:
+            if len(self._chunks) >= self._most:
+                self._chunks.clear()
+            known = self._chunks[chunk] = b"".join(map(self._encode_match, self._matches(chunk)))
+        return known
+
+    def _pieces(self, text: str) -> bytes:
+        return b"".join(map(self._chunk, _CHUNKS(text)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out, known = [], self._known
+        """Encoded texts; a null text is empty."""
+        out: list[bytes] = []
+        words, spans = [], []
         for text in texts:
-            chunks = _CHUNKS(text or "")
-            new = list({chunk for chunk in chunks if chunk not in known})
-            if len(known) + len(new) > self._most:
-                known.clear()
-                new = list(set(chunks))
-            if new:
-                found = self._tokenizer.encode_batch(new, add_special_tokens=False)
-                known.update(zip(new, (self.pack(e.ids) for e in found)))
-            out.append(b"".join(map(known.__getitem__, chunks)))
+            if not text or _UNEVEN(text):
+                spans.append((self._pieces(text or ""), len(words)))
+            else:
+                first, *rest = text.split(" ")
+                words += rest
+                spans.append((self._pieces(first), len(words)))
+        found = list(map(self._words.get, words))
+        if None in found:
+            missing = [i for i, value in enumerate(found) if value is None]
+            self._learn({words[i] for i in missing})
+            for i in missing:
+                known = self._words.get(words[i])
+                found[i] = self._pieces(" " + words[i]) if known is None else known
+        begin = 0
+        for head, end in spans:
+            out.append(head + b"".join(found[begin:end]))
+            begin = end
         return out
+
+    def _learn(self, words: set[str]) -> None:
+        plain = [word for word in words if word.split() == [word]]
+        if len(self._words) + len(plain) > self._most:
+            self._words.clear()
+        self._words.update((word, self._word(word)) for word in plain)
+
+    def _word(self, word: str) -> bytes:
+        """A word with a space before it; letters and a last mark are split as the pattern would."""
+        if word.isalpha():
+            return self._encode_match(" " + word)
+        if word[:-1].isalpha():
+            return self._encode_match(" " + word[:-1]) + self._encode_match(word[-1])
+        return b"".join(map(self._encode_match, self._matches(" " + word)))
+
+
+def batches_of(texts: list, size: int = 200) -> Iterator[tuple[int, list]]:
+    """Consecutive parts of a list and where they begin."""
+    for at in range(0, len(texts), size):
+        yield at, texts[at : at + size]
+
+
+def byte_symbols() -> dict[int, str]:
+    """Character that stands for each byte in byte-level vocabularies.
+
+    Printable bytes stand for themselves, the others for the characters from U+0100 on.
+    """
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class ChunkEncoder(ChunkCache):
+    """Exact token ids of whole texts by the `tokenizers` library, as packed integers.
+
+    For byte-level vocabularies with the common pattern. The pattern's matches go to the
+    library's model one by one and are remembered too. Special tokens in a text are ordinary text.
+    """
+
+    def __init__(self, path: str, most: int = 600_000):
+        super().__init__(self._match, regex.compile(public_tokenizers.PATTERN).findall, most)
+        tokenizer = Tokenizer.from_file(path)
+        self._tokenize = tokenizer.model.tokenize
+        self.dtype = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
+        self._symbols = byte_symbols()
+        self._known: dict[str, bytes] = {}
+        probe = "It's a\t\tprobe,  12é  "
+        if [t for m in self._matches(probe) for t in self._ids(m)] != tokenizer.encode(probe, add_special_tokens=False).ids:
+            raise ValueError(f"{path} does not split texts by the common byte-level pattern")
+
+    def pack(self, ids) -> bytes:
+        return array(self._code, ids).tobytes()
+
+    def _ids(self, match: str) -> list[int]:
+        return [t.id for t in self._tokenize(match.encode("utf-8").decode("latin-1").translate(self._symbols))]
+
+    def _match(self, match: str) -> bytes:
+        known = self._known.get(match)
+        if known is None:
+            if len(self._known) >= self._most:
+                self._known.clear()
+            known = self._known[match] = self.pack(self._ids(match))
+        return known
+
+
+@functools.lru_cache(maxsize=2)
+def chunk_encoder(path: str) -> ChunkEncoder:
+    """One encoder per Python worker, so that later tasks find the words of earlier ones."""
+    return ChunkEncoder(path)

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.text import ChunkEncoder
+from tickloom.llm.text import batches_of, chunk_encoder
 from tickloom.settings import materialize
 
 SHARD_SCHEMA = "shard int, n_docs long, n_tokens long, first_doc long, path string"
@@ -128,7 +128,7 @@ def _write_shard(
 ) -> Iterator[pa.RecordBatch]:
     """Write one partition; the files get their names once they are whole, so retries are safe."""
     context = TaskContext.get()
-    encoder = ChunkEncoder(tokenizer)
+    encoder = chunk_encoder(tokenizer)
     end, width = encoder.pack([end_id]), encoder.dtype.itemsize
     files, base = _file_system(folder)
     files.create_dir(base, recursive=True)
@@ -141,11 +141,12 @@ def _write_shard(
             for rows in batches:
                 ids = rows.column(0).to_pylist()
                 starts, lengths = [], []
-                for packed in map(lambda text: encoder.encode([text])[0] + end, rows.column(1).to_pylist()):
-                    writer.add(packed)
-                    starts.append(tokens)
-                    lengths.append(len(packed) // width)
-                    tokens += lengths[-1]
+                for _, texts in batches_of(rows.column(1).to_pylist()):
+                    for packed in encoder.encode(texts):
+                        writer.add(packed + end)
+                        starts.append(tokens)
+                        lengths.append(len(packed) // width + 1)
+                        tokens += lengths[-1]
                 first = ids[0] if not docs and ids else first
                 docs += len(ids)
                 listed.write_batch(pa.record_batch([pa.array(c, pa.int64()) for c in (ids, starts, lengths)], schema=_INDEX))
