@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, kneser_ney, packing, quality_rules, token_files
+from tickloom.llm import bpe, kneser_ney, license_scan, packing, quality_rules, token_files
 from tickloom.settings import scratch_path
 
 
@@ -30,6 +30,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality_rules.measure_quality(table(spark, sf_dir, "documents"))
     return verdicts.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "common_words")
@@ -56,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    op1_kneser_ney, op2_token_files, op7_quality_rules, op9_byte_bpe, op10_packing,
+    op1_kneser_ney, op2_token_files, op5_license_scan, op7_quality_rules, op9_byte_bpe, op10_packing,
 )
 
 
