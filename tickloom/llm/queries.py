@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, kneser_ney, license_scan, packing, quality_rules, token_files
+from tickloom.llm import bpe, cap_filters, html_extract, kneser_ney, license_scan, packing, quality_rules, token_files
 from tickloom.settings import scratch_path
 
 
@@ -30,6 +30,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    texts = html_extract.extract_pages(pages, html_extract.train(spark, pages))
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -39,6 +45,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "common_words")
 
 
+def op8_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -60,7 +70,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    op1_kneser_ney, op2_token_files, op5_license_scan, op7_quality_rules, op9_byte_bpe, op10_packing,
+    op1_kneser_ney, op2_token_files, op3_html_extract, op5_license_scan, op7_quality_rules, op8_cap_filters, op9_byte_bpe, op10_packing,
 )
 
 
