@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, cap_filters, html_extract, kneser_ney, license_scan, packing, quality_rules, token_files
+from tickloom.llm import bpe, cap_filters, html_extract, kneser_ney, license_scan, ngram_join, packing, quality_rules, token_files
 from tickloom.settings import scratch_path
 
 
@@ -36,6 +36,10 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(table(spark, sf_dir, "documents"), ngram_join.JoinSettings(width=3, percent=90))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -70,7 +74,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    op1_kneser_ney, op2_token_files, op3_html_extract, op5_license_scan, op7_quality_rules, op8_cap_filters, op9_byte_bpe, op10_packing,
+    op1_kneser_ney, op2_token_files, op3_html_extract, op4_ngram_join, op5_license_scan, op7_quality_rules, op8_cap_filters, op9_byte_bpe, op10_packing,
 )
 
 
