@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -32,8 +33,10 @@ class Ranks:
             self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes_of = {i: token for token, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
+        # Every ending of a token, with the token's id or -1.
+        self.endings = dict.fromkeys((t[i:] for t in self.ids for i in range(len(t))), -1) | self.ids
         self._most = most
-        self._fits: dict[tuple[int, int], bool] = {}
+        self.known_fits: dict[tuple[int, int], bool] = {}
         self._stable: dict[int, bool] = {}
 
     def merged(self, data: bytes) -> list[int]:
@@ -55,12 +58,12 @@ class Ranks:
         return known
 
     def fits(self, left: int, right: int) -> bool:
-        known = self._fits.get((left, right))
+        known = self.known_fits.get((left, right))
         if known is None:
-            if len(self._fits) >= self._most:
-                self._fits.clear()
+            if len(self.known_fits) >= self._most:
+                self.known_fits.clear()
             merged = self.merged(self.bytes_of[left] + self.bytes_of[right])
-            known = self._fits[left, right] = merged == [left, right]
+            known = self.known_fits[left, right] = merged == [left, right]
         return known
 
 
@@ -79,10 +82,22 @@ class PrefixTable:
         self.append(data)
 
     def _last_token(self, data: bytes, end: int) -> int:
+        """The one token that fits; shorter ones are tried first, being more often it."""
         ranks, last = self._ranks, self.last
-        for begin in range(max(0, end - ranks.longest), end):
-            token = ranks.ids.get(data[begin:end])
-            if token is not None and (ranks.fits(last[begin - 1], token) if begin else ranks.stable(token)):
+        find, fits = ranks.endings.get, ranks.known_fits.get
+        for begin in range(end - 1, -1, -1):
+            token = find(data[begin:end])
+            if token is None:
+                break
+            if token < 0:
+                continue
+            if begin:
+                good = fits((last[begin - 1], token))
+                if good is None:
+                    good = ranks.fits(last[begin - 1], token)
+            else:
+                good = ranks.stable(token)
+            if good:
                 return token
         raise ValueError(f"no token ends at byte {end}")
 
@@ -124,21 +139,15 @@ class Encoder(ChunkCache):
     A match that is a token is that token; the others go through a :class:`PrefixTable`.
     """
 
-    def __init__(self, path: str, pattern: str, most: int = 400_000):
-        super().__init__(self._piece, regex.compile(pattern).findall, most)
+    def __init__(self, path: str, pattern: str, most: int = 700_000):
+        super().__init__(self._new_match, regex.compile(pattern).findall, most)
         self.ranks = Ranks(path)
-        self._pieces_known: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> bytes:
-        known = self._pieces_known.get(piece)
-        if known is None:
-            if len(self._pieces_known) >= self._most:
-                self._pieces_known.clear()
-            data = piece.encode("utf-8")
-            whole = self.ranks.ids.get(data)
-            ids = [whole] if whole is not None else PrefixTable(self.ranks, data).tokens()
-            known = self._pieces_known[piece] = np.array(ids, np.int32).tobytes()
-        return known
+    def _new_match(self, match: str) -> bytes:
+        data = match.encode("utf-8")
+        whole = self.ranks.ids.get(data)
+        ids = [whole] if whole is not None else PrefixTable(self.ranks, data).tokens()
+        return array("i", ids).tobytes()
 
 
 @functools.lru_cache(maxsize=2)

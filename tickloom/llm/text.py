@@ -72,21 +72,22 @@ class ChunkCache:
     """Whole texts encoded chunk by chunk, each distinct chunk once while it is remembered.
 
     ``matches`` splits a chunk into what ``encode_match`` encodes. ``most`` words are remembered,
-    and as many other chunks.
+    and an eighth as many other chunks and matches.
     """
 
     def __init__(self, encode_match: Callable[[str], bytes], matches: Callable[[str], list[str]], most: int):
         self._encode_match, self._matches, self._most = encode_match, matches, most
         self._words: dict[str, bytes] = {}
         self._chunks: dict[str, bytes] = {}
+        self._marks: dict[str, bytes] = {}
 
     def _chunk(self, chunk: str) -> bytes:
         known = self._words.get(chunk[1:]) if chunk[:1] == " " else None
         known = known if known is not None else self._chunks.get(chunk)
         if known is None:
-            if len(self._chunks) >= self._most:
+            if len(self._chunks) >= self._most // 8:
                 self._chunks.clear()
-            known = self._chunks[chunk] = b"".join(map(self._encode_match, self._matches(chunk)))
+            known = self._chunks[chunk] = b"".join(map(self._match, self._matches(chunk)))
         return known
 
     def _pieces(self, text: str) -> bytes:
@@ -126,9 +127,21 @@ class ChunkCache:
         """A word with a space before it; letters and a last mark are split as the pattern would."""
         if word.isalpha():
             return self._encode_match(" " + word)
-        if word[:-1].isalpha():
-            return self._encode_match(" " + word[:-1]) + self._encode_match(word[-1])
-        return b"".join(map(self._encode_match, self._matches(" " + word)))
+        stem = word[:-1]
+        if stem.isalpha():
+            known = self._words.get(stem)
+            if known is None:
+                known = self._words[stem] = self._encode_match(" " + stem)
+            return known + self._match(word[-1])
+        return b"".join(map(self._match, self._matches(" " + word)))
+
+    def _match(self, match: str) -> bytes:
+        known = self._marks.get(match)
+        if known is None:
+            if len(self._marks) >= self._most // 8:
+                self._marks.clear()
+            known = self._marks[match] = self._encode_match(match)
+        return known
 
 
 def batches_of(texts: list, size: int = 200) -> Iterator[tuple[int, list]]:
@@ -151,17 +164,16 @@ class ChunkEncoder(ChunkCache):
     """Exact token ids of whole texts by the `tokenizers` library, as packed integers.
 
     For byte-level vocabularies with the common pattern. The pattern's matches go to the
-    library's model one by one and are remembered too. Special tokens in a text are ordinary text.
+    library's model one by one. Special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
-        super().__init__(self._match, regex.compile(public_tokenizers.PATTERN).findall, most)
+    def __init__(self, path: str, most: int = 700_000):
+        super().__init__(self._new_match, regex.compile(public_tokenizers.PATTERN).findall, most)
         tokenizer = Tokenizer.from_file(path)
         self._tokenize = tokenizer.model.tokenize
         self.dtype = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._code = "H" if self.dtype.itemsize == 2 else "I"
         self._symbols = byte_symbols()
-        self._known: dict[str, bytes] = {}
         probe = "It's a\t\tprobe,  12é  "
         if [t for m in self._matches(probe) for t in self._ids(m)] != tokenizer.encode(probe, add_special_tokens=False).ids:
             raise ValueError(f"{path} does not split texts by the common byte-level pattern")
@@ -172,13 +184,8 @@ class ChunkEncoder(ChunkCache):
     def _ids(self, match: str) -> list[int]:
         return [t.id for t in self._tokenize(match.encode("utf-8").decode("latin-1").translate(self._symbols))]
 
-    def _match(self, match: str) -> bytes:
-        known = self._known.get(match)
-        if known is None:
-            if len(self._known) >= self._most:
-                self._known.clear()
-            known = self._known[match] = self.pack(self._ids(match))
-        return known
+    def _new_match(self, match: str) -> bytes:
+        return self.pack(self._ids(match))
 
 
 @functools.lru_cache(maxsize=2)
