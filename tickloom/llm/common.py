@@ -19,13 +19,14 @@ def unused(df: DataFrame, name: str) -> str:
 def id_bitmaps(ids: DataFrame, id_col: str) -> DataFrame:
     """Set of ids as one 4 KB bitmap per range of 32,768 ids: columns ``bucket``, ``bits``.
 
-    A bit per possible id makes a set small enough that Spark, which measures it, can mostly
-    join it without moving the other side.
+    A bit per possible id makes a set small enough that Spark can mostly join it without moving
+    the other side. It is stored, so that Spark knows its size before it plans that join.
     """
     known = ids.filter(F.col(id_col).isNotNull())
-    return known.groupBy(F.bitmap_bucket_number(id_col).alias("bucket")).agg(
+    bitmaps = known.groupBy(F.bitmap_bucket_number(id_col).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(id_col)).alias("bits")
     )
+    return materialize(bitmaps, "bitmaps")
 
 
 def with_membership(df: DataFrame, id_col: str, bitmaps: DataFrame, name: str) -> DataFrame:

@@ -230,5 +230,5 @@ def keep_first_of_groups(
     found = join_documents(docs, settings, id_col, text_col)
     gone = found.filter("doc_id != component_id").select("doc_id")
     name = unused(docs, "is_gone")
-    flagged = with_membership(docs, id_col, materialize(id_bitmaps(gone, "doc_id"), "gone"), name)
+    flagged = with_membership(docs, id_col, id_bitmaps(gone, "doc_id"), name)
     return flagged.filter(~F.col(name)).select(*docs.columns)

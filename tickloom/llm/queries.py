@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, cap_filters, html_extract, kneser_ney, license_scan, ngram_join, packing, quality_rules, token_files
+import corpus_pipeline
+from tickloom.llm import bpe, cap_filters, html_extract, kneser_ney, license_scan, line_dedup, ngram_join, packing, quality_rules, token_files
 from tickloom.settings import scratch_path
 
 
@@ -44,6 +45,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality_rules.measure_quality(table(spark, sf_dir, "documents"))
     return verdicts.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "common_words")
@@ -73,8 +78,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    op1_kneser_ney, op2_token_files, op3_html_extract, op4_ngram_join, op5_license_scan, op7_quality_rules, op8_cap_filters, op9_byte_bpe, op10_packing,
+    op1_kneser_ney, op2_token_files, op3_html_extract, op4_ngram_join, op5_license_scan, op6_line_dedup, op7_quality_rules, op8_cap_filters, op9_byte_bpe, op10_packing, pipeline,
 )
 
 
