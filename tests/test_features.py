@@ -127,11 +127,16 @@ def test_bar_time(make_bars):
 
 
 def test_scalar_helpers(spark):
-    df = spark.createDataFrame([("2023-01-03",), ("20230103",), ("bad",), ("2023-1-3",), (None,)], "s string")
-    parsed = [r[0] for r in df.select(fn.try_parse_date(F.col("s"))).collect()]
-    assert parsed == [DAY, DAY, None, None, None]
-    with pytest.raises(Exception, match="cannot parse date: bad"):
-        df.select(fn.parse_date(F.col("s"))).collect()
+    texts = {
+        "2023-01-03": DAY, "20230103": DAY, "2023-1-3": DAY, "2023-01-3": DAY, "202313": DAY, "2023113": dt.date(2023, 11, 3),
+        "2023131": dt.date(2023, 1, 31), "202311": dt.date(2023, 1, 1), "2023230": None, "2023-02-30": None, "bad": None,
+        "2023-13-01": None, "23-01-03": None, "": None, None: None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    assert {r[0]: r[1] for r in df.select("s", fn.try_parse_date(F.col("s"))).collect()} == texts
+    for text in ("bad", "2023-02-30"):
+        with pytest.raises(Exception, match=f"cannot parse date: {text}"):
+            df.filter(F.col("s") == text).select(fn.parse_date(F.col("s"))).collect()
     assert df.select(fn.date_key(F.lit(DAY))).first()[0] == "20230103"
     assert fn.clean_symbols([" aapl", "MSFT ", " "]) == ["AAPL", "MSFT"]
     texts = df.select(fn.fixed_decimals(F.lit(0.5), 6), fn.percent_text(F.lit(0.12345)), fn.percent_text(F.lit(None).cast("double"))).first()

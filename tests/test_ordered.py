@@ -87,6 +87,8 @@ def test_missing_days_and_groups_keep_their_rows(make_bars, spark):
     rows = [("x", None, 1, 1.0), ("x", dt.date(2024, 1, 1), 1, 2.0), ("x", dt.date(2024, 1, 1), 2, 3.0)]
     got = ordered.shift_columns(make_bars(rows), ["symbol"], {"lag1": ("ofi", 1)})
     assert sorted((r.ofi, r.lag1) for r in got.collect()) == [(1.0, None), (2.0, 1.0), (3.0, 2.0)]
+    unnamed = ordered.shift_columns(make_bars([(None, *r[1:]) for r in rows]), ["symbol"], {"lag1": ("ofi", 1)})
+    assert sorted((r.ofi, r.lag1) for r in unnamed.collect()) == [(1.0, None), (2.0, 1.0), (3.0, 2.0)]
     df = spark.createDataFrame([(None, 1.0), (None, 1.0), ("g", 4.0)], "g string, v double")
     ranks = {(r.g, r.v): r.avg_rank for r in ordered.average_ranks(df, ["g"], "v").collect()}
     assert ranks == {(None, 1.0): 1.5, ("g", 4.0): 1.0}

@@ -149,15 +149,22 @@ def test_calendar(spark):
 
 
 def test_completeness(spark, make_bars):
-    later = DAY + dt.timedelta(days=1)
+    later = dt.date(2023, 1, 7)  # a Saturday
     bars = make_bars([("A", DAY, 1, 1.0), ("A", DAY, 2, 1.0), ("B", later, 1, 1.0)])
-    days = spark.createDataFrame([(DAY,), (later,)], "date date")
-    got = {(r.symbol, r.date): (r.n_bars, r.status) for r in calendar.completeness(bars, days).collect()}
+    days = spark.createDataFrame([(DAY,), (later,), (later,)], "date date")
+    got = {(r.symbol, r.date): (r.n_bars, r.status) for r in calendar.completeness(bars, days, ["A", "B", "LOST", "A"]).collect()}
     assert got == {
         ("A", DAY): (2, "extracted"), ("A", later): (0, "skipped"), ("B", DAY): (0, "skipped"), ("B", later): (1, "extracted"),
+        ("LOST", DAY): (0, "skipped"), ("LOST", later): (0, "skipped"),
     }
 
 
+def test_packed_name_of_a_day_counts(spark):
+    names = spark.createDataFrame([("nbbom_2024-01-03",), ("nbbom_20240103",), ("nbbom_2024-1-4",), ("nbbom_x",)], "table_name string")
+    got = {r.date: r.table_name for r in calendar.dates_from_names(names).collect()}
+    assert got == {dt.date(2024, 1, 3): "nbbom_20240103", dt.date(2024, 1, 4): "nbbom_2024-1-4"}
+
+
 def test_event_quotes(spark):
     row = ("click", dt.datetime(2024, 1, 2, 9, 30, 0, 250_000))
     df = spark.createDataFrame(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from tickloom.checks.queries import CALENDAR, HOLIDAYS, PAIRS, SPLITS, SYMBOLS
+from tickloom.checks.queries import CALENDAR, EXPECTED, HOLIDAYS, PAIRS, SPLITS, SYMBOLS
 from tickloom.settings import ACF_LAGS, BAR_LAGS, FEATURES, PAIR_LAGS, SEQUENCE_LENGTH
 
 LAG_LIST = ", ".join(f"lag{k}" for k in BAR_LAGS)
@@ -337,6 +337,10 @@ DAY_COLUMNS = {
 }
 
 
+# Year, separator, month and day of a table's suffix.
+_DATE = "^([0-9]{4})(-?)(1[0-2]|0[1-9]|[1-9])-?(3[01]|[12][0-9]|0[1-9]|[1-9])$"
+
+
 def statements() -> dict[str, str]:
     """One DuckDB statement per registered query that SQL can express."""
     return {
@@ -396,22 +400,26 @@ def _statements() -> dict[str, str]:
             FROM weekdays w LEFT JOIN (SELECT DISTINCT date FROM quotes) q ON q.date = w.date"""
         ),
         "partition_discovery": _compose(
-            """SELECT n.date, min(n.table_name) AS table_name, strftime(n.date, '%Y%m%d') AS date_key
-            FROM (SELECT table_name, CAST(coalesce(
-                      CASE WHEN regexp_full_match(suffix, '\\d{4}-\\d{2}-\\d{2}') THEN try_strptime(suffix, '%Y-%m-%d') END,
-                      CASE WHEN regexp_full_match(suffix, '\\d{8}') THEN try_strptime(suffix, '%Y%m%d') END) AS DATE) AS date
+            f"""SELECT n.date, coalesce(min(n.table_name) FILTER (WHERE regexp_full_match(n.table_name, 'nbbom_[0-9]{{8}}')), min(n.table_name)) AS table_name,
+                strftime(n.date, '%Y%m%d') AS date_key
+            FROM (SELECT table_name, CAST(try_strptime(
+                      lpad(regexp_extract(suffix, '{_DATE}', 1), 4, '0') || '-' || lpad(regexp_extract(suffix, '{_DATE}', 3), 2, '0')
+                      || '-' || lpad(regexp_extract(suffix, '{_DATE}', 4), 2, '0'), '%Y-%m-%d') AS DATE) AS date
                   FROM (SELECT DISTINCT suffix, 'nbbom_' || suffix AS table_name FROM (
                       SELECT strftime(ts, '%Y%m%d') AS suffix FROM events
                       UNION ALL SELECT strftime(ts, '%Y-%m-%d') FROM events
+                      UNION ALL SELECT strftime(ts, '%Y-%-m-%-d') FROM events
+                      UNION ALL SELECT strftime(ts + INTERVAL 31 DAY, '%Y%m%-d') FROM events
                       UNION ALL SELECT event_type FROM events
-                      UNION ALL SELECT '2024' || lpad(CAST(event_id % 10000 AS VARCHAR), 4, '0') FROM events))) n
+                      UNION ALL SELECT '2024' || lpad(CAST(event_id % 10000 AS VARCHAR), 4, '0') FROM events)
+                  WHERE regexp_full_match(suffix, '[0-9]{{4}}-[^-]+-[^-]+|[0-9]+'))) n
             JOIN weekdays ON weekdays.date = n.date GROUP BY n.date"""
         ),
         "completeness": _compose(
-            """SELECT t.symbol, t.date, coalesce(b.n_bars, 0) AS n_bars,
+            f"""SELECT t.symbol, t.date, coalesce(b.n_bars, 0) AS n_bars,
                    CASE WHEN b.n_bars IS NULL THEN 'skipped' ELSE 'extracted' END AS status
-            FROM (SELECT s.symbol, d.date FROM (SELECT DISTINCT symbol FROM bars) s
-                  CROSS JOIN (SELECT DISTINCT date FROM quotes WHERE isodow(date) <= 5) d) t
+            FROM (SELECT s.symbol, d.date FROM (SELECT unnest([{', '.join(repr(x) for x in EXPECTED)}]) AS symbol) s
+                  CROSS JOIN (SELECT DISTINCT date FROM quotes) d) t
             LEFT JOIN (SELECT symbol, date, count(*) AS n_bars FROM bars GROUP BY symbol, date) b
             ON b.symbol = t.symbol AND b.date = t.date"""
         ),

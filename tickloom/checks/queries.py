@@ -25,6 +25,8 @@ from tickloom.sources.quotes import read_event_quotes
 
 SPLITS = SplitDates(date(2024, 1, 20), date(2024, 1, 21), date(2024, 1, 25), date(2024, 1, 26))
 SYMBOLS = ("click", "error", "purchase", "signup", "view")
+# One symbol of these has no bars.
+EXPECTED = (*SYMBOLS, "refund")
 PAIRS = (
     ("click", "error"), ("click", "purchase"), ("click", "signup"), ("click", "view"), ("error", "purchase"),
     ("error", "signup"), ("error", "view"), ("purchase", "signup"), ("purchase", "view"), ("signup", "view"),
@@ -148,6 +150,8 @@ def partition_discovery(spark, sf_dir):
     suffixes = F.array(
         fn.date_key(day),
         day.cast("string"),
+        F.date_format(day, "y-M-d"),
+        F.date_format(F.date_add(day, 31), "yMMd"),
         F.col("event_type"),
         F.concat(F.lit("2024"), F.lpad((F.col("event_id") % 10000).cast("string"), 4, "0")),
     )
@@ -161,7 +165,7 @@ def partition_discovery(spark, sf_dir):
 
 def completeness(spark, sf_dir):
     stored = stored_bars(spark, sf_dir)
-    return _comparable(calendar.completeness(stored, quotes(spark, sf_dir).select("date").distinct()))
+    return _comparable(calendar.completeness(stored, quotes(spark, sf_dir).select("date").distinct(), EXPECTED))
 
 
 def bar_dedup(spark, sf_dir):

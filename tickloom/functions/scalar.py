@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from tickloom.settings import BAR_SECONDS, NS_PER_SECOND, SessionHours, SplitDates
 
+# How a month and a day may be written.
+MONTH = "(1[0-2]|0[1-9]|[1-9])"
+DAY = "(3[01]|[12][0-9]|0[1-9]|[1-9]| [1-9])"
+
 
 def nan_to_null(value: Column) -> Column:
     return F.nanvl(value, F.lit(None).cast("double"))
@@ -73,10 +77,18 @@ def bar_clock(day: Column, bucket: Column, bar_seconds: int = BAR_SECONDS) -> Co
 
 
 def try_parse_date(text: Column) -> Column:
-    """``YYYY-MM-DD`` or ``YYYYMMDD``; NULL when neither fits."""
-    dashed = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
-    packed = F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd"))
-    return F.coalesce(dashed, packed)
+    """Year, month and day with dashes or packed; NULL when neither fits.
+
+    Month and day may be of one digit. A packed text gives the month as many digits as leave a day.
+    """
+
+    def numbers(separator: str) -> Column:
+        pattern = f"^([0-9]{{4}}){separator}{MONTH}{separator}{DAY}$"
+        parts = [F.lpad(F.trim(F.regexp_extract(text, pattern, k)), width, "0") for k, width in ((1, 4), (2, 2), (3, 2))]
+        known = text.rlike(pattern) & ~text.startswith("0000")
+        return F.when(known, F.try_to_date(F.concat_ws("-", *parts), "yyyy-MM-dd"))
+
+    return F.coalesce(numbers("-"), numbers(""))
 
 
 def parse_date(text: Column) -> Column:

@@ -53,13 +53,16 @@ def reconcile_calendar(calendar: DataFrame, available: DataFrame, holidays: Iter
 
 
 def dates_from_names(tables: DataFrame, column: str = "table_name") -> DataFrame:
-    """Distinct dates of daily tables; names without a valid date are skipped."""
+    """Distinct dates of daily tables; names without a valid date are skipped.
+
+    Of several tables of one day, the one whose name packs the date in eight digits counts.
+    """
     text = F.regexp_extract(column, TABLE_NAME_PATTERN, 1)
     return (
         tables.select(F.col(column).alias("table_name"), fn.try_parse_date(text).alias("date"))
         .filter(F.col("date").isNotNull())
         .groupBy("date")
-        .agg(F.min("table_name").alias("table_name"))
+        .agg(F.min(F.struct(~F.col("table_name").rlike("^nbbom_[0-9]{8}$"), "table_name"))["table_name"].alias("table_name"))
     )
 
 
@@ -68,17 +71,14 @@ def existing_days(requested: DataFrame, discovered: DataFrame) -> DataFrame:
     return requested.join(discovered.select("date"), "date", "left_semi")
 
 
-def completeness(bars: DataFrame, days: DataFrame) -> DataFrame:
+def completeness(bars: DataFrame, days: DataFrame, symbols: Iterable[str]) -> DataFrame:
     """Expected against extracted (symbol, day) tasks.
 
-    Every symbol carries the list of expected days in one row and unfolds it, so
-    nothing is cross-joined; a missing task shows as ``skipped``.
+    Expected is every listed symbol on every given day, whatever the weekday; each day unfolds
+    the list. A missing task shows as ``skipped``.
     """
-    expected_days = days.agg(F.min("date").alias("first_day"), F.max("date").alias("last_day")).first()
-    symbols = bars.select("symbol").distinct()
-    tasks = symbols.select(
-        "symbol", F.explode(_weekday_array(F.lit(expected_days[0]), F.lit(expected_days[1]))).alias("date")
-    ).join(days.select("date").distinct(), "date", "left_semi")
+    names = F.array(*(F.lit(s) for s in dict.fromkeys(symbols))).cast("array<string>")
+    tasks = days.select("date").distinct().select(F.explode(names).alias("symbol"), "date")
     done = bars.groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("n_bars"))
     return tasks.join(done, ["symbol", "date"], "left").select(
         "symbol",

@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tickloom.functions.stats import f_tail_udf
 from tickloom.operators.evaluation import prediction_metrics
@@ -57,13 +57,19 @@ def _residual_sum(n: float, sums: np.ndarray, products: np.ndarray) -> float:
     return max(float(n * (cov[0, 0] - cov[1:, 0] @ beta)), 0.0)
 
 
-@F.pandas_udf(DoubleType())
-def _residual_sum_udf(n: pd.Series, sums: pd.Series, products: pd.Series) -> pd.Series:
-    """One small solve per aggregated row; no data rows get here."""
-    return pd.Series(
-        [_residual_sum(c, np.asarray(s, float), np.asarray(p, float)) if c else None for c, s, p in zip(n, sums, products)],
-        dtype="float64",
-    )
+_RESIDUAL_SUMS = StructType([StructField("rss_r", DoubleType()), StructField("rss_u", DoubleType())])
+
+
+@F.pandas_udf(_RESIDUAL_SUMS)
+def _residual_sums_udf(
+    rn: pd.Series, rs: pd.Series, rp: pd.Series, un: pd.Series, us: pd.Series, up: pd.Series
+) -> pd.DataFrame:
+    """Two small solves per aggregated row; no data rows get here."""
+
+    def solved(counts: pd.Series, sums: pd.Series, products: pd.Series) -> list[float | None]:
+        return [_residual_sum(c, np.asarray(s, float), np.asarray(p, float)) if c else None for c, s, p in zip(counts, sums, products)]
+
+    return pd.DataFrame({"rss_r": solved(rn, rs, rp), "rss_u": solved(un, us, up)}, dtype="float64")
 
 
 def _masked(prefix: str, names: Sequence[str]) -> list[Column]:
@@ -124,16 +130,14 @@ def granger_tests(
         *PAIR_KEYS,
         "direction",
         F.col("un").alias("n"),
-        _residual_sum_udf("rn", "rs", "rp").alias("rss_r"),
-        _residual_sum_udf("un", "us", "up").alias("rss_u"),
-    )
+        _residual_sums_udf("rn", "rs", "rp", "un", "us", "up").alias("rss"),
+    ).select(*PAIR_KEYS, "direction", "n", "rss.*")
     df1 = F.lit(float(width))
     df2 = (F.col("n") - 2 * width - (1 if intercept_in_df else 0)).cast("double")
-    # An exact fit leaves rounding noise instead of 0; there is nothing to test then.
+    # An exact fit leaves rounding noise instead of 0; its statistic is NULL.
     fitted = F.col("rss_u") > 1e-12 * F.col("rss_r")
-    tested = solved.filter(fitted & (df2 > 0)).withColumn(
-        "f_statistic", ((F.col("rss_r") - F.col("rss_u")) / df1) / (F.col("rss_u") / df2)
-    )
+    statistic = ((F.col("rss_r") - F.col("rss_u")) / df1) / (F.col("rss_u") / df2)
+    tested = solved.filter(df2 > 0).withColumn("f_statistic", F.when(fitted, statistic))
     p_value = f_tail_udf("f_statistic", df1, df2)
     return (
         tested.withColumn("p_value", p_value)

@@ -37,7 +37,6 @@ class Experiment:
 
 
 # Training rows per task: a boosting round is many short jobs, so tiny tasks cost more than they save.
-ROWS_PER_TASK = 100_000
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -56,7 +55,7 @@ def fit_trees(
     """
     shared_dir(train.sparkSession)  # lets the fit checkpoint its running residuals
     rows = complete_cases(train, features, target).select(*dict.fromkeys((*features, target)))
-    rows = rows.coalesce(max(1, rows.count() // ROWS_PER_TASK))
+    rows = materialize(rows, "training-rows")  # read once per level, in file-sized tasks
     trees = GBTRegressor(
         featuresCol="features",
         labelCol=target,

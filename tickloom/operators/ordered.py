@@ -120,8 +120,7 @@ def history_positions(
     days = days.select(*keys, "_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy(*keys, "_day").orderBy(*order))
     return (
-        dated.withColumn("_rn", within)
-        .join(days, [*keys, "_day"])
+        join_on_keys(dated.withColumn("_rn", within), days, [*keys, "_day"])
         .withColumn("pos", F.col("_before") + F.col("_rn") - 1)
         .drop("_day", "_rn", "_before")
     )

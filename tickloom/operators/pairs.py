@@ -17,36 +17,17 @@ from tickloom.settings import ACF_LAGS, CHUNK_ROWS, PAIR_LAGS, materialize
 
 PAIR_KEYS = ["symbol_a", "symbol_b"]
 
-# A pair is two short strings: a table of this many stays near 100 MB.
-MAX_BROADCAST_PAIRS = 1_000_000
-SALTS = 64
-
 
 def pair_table(spark: SparkSession, pairs: Iterable[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame(list(dict.fromkeys(pairs)), "symbol_a string, symbol_b string")
 
 
-def _with_partners(side_a: DataFrame, pairs: DataFrame, max_broadcast: int) -> DataFrame:
-    """Bars of side a, once per pair they belong to.
-
-    A pair list of checked size is broadcast, so every bar finds its partners
-    where it is. A longer list is joined by shuffle, and the bars of a symbol
-    with very many partners are then spread over ``SALTS`` tasks.
-    """
-    if pairs.count() <= max_broadcast:
-        return side_a.join(F.broadcast(pairs), "symbol_a")
-    salted = pairs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = side_a.withColumn("_salt", F.pmod(F.hash("date", "bucket"), F.lit(SALTS)))
-    return spread.join(salted, ["symbol_a", "_salt"]).drop("_salt")
-
-
-def pair_join(
-    bars: DataFrame, pairs: DataFrame, columns: Mapping[str, str], max_broadcast: int = MAX_BROADCAST_PAIRS
-) -> DataFrame:
+def pair_join(bars: DataFrame, pairs: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Inner equi-join of two symbols' bars on (date, bucket), one row per pair and bar.
 
     ``columns`` maps bar columns to the names they get behind ``a_`` and ``b_``.
-    Only symbols some pair names are shuffled. A ``split`` column is taken from side a.
+    Only symbols some pair names are shuffled. The list of pairs has no hint: adaptive execution
+    broadcasts one it has measured to be small, and splits a symbol with many partners otherwise. A ``split`` column is taken from side a.
     """
     pairs = pairs.select(*PAIR_KEYS).distinct()
     shared = ["split"] if "split" in bars.columns else []
@@ -56,7 +37,7 @@ def pair_join(
     side_b = bars.select(
         F.col("symbol").alias("symbol_b"), "date", "bucket", *(F.col(c).alias(f"b_{n}") for c, n in columns.items())
     ).join(pairs.select("symbol_b").distinct(), "symbol_b", "left_semi")
-    joined = _with_partners(side_a, pairs, max_broadcast).join(side_b, ["symbol_b", "date", "bucket"])
+    joined = side_a.join(pairs, "symbol_a").join(side_b, ["symbol_b", "date", "bucket"])
     return joined.select(*PAIR_KEYS, "date", "bucket", *shared, *(f"{s}_{n}" for s in "ab" for n in columns.values()))
 
 

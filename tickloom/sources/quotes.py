@@ -43,7 +43,7 @@ def select_quotes(
     return quotes
 
 
-def _prices_not_nan(quotes: DataFrame) -> DataFrame:
+def prices_not_nan(quotes: DataFrame) -> DataFrame:
     doubles = ["best_bid", "best_bidsiz", "best_ask", "best_asksiz"]
     return quotes.withColumns({c: fn.nan_to_null(F.col(c)) for c in doubles})
 
@@ -57,7 +57,7 @@ def read_quotes(
 ) -> DataFrame:
     """All symbols of a ``date=``-partitioned Parquet tree in one scan."""
     quotes = spark.read.schema(QUOTE_SCHEMA).parquet(path)
-    return _prices_not_nan(select_quotes(quotes, symbols, start, end))
+    return prices_not_nan(select_quotes(quotes, symbols, start, end))
 
 
 def jdbc_day_predicates(days: Iterable[date], column: str = "date") -> list[str]:
@@ -79,7 +79,7 @@ def read_quotes_jdbc(
     """
     rows = spark.read.jdbc(url, table, predicates=jdbc_day_predicates(days), properties=dict(properties or {}))
     cast = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in QUOTE_SCHEMA))
-    return _prices_not_nan(select_quotes(cast, symbols))
+    return prices_not_nan(select_quotes(cast, symbols))
 
 
 EVENT_SCHEMA = T.StructType(

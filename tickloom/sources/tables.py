@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.scalar import nan_to_null
+from tickloom.functions.scalar import try_parse_date
 from tickloom.operators.calendar import dates_from_names, weekdays
-from tickloom.sources.quotes import QUOTE_SCHEMA, select_quotes
+from tickloom.sources.quotes import QUOTE_SCHEMA, prices_not_nan, select_quotes
 
 
 def list_catalog_tables(spark: SparkSession, schema: str) -> DataFrame:
@@ -36,11 +36,6 @@ def discover_days(spark: SparkSession, schema: str, start: date, end: date) -> D
     return dates_from_names(tables).filter(F.col("date").between(F.lit(start), F.lit(end))).select("date")
 
 
-def _prices_not_nan(quotes: DataFrame) -> DataFrame:
-    prices = ["best_bid", "best_bidsiz", "best_ask", "best_asksiz"]
-    return quotes.withColumns({c: nan_to_null(F.col(c)) for c in prices})
-
-
 def read_daily_folders(
     spark: SparkSession,
     root: str,
@@ -54,9 +49,9 @@ def read_daily_folders(
     """
     stored = T.StructType(QUOTE_SCHEMA.fields[:-1])
     rows = spark.read.schema(stored).option("recursiveFileLookup", True).parquet(root)
-    day = F.try_to_date(F.regexp_extract("_metadata.file_path", r"/nbbom_(\d{8})/[^/]+$", 1), "yyyyMMdd")
+    day = try_parse_date(F.regexp_extract("_metadata.file_path", r"/nbbom_([^/]+)/[^/]+$", 1))
     dated = rows.withColumn("date", day).filter(F.col("date").isNotNull())
-    return _prices_not_nan(select_quotes(dated, symbols, start, end))
+    return prices_not_nan(select_quotes(dated, symbols, start, end))
 
 
 def read_daily_tables(
@@ -69,6 +64,6 @@ def read_daily_tables(
         raise FileNotFoundError(f"no daily tables in {schema} from {start} to {end}")
     names = [f.name for f in QUOTE_SCHEMA.fields[:-1]]
     days = [
-        spark.table(f"{schema}.{row.table_name}").select(*names).withColumn("date", F.lit(row.date)) for row in wanted
+        spark.table(f"{schema}.`{row.table_name}`").select(*names).withColumn("date", F.lit(row.date)) for row in wanted
     ]
-    return _prices_not_nan(select_quotes(reduce(DataFrame.unionByName, days), symbols))
+    return prices_not_nan(select_quotes(reduce(DataFrame.unionByName, days), symbols))
