@@ -10,18 +10,19 @@ from tickloom.settings import materialize
 
 CELLS = 1 << 16
 LOW_BITS = 48
-BLANKS = r"[ \t\x0B\f\r]+"
+BLANKS = "\t\x0b\f\r"
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), BLANKS), lambda w: w != "")
+    plain = F.translate(F.lower(line), BLANKS, " " * len(BLANKS))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _tokens(words: Column) -> Column:
     """Distinct 64-bit hashes of the pairs of neighbouring words."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
     count = F.size(words) - 1
-    return F.array_distinct(F.zip_with(F.slice(hashes, 1, count), F.slice(hashes, 2, count), lambda a, b: F.xxhash64(a, b)))
+    pairs = F.zip_with(F.slice(words, 1, count), F.slice(words, 2, count), lambda a, b: F.xxhash64(a, b))
+    return F.array_distinct(pairs)
 
 
 def _row_hash(id_col: str, text_col: str) -> Column:
