@@ -218,8 +218,8 @@ def _granger_sql() -> str:
         )
     extra["sums"] = " UNION ALL ".join(selects)
     extra["tested"] = (
-        f"SELECT *, ((rss_r - rss_u) / {width}) / (rss_u / (n - {2 * width})) AS f, (n - {2 * width}) / 2.0 AS half, "
-        f"(rss_r - rss_u) / rss_r AS gain FROM sums WHERE rss_u > 1e-12 * rss_r AND n > {2 * width}"
+        f"SELECT *, CASE WHEN fitted THEN ((rss_r - rss_u) / {width}) / (rss_u / (n - {2 * width})) END AS f, (n - {2 * width}) / 2.0 AS half, "
+        f"CASE WHEN fitted THEN (rss_r - rss_u) / rss_r END AS gain FROM (SELECT *, rss_u > 1e-12 * rss_r AS fitted FROM sums) WHERE n > {2 * width}"
     )
     extra["tail"] = f"SELECT *, 2 * half / (2 * half + {width} * f) AS x FROM tested"
     assert width == 4
@@ -247,8 +247,8 @@ def _granger_1lag_sql() -> str:
         "shares": "SELECT *, 1 - r1 * r1 AS left_r, 1 - (r1 * r1 + r2 * r2 - 2 * r1 * r2 * r12) / (1 - r12 * r12) AS left_u FROM correlated",
     }
     return _compose(
-        f"SELECT symbol_a, symbol_b, direction, n, {_round('(left_r - left_u) / (left_u / (n - 2))', 6, 'f_statistic')}, "
-        f"{_round('(left_r - left_u) / left_r', 6, 'rss_reduction')} FROM shares WHERE left_u > 1e-12 * left_r AND n > 2",
+        f"SELECT symbol_a, symbol_b, direction, n, {_round('CASE WHEN left_u > 1e-12 * left_r THEN (left_r - left_u) / (left_u / (n - 2)) END', 6, 'f_statistic')}, "
+        f"{_round('CASE WHEN left_u > 1e-12 * left_r THEN (left_r - left_u) / left_r END', 6, 'rss_reduction')} FROM shares WHERE n > 2",
         1800,
         extra,
     )

@@ -134,7 +134,7 @@ def granger_tests(
     ).select(*PAIR_KEYS, "direction", "n", "rss.*")
     df1 = F.lit(float(width))
     df2 = (F.col("n") - 2 * width - (1 if intercept_in_df else 0)).cast("double")
-    # An exact fit leaves rounding noise instead of 0; its statistic is NULL.
+    # An exact fit leaves rounding noise instead of 0; its figures are NULL.
     fitted = F.col("rss_u") > 1e-12 * F.col("rss_r")
     statistic = ((F.col("rss_r") - F.col("rss_u")) / df1) / (F.col("rss_u") / df2)
     tested = solved.filter(df2 > 0).withColumn("f_statistic", F.when(fitted, statistic))
@@ -142,6 +142,6 @@ def granger_tests(
     return (
         tested.withColumn("p_value", p_value)
         .withColumn("significant_at_05", F.col("p_value") < 0.05)
-        .withColumn("rss_reduction", F.try_divide(F.col("rss_r") - F.col("rss_u"), F.col("rss_r")))
+        .withColumn("rss_reduction", F.when(fitted, F.try_divide(F.col("rss_r") - F.col("rss_u"), F.col("rss_r"))))
         .select(*PAIR_KEYS, "direction", "n", "f_statistic", "p_value", "significant_at_05", "rss_reduction")
     )
