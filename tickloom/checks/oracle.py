@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from tickloom.checks.queries import CALENDAR, EXPECTED, HOLIDAYS, PAIRS, SPLITS, SYMBOLS
+from tickloom.checks.queries import CALENDAR, EXPECTED, HOLIDAYS, PAIRS, SCAN_DAYS, SPLITS, SYMBOLS
 from tickloom.settings import ACF_LAGS, BAR_LAGS, FEATURES, PAIR_LAGS, SEQUENCE_LENGTH
 
 LAG_LIST = ", ".join(f"lag{k}" for k in BAR_LAGS)
@@ -329,7 +329,7 @@ DAY_COLUMNS = {
     **{
         name: ("date",)
         for name in (
-            "quote_view", "ofi_events", "ofi_bars", "price_bars", "price_bars_rn", "price_bars_full", "bar_returns",
+            "quote_view", "quote_scan", "ofi_events", "ofi_bars", "price_bars", "price_bars_rn", "price_bars_full", "bar_returns",
             "trading_calendar", "partition_discovery", "completeness", "bar_dedup", "zscore_daily", "zscore_expanding",
             "zscore_train", "lag_features", "ofi_changes", "pair_bars", "pair_returns", "ar1_ols", "bar_files_roundtrip",
         )
@@ -371,6 +371,10 @@ def _statements() -> dict[str, str]:
             f"SELECT {key}, time_ns, seq, {_round('mid')}, {_round('spread')} FROM priced WHERE upper(trim(symbol)) IN "
             f"({', '.join(repr(s.upper()) for s in SYMBOLS)})"
         ),
+        "quote_scan": _compose(
+            "SELECT upper(symbol) AS symbol, time_ns, seq, best_bid, best_bidsiz, best_ask, best_asksiz, date FROM quotes "
+            f"WHERE symbol IN ('click', 'view') AND date BETWEEN DATE '{SCAN_DAYS[0]}' AND DATE '{SCAN_DAYS[1]}'"
+        ),
         "ofi_events": _compose("SELECT * REPLACE (e_bid + 0.0 AS e_bid, e_ask + 0.0 AS e_ask) FROM flow"),
         "ofi_bars": _compose("SELECT * FROM bars"),
         "price_bars": _compose(f"SELECT {key}, {price_list}, n_quotes FROM pbars"),
@@ -487,5 +491,5 @@ def _statements() -> dict[str, str]:
         "granger_1lag": _granger_1lag_sql(),
         "granger": _granger_sql(),
         "metric_json_roundtrip": _compose(f"SELECT model, split, {score_list}, n_samples FROM scores"),
-        "bar_files_roundtrip": _compose("SELECT date, symbol, bucket, ofi, n_events, bar_start, bar_end FROM bars"),
+        "bar_files_roundtrip": _compose("SELECT date, symbol, bucket, ofi, n_events, bar_start, bar_end, 1 AS n_daily, 1 AS n_combined FROM bars"),
     }

@@ -21,7 +21,7 @@ from tickloom.plans.training import train_trees
 from tickloom.settings import FEATURES, TARGET, BarSpec, SplitDates, materialize, scratch_path
 from tickloom.sources import bars as bar_files
 from tickloom.sources import metrics as metric_files
-from tickloom.sources.quotes import read_event_quotes
+from tickloom.sources.quotes import read_event_quotes, read_quotes
 
 SPLITS = SplitDates(date(2024, 1, 20), date(2024, 1, 21), date(2024, 1, 25), date(2024, 1, 26))
 SYMBOLS = ("click", "error", "purchase", "signup", "view")
@@ -33,6 +33,7 @@ PAIRS = (
 )
 PAIR_SPEC = BarSpec(bar_seconds=1800)
 SUITE_PAIR = ("click", "view")
+SCAN_DAYS = (date(2024, 1, 5), date(2024, 1, 20))
 CALENDAR = (date(2024, 1, 1), date(2024, 2, 29))
 HOLIDAYS = (date(2024, 1, 1), date(2024, 1, 15), date(2024, 2, 19))
 FORECASTS = {"persistence": "ofi_z", "zero": None, "lag1": "lag1"}
@@ -110,6 +111,14 @@ def quote_view(spark, sf_dir):
     return _comparable(prices.priced_quotes(listed))
 
 
+def quote_scan(spark, sf_dir):
+    """Quotes stored by day and read back for some symbols and days."""
+    path = scratch_path(spark, "quotes")
+    stored = quotes(spark, sf_dir).withColumn("symbol", F.upper("symbol"))
+    stored.hint("rebalance", "date").write.partitionBy("date").parquet(path)
+    return _comparable(read_quotes(spark, path, [" click", "VIEW ", "none"], *SCAN_DAYS))
+
+
 def ofi_events(spark, sf_dir):
     return _comparable(events.ofi_events(quotes(spark, sf_dir)))
 
@@ -321,17 +330,19 @@ def metric_json_roundtrip(spark, sf_dir):
 
 
 def bar_files_roundtrip(spark, sf_dir):
-    """Bars through the daily sink and the combined sink, read back and joined on every column."""
+    """Bars through the daily sink and the combined sink: how often each row came back from either."""
     path = scratch_path(spark, "bar-files")
     bar_files.write_bar_partitions(bars(spark, sf_dir), f"{path}/daily")
     daily = bar_files.read_bar_partitions(spark, f"{path}/daily")
     bar_files.write_combined(daily, f"{path}/combined")
     combined = bar_files.read_dataset(spark, f"{path}/combined")
-    return _comparable(daily.join(combined, daily.columns, "left_semi"))
+    both = daily.withColumn("copy", F.lit("daily")).unionByName(combined.withColumn("copy", F.lit("combined")))
+    counts = (F.count_if(F.col("copy") == c).alias(f"n_{c}") for c in ("daily", "combined"))
+    return _comparable(both.groupBy(*daily.columns).agg(*counts))
 
 
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    quote_view, ofi_events, ofi_bars, price_bars, price_bars_rn, price_bars_full, bar_returns, return_stats,
+    quote_view, quote_scan, ofi_events, ofi_bars, price_bars, price_bars_rn, price_bars_full, bar_returns, return_stats,
     trading_calendar, partition_discovery, completeness, bar_dedup, bar_time, zscore_daily, zscore_expanding,
     zscore_train, lag_features, ofi_changes, describe_ofi, dataset_profile, sequences, pair_bars, pair_returns,
     pair_corr, lead_lag, acf, metrics, rank_ic, best_model, model_report, ar1_ols, ar_p, granger_1lag, granger,

@@ -45,6 +45,8 @@ def read_bar_files(spark: SparkSession, path: str, skip_combined: bool = True) -
     try:
         rows = spark.read.option("pathGlobFilter", BAR_FILE_PATTERN).parquet(path)
     except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         raise FileNotFoundError(f"no bar files in {path}") from error
     if skip_combined:
         rows = rows.filter(~F.col("_metadata.file_name").contains("combined"))
