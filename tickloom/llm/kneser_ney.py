@@ -16,7 +16,7 @@ from tickloom.settings import materialize
 
 BITS = 12
 ALPHABET = 1 << BITS
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
 
 
 @dataclass(frozen=True)
@@ -30,7 +30,7 @@ class ModelSettings:
     held_out_pct: int = 10
     quantile: float = 0.99
     slack: float = 1.15
-    block_docs: int = 4096
+    block_docs: int = 16384
 
 
 def gram_keys(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,20 +71,28 @@ _GRAMS_DDL = "block long, lang string, gram long, n long"
 _GRAMS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One sorted list of n-grams with summed counts out of several."""
+    grams, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    return grams, np.bincount(at, np.concatenate([n for _, n in parts]), len(grams)).astype(np.int64)
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
     """Distinct n-grams per block and language, with their number in the training documents."""
     for batch in batches:
-        groups: dict[tuple, tuple[list, list]] = {}
-        for block, lang, train, text in zip(*(c.to_pylist() for c in batch.columns)):
-            trained, others = groups.setdefault((block, lang), ([], []))
-            (trained if train else others).append(text)
-        for (block, lang), (trained, others) in groups.items():
-            for texts, counted in ((trained, True), (others, False)):
+        found: dict[tuple, list] = {}
+        for at in range(0, batch.num_rows, 1000):
+            groups: dict[tuple, list[str]] = {}
+            for block, lang, train, text in zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns)):
+                groups.setdefault((block, lang, train), []).append(text)
+            for (block, lang, train), texts in groups.items():
                 for part in slices(texts):
                     grams, n = np.unique(gram_keys(texts[part], order)[0], return_counts=True)
-                    columns = [pa.array([v] * len(grams), t) for v, t in ((block, pa.int64()), (lang, pa.string()))]
-                    columns += [pa.array(grams), pa.array(n if counted else n * 0)]
-                    yield pa.RecordBatch.from_arrays(columns, schema=_GRAMS)
+                    found.setdefault((block, lang), []).append((grams, n if train else n * 0))
+        for (block, lang), parts in found.items():
+            grams, n = _merged(parts)
+            names = [pa.array([v], t).take(pa.array(np.zeros(len(grams), np.int32))) for v, t in ((block, pa.int64()), (lang, pa.string()))]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(grams), pa.array(n)], schema=_GRAMS)
 
 
 def _discounted(counts: DataFrame) -> DataFrame:
