@@ -36,6 +36,11 @@ class JoinSettings:
     def sizes_fit(self, a: Column, b: Column) -> Column:
         return (100 * a >= self.percent * b) & (100 * b >= self.percent * a)
 
+    def places_fit(self, n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
+        """Whether a first shared token at these places leaves enough tokens to share."""
+        left = F.least(n_a - at_a, n_b - at_b).cast("long")
+        return (100 + self.percent) * left >= self.percent * (n_a + n_b).cast("long")
+
 
 class _Sets:
     """Shingle sets of texts; remembers word hashes."""
@@ -138,7 +143,7 @@ class _Join:
         )
         chosen = sketch.join(self.classes, "key").filter("doc_id = rep")
         self._sketch = sketch
-        self.rows = chosen.select("rep", "n", F.explode("first").alias("token"))
+        self.rows = chosen.select("rep", "n", F.posexplode("first").alias("at", "token"))
         shared = self.rows.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last")
         self.meeting = materialize(self.rows.join(shared.select("token", "hub"), "token"), "meeting")
 
@@ -171,18 +176,20 @@ class _Join:
     def cross_pairs(self, labels: DataFrame) -> DataFrame:
         """All pairs under a token whose ends are not known to be connected yet.
 
-        Under a token, the documents outside its largest component meet all others.
+        Under a token, the documents outside its largest component meet all others that fit in
+        size, and in place: a pair that links does so under its first shared token.
         """
         known = labels.withColumnRenamed("id", "rep")
-        rows = self.meeting.join(known, "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+        rows = self.meeting.join(known, "rep", "left").select("token", "rep", "n", "at", F.coalesce("component", "rep").alias("comp"))
         rows = materialize(rows, "components-met")
         sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("size"))
         main = sizes.groupBy("token").agg(F.max_by("comp", "size").alias("main"), F.count("*").alias("comps")).filter("comps > 1")
         split = rows.join(main.select("token", "main"), "token")
-        outer = split.filter("comp != main").select("token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-        inner = split.select("token", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), "main")
+        outer = split.filter("comp != main").select("token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("comp").alias("comp_a"))
+        inner = split.select("token", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("comp").alias("comp_b"), "main")
         once = (F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b"))
         fits = self._settings.sizes_fit(F.col("n_a"), F.col("n_b"))
+        fits &= self._settings.places_fit(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"))
         met = outer.alias("o").join(inner.alias("i"), (F.col("o.token") == F.col("i.token")) & (F.col("comp_a") != F.col("comp_b")) & once & fits)
         return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
