@@ -176,10 +176,10 @@ def _without_lines(texts: pa.Array, drop: pa.Array) -> pa.Array:
 
 
 def _drop_lines(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        columns = batch.columns
+    for part in (batch.slice(at, 1000) for batch in batches for at in range(0, batch.num_rows, 1000)):
+        columns = part.columns
         columns[text_at] = _without_lines(columns[text_at], columns[-1])
-        yield pa.RecordBatch.from_arrays(columns[:-1], names=batch.schema.names[:-1])
+        yield pa.RecordBatch.from_arrays(columns[:-1], names=part.schema.names[:-1])
 
 
 def apply_quality(
