@@ -50,3 +50,24 @@ def test_query_finds_all_planted_lines(spark):
         want |= {(r.doc_id, planted[line]) for line in (r.text or "").split("\n") if line in planted}
     found = {(r.doc_id, r.license) for r in op5_license_scan(spark, path).filter("exact").collect()}
     assert want and {x for x in found if x[1] in planted.values()} == want
+
+
+WITHIN = [
+    ("Copyright (c) 2021 Example Corporation. All rights reserved.", "Proprietary", 40),
+    ("(c) sign 2021 Acme Inc. All rights reserved.", "Proprietary", 24),
+    ("This little library was written over many evenings and is now Released under the MIT License.", "MIT", 62),
+    ("All texts and pictures in this small collection of mine are Licensed under CC BY-NC 4.0. Enjoy them.", "CC-BY-NC-4.0", 60),
+    ("the license of " * 300 + "the rest is Licensed under the Apache License, Version 2.0. " + "and so on " * 300, "Apache-2.0", 4512),
+]
+
+
+@pytest.mark.parametrize("text, license, begin", WITHIN)
+def test_wording_within_a_longer_line(spark, text, license, begin):
+    got = scan_licenses(spark.createDataFrame([(1, text, "", "")], SCHEMA)).filter("exact").collect()
+    assert [(r.license, r.begin) for r in got] == [(license, begin)]
+
+
+def test_places_within_a_line_keep_their_differences(spark):
+    text = "The data are Licensed under the CC BY 4.0, the code is Released under the MIT License, and all the rest: All rights reserved."
+    got = scan_licenses(spark.createDataFrame([(1, text, "", "")], SCHEMA)).collect()
+    assert [(r.license, list(r.missing), list(r.added)) for r in got] == [("CC-BY-4.0", [], ["the"]), ("MIT", [], []), ("Proprietary", [], [])]

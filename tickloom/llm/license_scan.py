@@ -1,12 +1,14 @@
-"""License scan by conditional compression, confirmed by the exact differences in wording."""
+"""License scan: wordings placed word by word, ranked by conditional compression."""
 
 from __future__ import annotations
 
-import difflib
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -49,6 +51,7 @@ CUE = re.compile(
     r"|creative commons|\bcc0?[ -](by|1\.0)|free software|\bspdx\b",
     re.IGNORECASE,
 )
+MARKS = re.compile(r"[^\w\s]*")
 WORDS = re.compile(r"[^\W_]+(?:[.][0-9]+)*(?:-[^\W_]+)*")
 
 MATCH_SCHEMA = (
@@ -69,92 +72,172 @@ def wording(text: str) -> list[str]:
     return [w.lower() for w in WORDS.findall(text)]
 
 
+def _edits(template: np.ndarray, found: np.ndarray) -> Iterator[np.ndarray]:
+    """Least edits to turn the first 0, 1, 2, ... words of ``template`` into a run of ``found`` that
+    ends before each position; an edit is a word missing or a word added.
+    """
+    at = np.arange(len(found) + 1)
+    row = np.zeros(len(found) + 1, np.int64)
+    yield row
+    for word in template:
+        last, row = row, row + 1
+        row[1:] = np.where(found == word, np.minimum(row[1:], last[:-1]), row[1:])
+        row = np.minimum.accumulate(row - at) + at
+        yield row
+
+
+def _trace(template: np.ndarray, found: np.ndarray) -> tuple[int, list[int], list[int]]:
+    """Where the run that ends with ``found`` begins, the places missing and the places added. Of
+    equally many edits those count that keep most words.
+    """
+    rows = list(_edits(template, found))
+    i, j, missing, added = len(template), len(found), [], []
+    while i:
+        if j and found[j - 1] == template[i - 1] and rows[i][j] == rows[i - 1][j - 1]:
+            i, j = i - 1, j - 1
+        elif j and rows[i][j] == rows[i][j - 1] + 1:
+            j -= 1
+            added.append(j)
+        else:
+            i -= 1
+            missing.append(i)
+    return j, missing[::-1], added[::-1]
+
+
 def differences(template: list[str], found: list[str]) -> tuple[list[str], list[str]]:
     """Words of the template that are missing, and words added, within where it lies in ``found``."""
-    matcher = difflib.SequenceMatcher(None, template, found, autojunk=False)
-    blocks = [b for b in matcher.get_matching_blocks() if b.size]
-    if not blocks:
-        return template, []
-    begin, end = blocks[0].b, blocks[-1].b + blocks[-1].size
-    kept = [False] * len(template)
-    used = [False] * len(found)
-    for b in blocks:
-        for step in range(b.size):
-            kept[b.a + step] = used[b.b + step] = True
-    missing = [w for w, k in zip(template, kept) if not k]
-    return missing, [found[i] for i in range(begin, end) if not used[i]]
+    ids: dict[str, int] = {}
+    a, b = (np.array([ids.setdefault(w, len(ids)) for w in words], np.int64) for words in (template, found))
+    *_, last = _edits(a, b)
+    _, missing, added = _trace(a, b[: np.flatnonzero(last == last.min())[-1]])
+    return [template[i] for i in missing], [found[j] for j in added]
 
 
 class Scanner:
-    """Ranks templates by how much each, as a raw dictionary, shortens a block's compression."""
+    """Finds where templates are worded in a block, whatever stands around them.
+
+    A place is confirmed if it differs in at most ``max_edits`` of the template's words, and the
+    template, as a raw dictionary, shortens the place's compression by at least ``min_gain`` of the
+    template's own compressed size. ``tries`` bounds how many templates are placed, those that share
+    most words first; without it all are.
+    """
 
-    def __init__(self, templates, min_gain: float, max_edits: float, tries: int):
+    def __init__(self, templates, min_gain: float, max_edits: float, tries: int | None = None):
         self._templates = [(name, wording(text)) for name, text in templates]
         self._min_gain, self._max_edits, self._tries = min_gain, max_edits, tries
+        self.longest = max((len(words) for _, words in self._templates), default=0)
+        self.reach = int(self.longest * (1 + max_edits)) + 1
         self._alone = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
-        self._primed = []
+        self._primed, self._own = [], []
         for _, words in self._templates:
-            data = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            data = " ".join(words).encode()
+            self._own.append(len(self._alone.compress(data)))
+            data = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self._primed.append(
                 zstandard.ZstdCompressor(level=3, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
             )
-        self._known: dict[str, tuple | None] = {}
+        self._ids: dict[str, int] = {}
+        self._coded = [np.array([self._ids.setdefault(w, len(self._ids)) for w in words], np.int64) for _, words in self._templates]
+        self._needs = np.zeros((len(self._templates), len(self._ids)), np.int64)
+        for row, coded in zip(self._needs, self._coded):
+            for word, count in Counter(coded.tolist()).items():
+                row[word] = count
+        self._least = np.array([len(c) - int(max_edits * len(c)) for c in self._coded], np.int64)
+        self._known: dict[tuple[str, ...], list[tuple]] = {}
 
     def match(self, block: str) -> tuple | None:
         """(license, template, gain, missing, added) of the best confirmed template."""
-        if block in self._known:
-            return self._known[block]
-        found = self._match(block)
-        if len(self._known) >= 10_000:
-            self._known.clear()
-        self._known[block] = found
-        return found
-
-    def _match(self, block: str) -> tuple | None:
-        words = wording(block)
-        data = " ".join(words).encode()
-        if not data:
-            return None
-        alone = len(self._alone.compress(data))
-        gains = [(1 - len(c.compress(data)) / alone, -i) for i, c in enumerate(self._primed)]
+        found = self.find(wording(block))
+        return min(found)[-1] if found else None
+
+    def find(self, words: list[str]) -> list[tuple]:
+        """(rank, begin, end, match) of the confirmed places, in positions of words. Of places that
+        overlap the one with the fewest differences counts, then the one with the most bytes saved.
+        """
+        key = tuple(words)
+        known = self._known.get(key)
+        if known is None:
+            if len(self._known) >= 10_000:
+                self._known.clear()
+            known = self._known[key] = self._find(words)
+        return known
+
+    def _find(self, words: list[str]) -> list[tuple]:
+        ids = np.fromiter((self._ids.get(w, -1) for w in words), np.int64, len(words))
+        counts = np.bincount(ids[ids >= 0], minlength=len(self._ids))
+        shared = np.minimum(self._needs, counts).sum(axis=1)
+        asked = np.flatnonzero(shared >= self._least)
+        if self._tries is not None:
+            asked = sorted(asked, key=lambda i: -shared[i] / len(self._coded[i]))[: self._tries]
         confirmed = []
-        for gain, i in sorted(gains, reverse=True)[: self._tries]:
-            if gain < self._min_gain:
-                break
-            name, template = self._templates[-i]
-            missing, added = differences(template, words)
-            edits = len(missing) + len(added)
-            if edits <= self._max_edits * len(template):
-                confirmed.append((edits / len(template), -gain, -len(template), name, -i, gain, missing, added))
-        return min(confirmed)[3:] if confirmed else None
-
-
-def candidate_blocks(text: str) -> Iterator[tuple[int, int]]:
-    """Character ranges of the paragraphs, runs of lines without a blank one, and of the lines
-    in them that have a cue of a license; a line first, then its paragraph if it has more lines.
+        for i in asked:
+            confirmed += self._places(int(i), words, ids)
+        taken, out = np.zeros(len(words), bool), []
+        for place in sorted(confirmed):
+            _, begin, end, _ = place
+            if not taken[begin:end].any():
+                taken[begin:end] = True
+                out.append(place)
+        return out
+
+    def _places(self, i: int, words: list[str], ids: np.ndarray) -> Iterator[tuple]:
+        (name, template), coded = self._templates[i], self._coded[i]
+        *_, last = _edits(coded, ids)
+        ends = np.flatnonzero(last <= self._max_edits * len(template))
+        taken = np.zeros(len(words), bool)
+        for end in ends[np.lexsort((-ends, last[ends]))].tolist():
+            if end == 0 or taken[end - 1]:
+                continue
+            low = max(0, end - len(template) - int(last[end]))
+            begin, missing, added = _trace(coded, ids[low:end])
+            begin += low
+            if taken[begin:end].any():
+                continue
+            taken[begin:end] = True
+            data = " ".join(words[begin:end]).encode()
+            saved = len(self._alone.compress(data)) - len(self._primed[i].compress(data))
+            gain = saved / self._own[i]
+            if gain >= self._min_gain:
+                rank = ((len(missing) + len(added)) / len(template), -saved, -len(template), name, i)
+                lost = [template[k] for k in missing]
+                yield rank, begin, end, (name, i, gain, lost, [words[low + k] for k in added])
+
+
+def candidate_blocks(text: str, reach: int) -> Iterator[list[re.Match]]:
+    """Runs of words within ``reach`` words of a cue of a license. Runs that meet are one; none
+    leaves its paragraph, which ends at a blank line.
     """
     for paragraph in re.finditer(r"[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)*", text):
-        if not CUE.search(paragraph[0]):
+        cues = [c.start() for c in CUE.finditer(text, *paragraph.span())]
+        if not cues:
             continue
-        lines = list(re.finditer(r"[^\n]+", paragraph[0]))
-        for line in lines:
-            if CUE.search(line[0]):
-                yield paragraph.start() + line.start(), paragraph.start() + line.end()
-        if len(lines) > 1:
-            yield paragraph.start(), paragraph.end()
+        words = list(WORDS.finditer(text, *paragraph.span()))
+        starts = [w.start() for w in words]
+        runs: list[list[int]] = []
+        for cue in cues:
+            at = max(0, bisect_right(starts, cue) - 1)
+            if runs and at - reach <= runs[-1][1]:
+                runs[-1][1] = at + reach + 1
+            else:
+                runs.append([max(0, at - reach), at + reach + 1])
+        for begin, end in runs:
+            if run := words[begin:end]:
+                yield run
 
 
-def _scan(batches: Iterator[pa.RecordBatch], templates, min_gain: float, max_edits: float, tries: int) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], templates, min_gain: float, max_edits: float, tries: int | None) -> Iterator[pa.RecordBatch]:
     scanner = Scanner(templates, min_gain, max_edits, tries)
     for batch in batches:
         columns: list[list] = [[] for _ in _MATCHES]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if text is None or not CUE.search(text):
                 continue
-            for begin, end in candidate_blocks(text):
-                if (found := scanner.match(text[begin:end])) is not None:
-                    missing, added = found[3:]
-                    for column, value in zip(columns, (doc_id, begin, end, *found, not missing and not added)):
+            for run in candidate_blocks(text, scanner.reach):
+                found = scanner.find([w[0].lower() for w in run])
+                for _, first, last, match in sorted(found, key=lambda place: place[1]):
+                    begin, end = run[first].start(), MARKS.match(text, run[last - 1].end()).end()
+                    missing, added = match[3:]
+                    for column, value in zip(columns, (doc_id, begin, end, *match, not missing and not added)):
                         column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MATCHES)], schema=_MATCHES)
 
@@ -164,20 +247,21 @@ def scan_licenses(
     templates: tuple[tuple[str, str], ...] = TEMPLATES,
     min_gain: float = 0.4,
     max_edits: float = 0.25,
-    tries: int = 5,
+    tries: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per block of a document that words a license.
+    """One row per place of a document that words a license, within a line or over several.
 
-    A block is a line or paragraph with a cue (see :func:`candidate_blocks`). Each template is a
-    raw zstandard dictionary; those that make the block's compressed size at least ``min_gain``
-    smaller are ranked by that ``gain``, and the best ``tries`` are compared word by word.
-    Confirmed is what differs in at most ``max_edits`` of the template's words; the one with the
-    fewest differences wins, then the larger gain, then the longer template. ``begin`` and
-    ``end`` are character positions; ``missing`` and ``added`` are the differing words.
+    Each template is placed among the words around every cue (see :func:`candidate_blocks`), where
+    the fewest words are missing or added: at most ``max_edits`` of the template's words. As a raw
+    zstandard dictionary it must save at least ``min_gain`` of its own compressed size on the place,
+    the reported ``gain``. Of places that overlap, the one with the fewest differences wins, then
+    the one with the most bytes saved, then the longer template. ``begin`` and ``end`` are character
+    positions, with the marks that follow the last word; ``missing`` and ``added`` are the differing
+    words. ``tries`` bounds the templates placed around a cue; by default all are.
 
-    Null and empty texts have no blocks. Null ids and repeated rows are kept. Other columns are
+    Null and empty texts have no places. Null ids and repeated rows are kept. Other columns are
     dropped. An empty table gives no rows. There is no shuffle.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
