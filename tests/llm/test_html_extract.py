@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from tickloom.llm.html_extract import Node, TrainingSettings, decode, extract, extract_pages, labelled_nodes, parse, text_of, train
+from tickloom.llm.html_extract import Node, TrainingSettings, decided_nodes, decode, extract, extract_pages, labelled_nodes, parse, text_of, train
 from tickloom.llm.queries import op3_html_extract
 
 DATA = "/root/testdata/sf0.001"
@@ -106,3 +106,24 @@ def test_edge_cases(spark, forest):
     assert texts[4].count("\n") == 4999
     assert extract_pages(spark.createDataFrame([], SCHEMA), forest).count() == 0
     train(spark, spark.createDataFrame([], SCHEMA), TrainingSettings(pages=5, trees=1))
+
+
+MAIN = PAGE[PAGE.index('<div class="post-content">') : PAGE.index('<div class="comments">')]
+
+
+@pytest.mark.parametrize(
+    "opening, closing",
+    [("<app-root>", "</app-root>"), ("<ins>", "</ins>"), ("<font size=2><span>", "</span></font>"), ("<b>", ""), ("<app-root><div><x-view>", "</x-view></div></app-root>")],
+)
+def test_blocks_below_inline_and_unknown_elements(forest, opening, closing):
+    page = PAGE.replace(MAIN, opening + MAIN + closing)
+    assert extract(page, forest) == extract(PAGE, forest)
+    root = parse(f"{opening}<h2>title</h2><p>text</p>{closing}")
+    assert text_of(root, {id(n) for n in _all(root)}) == text_of(root, {id(n) for n in decided_nodes(root)}) == "title\ntext"
+
+
+def test_head_without_its_end(forest):
+    for page in (PAGE.replace("</head>", ""), PAGE.replace("</head><body>", ""), PAGE.replace("<head>", "").replace("</head>", "")):
+        assert extract(page, forest) == extract(PAGE, forest) != ""
+    root = parse("<head><title>T</title>text at once<p>more</p><head>and on</head>")
+    assert text_of(root, {id(n) for n in _all(root)}) == "text at once\nmore\nand on"

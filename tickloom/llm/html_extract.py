@@ -25,6 +25,7 @@ BLOCK = frozenset(
     "form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table caption tbody td "
     "tfoot th thead tr ul".split()
 )
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 # What an opening tag ends, and the elements beyond which it doesn't reach.
 ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
@@ -88,6 +89,9 @@ class _Builder(HTMLParser):
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in ("html", "body") and (tag == "html" or any(n.tag == "body" for n in self._open())):
             return
+        if tag == "head" and (self.at is not self.root or any(not isinstance(c, str) or c.strip() for c in self.root.children)):
+            return
+        self._leave_head(tag)
         if tag in CLOSES_P:
             self._end(frozenset({"p"}), P_BARRIER)
         if tag in ENDS:
@@ -100,6 +104,12 @@ class _Builder(HTMLParser):
         if tag not in VOID:
             self.at = node
 
+    def _leave_head(self, tag: str) -> None:
+        """Closes an open head at a body, or at what can't stand in a head."""
+        heads = (n for n in self._open() if n.tag == "head") if tag == "body" else iter((self.at,) if self.at.tag == "head" else ())
+        if tag not in IN_HEAD and (head := next(heads, None)) is not None:
+            self.at = head.parent
+
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
 
@@ -120,6 +130,8 @@ class _Builder(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.at.tag == "head" and data.strip():
+            self._leave_head("")
         self.at.children.append(data)
 
 
@@ -156,12 +168,29 @@ class Measures:
 
 
 def decided_nodes(root: Node) -> list[Node]:
-    """Visible block elements in page order, parents first; what a label is given to."""
+    """Visible block elements in page order, parents first; what a label is given to. They may lie
+    in inline or unknown elements.
+    """
     out, todo = [], [root]
     while todo:
         node = todo.pop()
-        out.append(node)
-        todo += [c for c in reversed(node.elements()) if c.tag in BLOCK and c.tag not in HIDDEN]
+        if node is root or node.tag in BLOCK:
+            out.append(node)
+        todo += [c for c in reversed(node.elements()) if c.tag not in HIDDEN]
+    return out
+
+
+def decided_parents(nodes: list[Node]) -> list[int]:
+    """Place of each node's nearest ancestor among ``nodes``; -1 for the first, the root."""
+    nearest = {id(n): i for i, n in enumerate(nodes)}
+    out = [-1]
+    for node in nodes[1:]:
+        passed, at = [], node.parent
+        while id(at) not in nearest:
+            passed.append(id(at))
+            at = at.parent
+        out.append(nearest[id(at)])
+        nearest.update(dict.fromkeys(passed, out[-1]))
     return out
 
 
@@ -175,13 +204,15 @@ def _sums(root: Node) -> dict[int, Measures]:
         order.append(node)
         todo += [(c, inside) for c in node.elements() if c.tag not in HIDDEN]
     sums: dict[int, Measures] = {}
+    holds_block: dict[int, bool] = {}
     for node in reversed(order):
         own = " ".join(" ".join(c for c in node.children if isinstance(c, str)).split())
         m = Measures(len(own), len(own) * linked[id(node)], node.tag == "a", 1, node.tag in BLOCK and bool(own), own.count(" ") + bool(own), sum(map(own.count, ".,;:!?")))
         for child in node.elements():
             if child.tag not in HIDDEN:
                 m.add(sums[id(child)])
-        if node.tag in BLOCK and not any(c.tag in BLOCK for c in node.elements()):
+        holds_block[id(node)] = any(c.tag in BLOCK or holds_block.get(id(c), False) for c in node.elements())
+        if node.tag in BLOCK and not holds_block[id(node)]:
             m.longest = max(m.longest, m.chars)
         sums[id(node)] = m
     return sums
@@ -190,11 +221,14 @@ def _sums(root: Node) -> dict[int, Measures]:
 def features(root: Node) -> tuple[list[Node], np.ndarray]:
     """Nodes to decide on and their features: own subtree, attribute words, depth, siblings."""
     nodes, sums = decided_nodes(root), _sums(root)
+    below: list[list[Node]] = [[] for _ in nodes]
+    for node, parent in zip(nodes[1:], decided_parents(nodes)[1:]):
+        below[parent].append(node)
     whole = max(1, sums[id(root)].chars)
     rows = np.zeros((len(nodes), len(FEATURES)), np.float64)
     above: dict[int, tuple[int, float, float]] = {}
     places: dict[int, tuple[int, int, int, int, int]] = {}
-    for row, node in zip(rows, nodes):
+    for row, node, children in zip(rows, nodes, below):
         depth, against_above, for_above = above.get(id(node), (0, 0.0, 0.0))
         m, kind = sums[id(node)], _kind(node.tag)
         against = len(AGAINST.findall(f"{node.tag} {node.tokens}"))
@@ -207,7 +241,6 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
             len(node.elements()), place / max(1, count - 1), count, alike / count, m.chars / max(1, beside), before / whole,
             np.log1p(m.longest),
         )
-        children = [c for c in node.elements() if c.tag in BLOCK and c.tag not in HIDDEN]
         together = sum(sums[id(c)].chars for c in children)
         same = {t: sum(c.tag == t for c in children) for t in {c.tag for c in children}}
         passed = before
@@ -262,15 +295,15 @@ def decode(nodes: list[Node], log_odds: np.ndarray) -> set[int]:
     """Identities of the kept nodes of the most probable labelling in which nothing is kept below
     a node that is not.
     """
-    index = {id(n): i for i, n in enumerate(nodes)}
+    parents = decided_parents(nodes)
     keep, drop = -np.logaddexp(0, -log_odds), -np.logaddexp(0, log_odds)
     for i in range(len(nodes) - 1, 0, -1):
-        parent = index[id(nodes[i].parent)]
+        parent = parents[i]
         keep[parent] += max(keep[i], drop[i])
         drop[parent] += drop[i]
     kept: set[int] = set()
     for i, node in enumerate(nodes):
-        if (i == 0 or id(node.parent) in kept) and keep[i] >= drop[i]:
+        if (i == 0 or id(nodes[parents[i]]) in kept) and keep[i] >= drop[i]:
             kept.add(id(node))
     return kept
 
