@@ -78,3 +78,9 @@ def test_edge_cases(spark):
     assert got[0].text == "own line 0 \x0b x" and (got[0].kept, got[0].row_hash, got[0].host) == ("k", "r", "h")
     assert 20 not in got and 50 not in got and got[70].text.startswith("copied")
     assert left.count() == sum(r[-2] for r in want)
+
+
+def test_a_line_in_many_texts_is_common_on_a_large_host(spark):
+    rows = [(i, f"own line number {i}" + "\nshared by a few of many" * (i < 15), "big", "k", "r", "h") for i in range(400)]
+    got = {r.doc_id: r.common_words for r in measure_quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: 6 * (i < 15) for i in range(400)}

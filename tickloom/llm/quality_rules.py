@@ -22,14 +22,14 @@ BLANKS = " \t\n\x0b\x0c\r"
 @dataclass(frozen=True)
 class RuleLimits:
     """``base_*``: the document alone. A line is common on a host if it stands in at least
-    ``line_min_docs`` different texts and in more than ``line_share_pct`` percent of them. A
-    document is depleted if more than ``depleted_pct`` percent of its words are in such lines.
+    ``line_min_docs`` different texts, however many the host has, and in more than
+    ``line_share_pct`` percent of them (0: the count alone decides). A document is depleted if more than ``depleted_pct`` percent of its words are in such lines.
     """
 
     base_min_words: int = 50
     base_repeat_pct: int = 50
     line_min_docs: int = 10
-    line_share_pct: int = 10
+    line_share_pct: int = 0
     depleted_pct: int = 60
 
 
