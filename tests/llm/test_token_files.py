@@ -167,3 +167,10 @@ def test_random_access(tmp_path, total):
         with pytest.raises(IndexError):
             reader.sequence(count)
         assert sum(b.num_rows for b in pa.ipc.open_stream(pa.memory_map(path))) == count
+
+
+def test_added_tokens_as_the_library_by_default():
+    whole, encoder = Tokenizer.from_file(PATH), ChunkEncoder(PATH)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " x <|endoftext|><|endoftext|> y", "<|endoftext|", None, "plain words", "a\n<|endoftext|> \n b "]
+    for text, packed in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(packed, encoder.dtype).tolist() == whole.encode(text or "", add_special_tokens=False).ids

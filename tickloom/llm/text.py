@@ -164,7 +164,8 @@ class ChunkEncoder(ChunkCache):
     """Exact token ids of whole texts by the `tokenizers` library, as packed integers.
 
     For byte-level vocabularies with the common pattern. The pattern's matches go to the
-    library's model one by one. Special tokens in a text are ordinary text.
+    library's model one by one. Added tokens, such as <|endoftext|>, are found in a text as the
+    library finds them by default, and give their ids.
     """
 
     def __init__(self, path: str, most: int = 700_000):
@@ -174,10 +175,23 @@ class ChunkEncoder(ChunkCache):
         self.dtype = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._code = "H" if self.dtype.itemsize == 2 else "I"
         self._symbols = byte_symbols()
+        added = tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError(f"{path} has added tokens that are not matched literally")
+        self._added = {t.content: self.pack([i]) for i, t in added.items()}
+        by_length = sorted(self._added, key=len, reverse=True)
+        self._split = re.compile("(" + "|".join(map(re.escape, by_length)) + ")").split if added else None
         probe = "It's a\t\tprobe,  12é  "
         if [t for m in self._matches(probe) for t in self._ids(m)] != tokenizer.encode(probe, add_special_tokens=False).ids:
             raise ValueError(f"{path} does not split texts by the common byte-level pattern")
 
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self._added:
+            return super().encode(texts)
+        parts = [self._split(text) if text and any(a in text for a in self._added) else [text] for text in texts]
+        plain = iter(super().encode([part for split in parts for part in split[::2]]))
+        return [b"".join(self._added[part] if i % 2 else next(plain) for i, part in enumerate(split)) for split in parts]
+
     def pack(self, ids) -> bytes:
         return array(self._code, ids).tobytes()
 
