@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm import bpe, cap_filters, html_extract, kneser_ney, license_scan, line_dedup, ngram_join, packing, quality_rules, token_files
+from tickloom.llm import ball_codes, bisector_clusters, bpe, cap_filters, html_extract, kneser_ney, license_scan, line_dedup, ngram_join, oracle, packing, quality_rules, token_files
 from tickloom.settings import scratch_path
 
 
@@ -78,12 +78,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bisector_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_codes.encode_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    op1_kneser_ney, op2_token_files, op3_html_extract, op4_ngram_join, op5_license_scan, op6_line_dedup, op7_quality_rules, op8_cap_filters, op9_byte_bpe, op10_packing, pipeline,
+    op1_kneser_ney, op2_token_files, op3_html_extract, op4_ngram_join, op5_license_scan, op6_line_dedup, op7_quality_rules, op8_cap_filters, op9_byte_bpe, op10_packing,
+    op12_bisector_clusters, op13_ball_codes, pipeline,
 )
 
 
@@ -93,4 +102,4 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def statements() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    return {"op12_bisector_clusters": oracle.bisector_clusters(), "op13_ball_codes": oracle.ball_codes()}
