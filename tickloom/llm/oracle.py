@@ -7,6 +7,34 @@ _WHOLE = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)"
 _SQUARE = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 
 
+def phrase_index(width: int = 10) -> str:
+    words = (
+        "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+        "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    )
+
+    def run(length: str) -> str:
+        """Words of a list from place i on, as one text; words hold no blanks."""
+        return f"array_to_string(w[i : i + {length} - 1], ' ')"
+
+    return (
+        f"WITH d AS (SELECT doc_id, {words} AS w FROM documents), "
+        f"b AS (SELECT item_id, w, least(len(w), {width}) AS size FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) > 0), "
+        f"windows AS (SELECT DISTINCT item_id, size, {run('size')} AS phrase FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM b)), "
+        "sizes AS (SELECT DISTINCT size FROM windows), "
+        f"places AS (SELECT doc_id, i, size, {run('size')} AS phrase FROM "
+        "(SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d CROSS JOIN sizes WHERE len(w) >= size)), "
+        "found AS (SELECT doc_id, i, size, item_id FROM places JOIN windows USING (size, phrase)), "
+        "hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM "
+        "(SELECT doc_id, unnest(range(i, i + size)) AS place FROM (SELECT DISTINCT doc_id, i, size FROM found)) GROUP BY doc_id), "
+        "items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS listed "
+        "FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id) "
+        "SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, "
+        "sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated "
+        "FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"
+    )
+
+
 def bisector_clusters(k: int = 40, rounds: int = 5, dim: int = 64, seed: int = 2) -> str:
     square = _SQUARE.format(a="t.v", b="c.v")
     steps = [

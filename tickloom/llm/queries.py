@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm import ball_codes, bisector_clusters, bpe, cap_filters, html_extract, kneser_ney, license_scan, line_dedup, ngram_join, oracle, packing, quality_rules, token_files
+from tickloom.llm import ball_codes, bisector_clusters, bpe, cap_filters, html_extract, kneser_ney, license_scan, line_dedup, ngram_join, oracle, packing, phrase_index, quality_rules, token_files
 from tickloom.settings import scratch_path
 
 
@@ -78,6 +78,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+
+
 def op12_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bisector_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -92,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_kneser_ney, op2_token_files, op3_html_extract, op4_ngram_join, op5_license_scan, op6_line_dedup, op7_quality_rules, op8_cap_filters, op9_byte_bpe, op10_packing,
-    op12_bisector_clusters, op13_ball_codes, pipeline,
+    op11_phrase_index, op12_bisector_clusters, op13_ball_codes, pipeline,
 )
 
 
@@ -102,4 +106,8 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def statements() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op12_bisector_clusters": oracle.bisector_clusters(), "op13_ball_codes": oracle.ball_codes()}
+    return {
+        "op11_phrase_index": oracle.phrase_index(),
+        "op12_bisector_clusters": oracle.bisector_clusters(),
+        "op13_ball_codes": oracle.ball_codes(),
+    }
