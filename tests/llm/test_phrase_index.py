@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from tickloom.llm.phrase_index import IndexSettings, build_index, contamination, pack, proximity_matches, unpack, words_of
+from tickloom.llm.phrase_index import IndexSettings, build_index, contamination, pack, proximity_matches, unpack, word_array, words_of
 
 DOCS = "doc_id long, text string, block string, term string, phrases int, n_hit int"
 ITEMS = "item_id long, text string, doc_id string, words string, phrase_id int"
@@ -85,10 +85,10 @@ def corpus(seed, vocabulary=12):
     return docs, items
 
 
-@pytest.mark.parametrize("seed,width,block_words,shards", [(1, 4, 1 << 19, 32), (2, 3, 100, 4), (3, 10, 40, 1), (4, 1, 60, 7)])
-def test_equals_a_scan(spark, seed, width, block_words, shards):
+@pytest.mark.parametrize("seed,width,block_bytes,shards", [(1, 4, 1 << 22, 32), (2, 3, 400, 4), (3, 10, 150, 1), (4, 1, 250, 7)])
+def test_equals_a_scan(spark, seed, width, block_bytes, shards):
     docs, items = corpus(seed)
-    got = contamination(*(f.repartition(3) for f in frames(spark, docs, items)), width, IndexSettings(block_words, shards))
+    got = contamination(*(f.repartition(3) for f in frames(spark, docs, items)), width, IndexSettings(block_bytes, shards))
     assert result(got) == brute(docs, items, width)
 
 
@@ -97,7 +97,7 @@ def test_edge_cases(spark):
     docs += [(8, "one two " * 30_000), (9, "one"), (9, "one"), (9, "two"), (10, "two one"), (11, "\x00one\x7ftwo\x80"), (12, "日本 one two 語")]
     items = [(1, "one two"), (1, "one two"), (2, "ONE, two!"), (3, None), (4, "--"), (None, "two one"), (5, "été à"), (6, "missing one"), (10, "one")]
     for width in (1, 2, 10):
-        assert result(contamination(*frames(spark, docs, items), width, IndexSettings(50, 3))) == brute(docs, items, width)
+        assert result(contamination(*frames(spark, docs, items), width, IndexSettings(200, 3))) == brute(docs, items, width)
     given, asked = frames(spark, docs, items)
     assert contamination(given.limit(0), asked).count() == 0
     assert all(r[2:] == (0, 0, NO_ITEMS, False) for r in result(contamination(given, asked.limit(0))))
@@ -107,7 +107,7 @@ def test_hot_passages_and_items(spark):
     passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     docs = [(i, f"the the {passage} the {'the ' * (i % 7)} {passage if i % 2 else ''}") for i in range(300)]
     items = [(i, passage if i % 3 else f"{passage} the") for i in range(90)] + [(500, "the the the")]
-    got = contamination(*frames(spark, docs, items), 10, IndexSettings(200, 4))
+    got = contamination(*frames(spark, docs, items), 10, IndexSettings(800, 4))
     assert result(got) == brute(docs, items, 10)
 
 
@@ -116,7 +116,7 @@ def test_proximity_equals_a_scan(spark, seed, terms, span):
     docs, items = corpus(seed, 40)
     items += [(200, "unknown w1"), (201, "unknown"), (202, None)]
     given, asked = frames(spark, docs, items)
-    settings = IndexSettings(150, 5)
+    settings = IndexSettings(600, 5)
     got = proximity_matches(build_index(given, settings), asked, terms, span, settings)
     want = brute_near(docs, items, terms, span)
     assert want and sorted(map(tuple, got.collect()), key=repr) == want
@@ -133,3 +133,6 @@ def test_words_are_those_of_the_pattern():
     for point in [*range(0x180), 0x2028, 0x3000, 0xFFFD, 0x1F600]:
         text = f"aB{chr(point)}9z"
         assert [w.decode() for w in words_of(text.encode())] == words(text)
+        found, sizes = word_array([text.encode(), None, b"", text.encode()])
+        assert [w.decode() for w in found.to_pylist()] == [f"{w} " for w in words(text) * 2]
+        assert sizes.tolist() == [len(words(text)), 0, 0, len(words(text))]

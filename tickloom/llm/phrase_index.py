@@ -1,6 +1,6 @@
 """Benchmark decontamination with a positional inverted index of the training documents.
 
-The index is cut by documents into blocks of about equal numbers of words, and each block by
+The index is cut by documents into blocks of about equal size, and each block by
 terms into shards, so a term with a third of all words is a short list in each of many rows.
 """
 
@@ -13,7 +13,6 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,14 +33,16 @@ _PHRASES_DDL = "item_id string, phrase binary, words array<binary>, shards array
 _LISTS_DDL = "block long, term binary, n long, postings binary"
 _DOCS_DDL = "doc_id long, n_words long, n_hit long, phrases array<long>"
 _DOCS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("phrases", pa.list_(pa.int64()))])
+# Places over which documents with the same windows are spread.
+_COPIES = 8
 _NEAR_DDL = "item_id string, doc_id long, begin long, length long"
 
 
 @dataclass(frozen=True)
 class IndexSettings:
-    """``block_words`` words a block (a longer text is a block by itself), terms in ``shards`` rows a block."""
+    """``block_bytes`` bytes of text a block (a longer text is a block by itself), terms in ``shards`` rows a block."""
 
-    block_words: int = 1 << 19
+    block_bytes: int = 1 << 22
     shards: int = 32
 
 
@@ -50,21 +51,50 @@ def words_of(text: bytes | None) -> list[bytes]:
     return [] if text is None else text.translate(_WORD_BYTES).split()
 
 
-def shard_of(term: bytes, shards: int) -> int:
-    return xxhash.xxh32_intdigest(term) % shards
+def word_array(texts: list[bytes | None]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """Words of all texts in a row, each with a blank behind it, and their number per text."""
+    joined = b" ".join(text or b"" for text in [*texts, b""])
+    data = np.frombuffer(joined.translate(_WORD_BYTES), np.uint8)
+    inside = data != 32
+    begins = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+    text_ends = np.cumsum(np.fromiter((len(text or b"") + 1 for text in texts), np.int64, len(texts)))
+    sizes = np.diff(np.searchsorted(begins, text_ends), prepend=0)
+    kept = inside.copy()
+    kept[1:] |= inside[:-1]
+    ends = np.cumsum(kept)[begins] - 1
+    offsets = np.append(ends, np.count_nonzero(kept))
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data[kept])]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), buffers), sizes
+
+
+def _layout(terms: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all terms, and where each begins, with the end."""
+    offsets = np.frombuffer(terms.buffers()[1], np.int64)[terms.offset : terms.offset + len(terms) + 1]
+    return np.frombuffer(terms.buffers()[2] or b"", np.uint8), offsets
+
+
+def shards_of(terms: pa.LargeBinaryArray, shards: int) -> np.ndarray:
+    """Shard of every term, by a sum of its bytes weighted by place."""
+    data, offsets = _layout(terms)
+    if not len(terms):
+        return np.zeros(0, np.int64)
+    place = np.arange(offsets[0], offsets[-1]) - np.repeat(offsets[:-1], np.diff(offsets))
+    weighted = data[offsets[0] : offsets[-1]] * ((place + 1) * 2654435761 % (1 << 32))
+    sums = np.add.reduceat(weighted, offsets[:-1] - offsets[0])
+    return (sums % (1 << 32) >> 12) % shards
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Non-negative numbers as bytes, seven bits a byte and low bits first, and each one's end."""
-    sizes = np.ones(len(values), np.int64)
-    for bits in range(7, 64, 7):
+    sizes, most = np.ones(len(values), np.int64), int(values.max(initial=0))
+    for bits in range(7, most.bit_length(), 7):
         sizes += values >= 1 << bits
     ends = np.cumsum(sizes)
     packed = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
     for step in range(sizes.max(initial=0)):
-        longer = np.flatnonzero(sizes > step)
+        longer = np.flatnonzero(sizes > step) if step else slice(None)
         low = (values[longer] >> (7 * step)) & 127
-        packed[ends[longer] - sizes[longer] + step] = low | np.where(sizes[longer] > step + 1, 128, 0)
+        packed[ends[longer] - sizes[longer] + step] = low | ((sizes[longer] > step + 1) << 7)
     return packed, ends
 
 
@@ -90,54 +120,58 @@ def _doc_starts(doc_words: np.ndarray) -> np.ndarray:
     return np.cumsum(doc_words + 1) - doc_words - 1
 
 
-def _block_rows(block: int, ids: list, found: list[list[bytes]], shards: int) -> pa.RecordBatch:
+def _by_code(codes: np.ndarray) -> np.ndarray:
+    """Stable order of non-negative codes below 2^32, by their low and then their high halves."""
+    order = np.argsort(codes.astype(np.uint16), kind="stable")
+    return order[np.argsort((codes[order] >> 16).astype(np.uint16), kind="stable")]
+
+
+def _block_rows(block: int, ids: list, texts: list[bytes | None], shards: int) -> pa.RecordBatch:
     """One row of documents and one row per shard with the posting lists of its terms."""
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    words, sizes = word_array(texts)
     rows = [(block, -1, None, None, None, ids, sizes.tolist())]
-    if sizes.sum():
-        coded = pa.array([w for words in found for w in words], pa.large_binary()).dictionary_encode()
-        terms = coded.dictionary.to_pylist()
-        shard = np.fromiter((shard_of(t, shards) for t in terms), np.int64, len(terms))
+    if len(words):
+        coded = words.dictionary_encode()
+        shard = shards_of(coded.dictionary, shards)
         order = np.argsort(shard, kind="stable")
-        place = np.empty(len(terms), np.int32)
-        place[order] = np.arange(len(terms), dtype=np.int32)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
         codes = place[coded.indices.to_numpy()]
-        positions = (np.arange(len(codes)) + np.repeat(np.arange(len(found)), sizes))[by_term := np.argsort(codes, kind="stable")]
-        codes = codes[by_term]
+        by_term = _by_code(codes)
+        positions = (np.arange(len(codes)) + np.repeat(np.arange(len(sizes)), sizes))[by_term]
+        first = np.flatnonzero(np.diff(codes[by_term], prepend=-1))
         steps = np.diff(positions, prepend=0)
-        first = np.flatnonzero(np.diff(codes, prepend=-1))
         steps[first] = positions[first]
         packed, ends = pack(steps)
-        counts = np.diff(first, append=len(codes))
-        term_ends = np.cumsum(counts)
+        counts, count_ends = pack(np.diff(first, append=len(codes)))
+        names, name_bounds = _layout(coded.dictionary.take(pa.array(order)))
+        # Where the lists and counts of each term begin, with the end.
+        list_bounds = np.append((ends - np.diff(ends, prepend=0))[first], len(packed))
+        count_bounds = np.concatenate([[0], count_ends])
         bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-        for s in range(shards):
-            low, high = bounds[s], bounds[s + 1]
-            if low < high:
-                begin = ends[term_ends[low - 1] - 1] if low else 0
-                lists = packed[begin : ends[term_ends[high - 1] - 1]].tobytes()
-                names = b" ".join(terms[t] for t in order[low:high])
-                rows.append((block, s, names, pack(counts[low:high])[0].tobytes(), lists, None, None))
+        for s in np.flatnonzero(np.diff(bounds)):
+            pieces = ((names, name_bounds), (counts, count_bounds), (packed, list_bounds))
+            rows.append((block, s, *(d[b[bounds[s]] : b[bounds[s + 1]]].tobytes() for d, b in pieces), None, None))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _INDEX)], schema=_INDEX)
 
 
 def _index(batches: Iterator[pa.RecordBatch], settings: IndexSettings) -> Iterator[pa.RecordBatch]:
     # Block numbers depend on the task alone, so a repeated task gives the same ones.
     block = TaskContext.get().partitionId() << 32
-    ids, found, held = [], [], 0
+    ids, texts, held = [], [], 0
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                words = words_of(text)
-                if ids and held + len(words) > settings.block_words:
-                    yield _block_rows(block, ids, found, settings.shards)
-                    block, ids, found, held = block + 1, [], [], 0
+                size = len(text or b"")
+                if ids and held + size > settings.block_bytes:
+                    yield _block_rows(block, ids, texts, settings.shards)
+                    block, ids, texts, held = block + 1, [], [], 0
                 ids.append(doc_id)
-                found.append(words)
-                held += len(words) + 1
+                texts.append(text)
+                held += size
     if ids:
-        yield _block_rows(block, ids, found, settings.shards)
+        yield _block_rows(block, ids, texts, settings.shards)
 
 
 def build_index(
@@ -146,7 +180,7 @@ def build_index(
     """Positional inverted index of all words of the documents, stored in the shared folder.
 
     A block has a row of shard -1 with ``doc_ids`` and ``doc_words``, and a row per shard with its
-    ``terms`` (joined by blanks), their ``counts``, and ``postings``: gaps between positions in the
+    ``terms`` (a blank behind each), their ``counts``, and ``postings``: gaps between positions in the
     block. Null and empty texts have no words. Null ids and repeated rows are documents of their
     own. Documents aren't shuffled.
     """
@@ -161,7 +195,8 @@ def _cut_items(batches: Iterator[pa.RecordBatch], width: int, shards: int) -> It
             size = min(width, len(words)) if width else len(words)
             runs = {b" ".join(run): run for run in (words[i : i + size] for i in range(len(words) - size + 1)) if run}
             if runs:
-                numbers = [[shard_of(w, shards) for w in run] for run in runs.values()]
+                known = dict(zip(words, shards_of(pa.array([w + b" " for w in words], pa.large_binary()), shards).tolist()))
+                numbers = [[known[w] for w in run] for run in runs.values()]
                 columns = ([item] * len(runs), list(runs), list(runs.values()), numbers)
                 types = (pa.string(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
                 names = ["item_id", "phrase", "words", "shards"]
@@ -177,7 +212,7 @@ def item_phrases(items: DataFrame, settings: IndexSettings, width: int | None, i
 def _find_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, names, counts, packed, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-            at = pc.index_in(pa.array(wanted, pa.binary()), pa.array(names.split(b" "), pa.binary()))
+            at = pc.index_in(pa.array(wanted, pa.binary()), pa.array(names.split(), pa.binary()))
             places = at.drop_null().to_numpy()
             n = unpack(counts)
             stops = np.flatnonzero(np.frombuffer(packed, np.uint8) < 128)[np.cumsum(n) - 1] + 1
@@ -289,8 +324,8 @@ def phrase_hits(index: DataFrame, phrases: DataFrame) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_hit`` and the ``phrases`` (ids) found in it, of every indexed document.
 
     Posting lists are intersected from the rarest terms on: the two rarest in joins by (block,
-    term), the others only where those agree, all terms of a block in one task. A block has at
-    most ``block_words`` positions, so this holds for hot terms and hot passages too.
+    term), the others only where those agree, all terms of a block in one task. A block is of
+    limited size, so this holds for hot terms and hot passages too.
     """
     lists = posting_lists(index, _terms(phrases).select("shard", "term").distinct())
     ranked = materialize(ranked_terms(phrases, lists), "ranked-phrases")
@@ -336,7 +371,11 @@ def contamination(
         F.count("*").alias("n_items"),
         F.sha2(F.array_join(F.sort_array(F.collect_list("item_id")), ",").cast("binary"), 256).alias("items_sha256"),
     )
-    return found.join(digests, "phrases", "left").select(
+    # Clean documents need no digest; copies of one document ask for theirs in several partitions.
+    copies = digests.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(_COPIES - 1))))
+    hit = found.filter("n_hit > 0").withColumn("copy", F.pmod(F.xxhash64("doc_id"), F.lit(_COPIES)).cast("int"))
+    hit = hit.join(copies, ["phrases", "copy"], "left").drop("copy")
+    return hit.unionByName(found.filter("n_hit = 0"), allowMissingColumns=True).select(
         "doc_id",
         "n_words",
         "n_hit",
