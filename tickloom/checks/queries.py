@@ -32,7 +32,6 @@ PAIRS = (
     ("error", "signup"), ("error", "view"), ("purchase", "signup"), ("purchase", "view"), ("signup", "view"),
 )
 PAIR_SPEC = BarSpec(bar_seconds=1800)
-SUITE_PAIR = ("click", "view")
 SCAN_DAYS = (date(2024, 1, 5), date(2024, 1, 20))
 CALENDAR = (date(2024, 1, 1), date(2024, 2, 29))
 HOLIDAYS = (date(2024, 1, 1), date(2024, 1, 15), date(2024, 2, 19))
@@ -307,11 +306,11 @@ def change_suite(spark, sf_dir):
 
 
 def cross_suite(spark, sf_dir):
-    return suites.cross_suite(pair_frame(spark, sf_dir), SUITE_PAIR)
+    return suites.cross_suite(pair_frame(spark, sf_dir))
 
 
 def price_vs_ofi_suite(spark, sf_dir):
-    return suites.price_vs_ofi_suite(return_frame(spark, sf_dir), SUITE_PAIR)
+    return suites.price_vs_ofi_suite(return_frame(spark, sf_dir))
 
 
 def metric_json_roundtrip(spark, sf_dir):

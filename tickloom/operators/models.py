@@ -3,42 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.scalar import nan_to_null
+from tickloom.operators.boosting import Experiment, TreeParams, boost
 from tickloom.operators.evaluation import prediction_metrics, rank_ic
 from tickloom.operators.features import complete_cases, present_columns
+from tickloom.operators.forest import importance_shares
 from tickloom.settings import FEATURES, TARGET, materialize, shared_dir
 
 
-@dataclass(frozen=True)
-class TreeParams:
-    """100 trees of depth 4, learning rate 0.1, seed 42."""
-
-    n_estimators: int = 100
-    max_depth: int = 4
-    learning_rate: float = 0.1
-    seed: int = 42
-    max_bins: int = 256
-
-
-@dataclass(frozen=True)
-class Experiment:
-    name: str
-    features: tuple[str, ...]
-    target: str = TARGET
-
-
-# Training rows per task: a boosting round is many short jobs, so tiny tasks cost more than they save.
-
-
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
@@ -98,59 +75,42 @@ def run_experiments(
     min_train_rows: int = 1,
     params: TreeParams = TreeParams(),
     with_rank_ic: bool = False,
-    parallelism: int = 8,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Fit each experiment on train rows and score it on test rows.
+    """Fit each experiment on the train rows of each group ``by`` and score it on test rows.
 
-    Wanted features that the frame lacks are left out, as are experiments with
-    fewer complete training rows than ``min_train_rows``. The frame is written
-    once, since every boosting round reads it; fits overlap on ``parallelism``
-    driver threads. Result: experiment, target, features, n_test, metrics and
-    importance.
+    Wanted features that the frame lacks are left out, as are fits with fewer complete training
+    rows than ``min_train_rows``. All fits grow in the same jobs. Result: the group, experiment,
+    target, features, n_test, metrics and importance (mean gain of a feature's splits, as share).
     """
-    spark = frame.sparkSession
+    by = list(by)
     resolved = [
         Experiment(e.name, tuple(present_columns(frame, e.features)), e.target)
         for e in experiments
         if e.target in frame.columns
     ]
     resolved = [e for e in resolved if e.features]
-    needed = sorted({c for e in resolved for c in (*e.features, e.target)})
-    stored = materialize(frame.filter(F.col("split").isin("train", "test")).select("split", *needed), "experiments")
-    train, test = stored.filter("split = 'train'"), stored.filter("split = 'test'")
-
-    def run(e: Experiment):
-        if complete_cases(train, e.features, e.target).count() < max(min_train_rows, 1):
-            return None
-        model = fit_trees(train, e.features, e.target, params)
-        scored = predict(model, test, e.features, e.target)
-        return (
-            (e.name, e.target, list(e.features), importance_by_name(model, e.features)),
-            scored.select(F.lit(e.name).alias("experiment"), nan_to_null(F.col(e.target)).alias("y"), "p"),
-        )
-
-    with ThreadPool(min(parallelism, max(len(resolved), 1))) as pool:
-        done = [r for r in pool.map(inheritable_thread_target(spark)(run), resolved) if r is not None]
-    if not done:
+    boosted = boost(frame, resolved, by, params, min_train_rows) if resolved else None
+    if boosted is None or not boosted.facts.take(1):
         raise ValueError("no experiment has enough complete training rows")
-    described = spark.createDataFrame(
-        [r[0] for r in done],
-        "experiment string, target string, features array<string>, importance map<string,double>",
+    listed = frame.sparkSession.createDataFrame(
+        [(e.name, e.target, list(e.features)) for e in resolved], "experiment string, target string, features array<string>"
     )
-    predictions = done[0][1]
-    for _, more in done[1:]:
-        predictions = predictions.unionByName(more)
-    predictions = materialize(predictions, "predictions")
-    metrics = prediction_metrics(predictions, ["experiment"])
+    keys = [*by, "experiment"]
+    described = boosted.facts.select(*keys).join(listed, "experiment")
+    importance = importance_shares(boosted.nodes, keys)
+    predictions = materialize(boosted.predictions, "predictions")
+    metrics = prediction_metrics(predictions, keys)
     names = ["mse", "mae", "correlation", "directional_accuracy", "n_samples"]
     if with_rank_ic:
-        metrics = metrics.join(rank_ic(predictions, ["experiment"]), "experiment", "left")
+        metrics = metrics.join(rank_ic(predictions, keys), keys, "left")
         names.append("information_coefficient")
-    return described.join(metrics, "experiment", "left").select(
-        "experiment",
+    shares = F.transform("features", lambda f: F.coalesce(F.try_element_at("shares", f), F.lit(0.0)))
+    return described.join(metrics, keys, "left").join(importance, keys, "left").select(
+        *keys,
         "target",
         "features",
         F.coalesce("n_samples", F.lit(0)).alias("n_test"),
         F.struct(*names).alias("metrics"),
-        "importance",
+        F.map_from_arrays("features", shares).alias("importance"),
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tickloom.operators.models import Experiment, TreeParams, run_experiments
 from tickloom.operators.pairs import PAIR_KEYS
@@ -37,11 +36,6 @@ def change_suite(changes: DataFrame, params: TreeParams = TreeParams()) -> DataF
     return run_experiments(changes, [Experiment(n, f, "next_ofi_z") for n, f in CHANGE_SETS.items()], 1, params)
 
 
-def _of_pair(frame: DataFrame, pair: tuple[str, str]) -> DataFrame:
-    a, b = PAIR_KEYS
-    return frame.filter((F.col(a) == pair[0]) & (F.col(b) == pair[1]))
-
-
 def cross_experiments() -> list[Experiment]:
     """Each side from the other, from itself, and from both."""
     found = []
@@ -58,8 +52,9 @@ def cross_experiments() -> list[Experiment]:
     return found
 
 
-def cross_suite(pair_bars: DataFrame, pair: tuple[str, str], params: TreeParams = TreeParams()) -> DataFrame:
-    return run_experiments(_of_pair(pair_bars, pair), cross_experiments(), MIN_PAIR_TRAIN_ROWS, params)
+def cross_suite(pair_bars: DataFrame, params: TreeParams = TreeParams()) -> DataFrame:
+    """Every pair of the frame, all fits in the same jobs."""
+    return run_experiments(pair_bars, cross_experiments(), MIN_PAIR_TRAIN_ROWS, params, by=PAIR_KEYS)
 
 
 def price_experiments(lags: Sequence[int] = PAIR_LAGS) -> list[Experiment]:
@@ -80,8 +75,8 @@ def price_experiments(lags: Sequence[int] = PAIR_LAGS) -> list[Experiment]:
     return found
 
 
-def price_vs_ofi_suite(pair_returns: DataFrame, pair: tuple[str, str], params: TreeParams = TreeParams()) -> DataFrame:
-    """Adds the rank information coefficient to the metrics."""
+def price_vs_ofi_suite(pair_returns: DataFrame, params: TreeParams = TreeParams()) -> DataFrame:
+    """Every pair of the frame; adds the rank information coefficient to the metrics."""
     return run_experiments(
-        _of_pair(pair_returns, pair), price_experiments(), MIN_PAIR_TRAIN_ROWS, params, with_rank_ic=True
+        pair_returns, price_experiments(), MIN_PAIR_TRAIN_ROWS, params, with_rank_ic=True, by=PAIR_KEYS
     )
