@@ -141,3 +141,24 @@ def test_empty_and_flat_frames(spark, rows):
     assert nothing.predictions.count() == nothing.nodes.count() == nothing.facts.count() == 0
     flat = boost(frame.selectExpr("pair", "split", "1D AS x", "z", "w", "2D AS y", "v"), EXPERIMENTS[:2], ["pair"], PARAMS)
     assert {r.p for r in flat.predictions.collect()} == {2.0}
+
+
+def test_measured_gains_of_a_forest(spark):
+    nodes = [
+        {"tree": 0, "node": 0, "feature": "x", "threshold": 0.0, "value": 0.0},
+        {"tree": 0, "node": 1, "feature": None, "threshold": None, "value": 1.0},
+        {"tree": 0, "node": 2, "feature": "z", "threshold": 1.0, "value": 0.0},
+        {"tree": 0, "node": 5, "feature": None, "threshold": None, "value": 2.0},
+        {"tree": 0, "node": 6, "feature": None, "threshold": None, "value": 3.0},
+        {"tree": 1, "node": 0, "feature": "z", "threshold": 9.0, "value": 0.0},
+        {"tree": 1, "node": 1, "feature": None, "threshold": None, "value": 0.5},
+        {"tree": 1, "node": 2, "feature": None, "threshold": None, "value": 0.5},
+    ]
+    data = [(-1.0, 0.0, 2.0), (0.0, 5.0, 4.0), (1.0, 1.0, 1.0), (2.0, 2.0, 7.0), (3.0, None, 9.0), (None, 0.0, 1.0), (1.0, 1.0, None)]
+    rows = spark.createDataFrame(data, "x double, z double, y double")
+    got = {(r.tree, r.node): (r.feature, r.n, r.gain) for r in forest.node_gains(rows, nodes, "y").collect()}
+    assert got[0, 0] == ("x", 5, pytest.approx(36 / 2 + 289 / 3 - 529 / 5))
+    assert got[0, 2] == ("z", 2, pytest.approx(1 + 49 - 32))
+    # What tree 0 leaves over: 1, 3, -1, 4; no row goes right.
+    assert got[1, 0] == ("z", 4, pytest.approx(0))
+    assert forest.node_gains(rows.limit(0), nodes, "y").count() == 0

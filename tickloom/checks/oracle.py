@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 
-from tickloom.checks.queries import CALENDAR, EXPECTED, HOLIDAYS, PAIRS, SCAN_DAYS, SPLITS, SYMBOLS
+from tickloom.checks.queries import CALENDAR, EXPECTED, FOREST, HOLIDAYS, PAIRS, SCAN_DAYS, SPLITS, SYMBOLS
+from tickloom.operators.forest import forest_sql
 from tickloom.settings import ACF_LAGS, BAR_LAGS, FEATURES, PAIR_LAGS, SEQUENCE_LENGTH
 
 LAG_LIST = ", ".join(f"lag{k}" for k in BAR_LAGS)
@@ -125,6 +126,8 @@ PARTS = {
                avg(CASE WHEN y <> 0 AND p <> 0 THEN CAST(sign(y) = sign(p) AS DOUBLE) END) AS directional_accuracy,
                count(y - p) AS n_samples
         FROM predictions GROUP BY model, split""",
+    "forested": f"""
+        SELECT symbol, date, bucket, split, y_next AS y, {forest_sql(FOREST)} AS p FROM complete""",
     "testscores": """
         SELECT *, CASE model WHEN 'persistence' THEN 1 WHEN 'zero' THEN 2 ELSE 3 END AS ord FROM scores WHERE split = 'test'""",
     "weekdays": f"""
@@ -317,6 +320,45 @@ def _best_sql() -> str:
     return _compose(" UNION ALL ".join(picks))
 
 
+def _forest_importance_sql() -> str:
+    """Splits walked level by level: one join of rows and nodes per level of the trees."""
+    rows = ", ".join(
+        "(" + ", ".join("NULL" if v is None else repr(v) for v in row.values()) + ")" for row in FOREST
+    )
+    trees = sorted({row["tree"] for row in FOREST})
+    over = ", ".join(f"y_next - ({forest_sql([r for r in FOREST if r['tree'] < t])}) AS over{t}" for t in trees)
+    value = "CASE n.feature " + " ".join(f"WHEN '{c}' THEN {c}" for c in FEATURES) + " END"
+    left = " ".join(f"WHEN {t} THEN over{t}" for t in trees)
+    steps = {
+        "forest": f"SELECT * FROM (VALUES {rows}) t({', '.join(FOREST[0])})",
+        "measured": f"SELECT row_number() OVER () AS id, {FEATURE_LIST}, {over} FROM complete WHERE split = 'train'",
+        "at0": f"SELECT m.*, n.tree, n.node, n.feature, {value} <= n.threshold AS is_left FROM measured m CROSS JOIN forest n WHERE n.node = 0",
+    }
+    columns = f"m.id, {', '.join(f'm.{c}' for c in FEATURES)}, {', '.join(f'm.over{t}' for t in trees)}"
+    deepest = max(row["node"] for row in FOREST).bit_length()
+    for level in range(1, deepest):
+        steps[f"at{level}"] = (
+            f"SELECT {columns}, n.tree, n.node, n.feature, {value.replace('THEN ', 'THEN m.')} <= n.threshold AS is_left "
+            f"FROM at{level - 1} m JOIN forest n ON n.tree = m.tree AND n.node = 2 * m.node + CASE WHEN m.is_left THEN 1 ELSE 2 END "
+            "WHERE n.feature IS NOT NULL"
+        )
+    walked = " UNION ALL BY NAME ".join(f"SELECT * FROM at{level}" for level in range(deepest) if f"at{level}" in steps)
+    steps["walked"] = f"SELECT tree, node, feature, is_left, CASE tree {left} END AS over FROM ({walked})"
+    steps["sides"] = (
+        "SELECT tree, node, feature, count(*) AS n, count(*) FILTER (WHERE is_left) AS nl, "
+        "coalesce(sum(over) FILTER (WHERE is_left), 0) AS l, coalesce(sum(over) FILTER (WHERE NOT is_left), 0) AS r FROM walked GROUP BY ALL"
+    )
+    steps["gains"] = (
+        "SELECT feature, avg(coalesce(l * l / nullif(nl, 0), 0) + coalesce(r * r / nullif(n - nl, 0), 0) - (l + r) * (l + r) / n) AS gain "
+        "FROM sides GROUP BY feature"
+    )
+    steps["shares"] = "SELECT feature, gain / sum(gain) OVER () AS importance FROM gains"
+    return _compose(
+        f"SELECT feature, {_round('importance', 6)}, CAST(row_number() OVER (ORDER BY shares.importance DESC, feature) AS INTEGER) AS place FROM shares",
+        extra=steps,
+    )
+
+
 def _days_as_text(sql: str, columns: tuple[str, ...]) -> str:
     shown = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in columns)
     return f"SELECT * REPLACE ({shown}) FROM ({sql}) shown"
@@ -331,7 +373,7 @@ DAY_COLUMNS = {
         for name in (
             "quote_view", "quote_scan", "ofi_events", "ofi_bars", "price_bars", "price_bars_rn", "price_bars_full", "bar_returns",
             "trading_calendar", "partition_discovery", "completeness", "bar_dedup", "zscore_daily", "zscore_expanding",
-            "zscore_train", "lag_features", "ofi_changes", "pair_bars", "pair_returns", "ar1_ols", "bar_files_roundtrip",
+            "zscore_train", "lag_features", "ofi_changes", "pair_bars", "pair_returns", "ar1_ols", "bar_files_roundtrip", "forest_scores",
         )
     },
 }
@@ -482,6 +524,14 @@ def _statements() -> dict[str, str]:
                    coalesce(printf('%.2f%%', directional_accuracy * 100), 'nan%') AS directional_acc, n_samples
             FROM testscores"""
         ),
+        "forest_scores": _compose(f"SELECT {key}, split, {_round('p')} FROM forested"),
+        "forest_eval": _compose(
+            f"""SELECT split, {_round('avg((y - p) * (y - p))', 8, 'mse')}, {_round('avg(abs(y - p))', 8, 'mae')},
+                   {_round(_corr('y', 'p'), 8, 'correlation')},
+                   {_round("avg(CASE WHEN y <> 0 AND p <> 0 THEN CAST(sign(y) = sign(p) AS DOUBLE) END)", 8, 'directional_accuracy')},
+                   count(y - p) AS n_samples FROM forested GROUP BY split"""
+        ),
+        "forest_importance": _forest_importance_sql(),
         "ar1_ols": _compose(
             f"""SELECT {key}, {_round('y_next', 6, 'y')}, {_round('f.a + f.b * lag1', 6, 'p')}
             FROM dataset, (SELECT regr_slope(y_next, lag1) AS b, regr_intercept(y_next, lag1) AS a FROM dataset WHERE split = 'train') f

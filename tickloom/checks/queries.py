@@ -6,14 +6,16 @@ The tables hold no quotes, so they are derived from ``events`` (see
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import date
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalar as fn
-from tickloom.operators import calendar, evaluation, events, features, linear, models, pairs, prices
+from tickloom.operators import calendar, evaluation, events, features, forest, linear, models, pairs, prices
 from tickloom.operators.events import BAR_KEYS
 from tickloom.plans import suites
 from tickloom.plans.dataset import modelling_dataset
@@ -35,6 +37,8 @@ PAIR_SPEC = BarSpec(bar_seconds=1800)
 SCAN_DAYS = (date(2024, 1, 5), date(2024, 1, 20))
 CALENDAR = (date(2024, 1, 1), date(2024, 2, 29))
 HOLIDAYS = (date(2024, 1, 1), date(2024, 1, 15), date(2024, 2, 19))
+# A fixed forest of six trees over the features of the dataset.
+FOREST = [json.loads(line) for line in (Path(__file__).parent / "forest.json").read_text().splitlines()]
 FORECASTS = {"persistence": "ofi_z", "zero": None, "lag1": "lag1"}
 
 
@@ -290,6 +294,38 @@ def gbt_eval(spark, sf_dir):
     return models.evaluate_splits(models.load_model(f"{path}/model"), stored)
 
 
+def stored_forest(spark: SparkSession) -> list[dict]:
+    """The fixed forest through the model sink and back."""
+    path = scratch_path(spark, "forest")
+    forest.write_forest(spark.createDataFrame([tuple(row.values()) for row in FOREST], forest.NODE_SCHEMA), path)
+    return forest.read_forest(spark, path, FEATURES)
+
+
+def forest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    complete = features.complete_cases(dataset(spark, sf_dir))
+    return complete.withColumn("p", forest.forest_column(stored_forest(spark)))
+
+
+def forest_scores(spark, sf_dir):
+    """Every complete row scored by a stored forest, as an expression of the JVM."""
+    return _comparable(forest_rows(spark, sf_dir).select(*BAR_KEYS, "split", "p"))
+
+
+def forest_eval(spark, sf_dir):
+    """A stored forest on every split in one pass."""
+    scored = forest_rows(spark, sf_dir).select("split", F.col(TARGET).alias("y"), "p")
+    return _comparable(evaluation.prediction_metrics(scored, ["split"]))
+
+
+def forest_importance(spark, sf_dir):
+    """Importances of a stored forest, measured on the train rows, largest first."""
+    train = features.complete_cases(dataset(spark, sf_dir)).filter("split = 'train'")
+    gains = materialize(forest.node_gains(train, stored_forest(spark), TARGET), "node-gains")
+    ranked = forest.importance_ranking(gains)
+    place = F.row_number().over(Window.orderBy(F.desc("importance"), "feature"))
+    return _comparable(ranked.withColumn("place", place), 6)
+
+
 def importance(spark, sf_dir):
     """Feature importances from the metric record of a training job, largest first."""
     path = scratch_path(spark, "training")
@@ -345,7 +381,7 @@ ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     trading_calendar, partition_discovery, completeness, bar_dedup, bar_time, zscore_daily, zscore_expanding,
     zscore_train, lag_features, ofi_changes, describe_ofi, dataset_profile, sequences, pair_bars, pair_returns,
     pair_corr, lead_lag, acf, metrics, rank_ic, best_model, model_report, ar1_ols, ar_p, granger_1lag, granger,
-    gbt_eval, importance, ablation, change_suite, cross_suite, price_vs_ofi_suite, metric_json_roundtrip,
+    gbt_eval, forest_scores, forest_eval, forest_importance, importance, ablation, change_suite, cross_suite, price_vs_ofi_suite, metric_json_roundtrip,
     bar_files_roundtrip,
 )
 

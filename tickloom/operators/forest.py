@@ -67,6 +67,49 @@ def importance_shares(nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return listed.select(*keys, F.map_from_entries(shared).alias("shares"))
 
 
+def node_gains(rows: DataFrame, nodes: Iterable[Mapping], target: str, start: float = 0.0) -> DataFrame:
+    """How much every split of a forest lowers the squared error of ``rows``: ``tree``, ``node``, ``feature``, ``n``, ``gain``.
+
+    A tree is measured against what the trees before it leave over. Rows that miss a feature of a
+    split or the target don't count there; a split that no row reaches is left out.
+    """
+    trees = _trees(nodes)
+    sums, left_over = F.lit(float(start)), {}
+    for number, tree in enumerate(trees):
+        left_over[f"_over{number}"] = F.col(target) - sums
+        sums = sums + forest_column([{**row, "tree": 0} for row in tree.values()])
+    entries = []
+    for number, tree in enumerate(trees):
+        goes_left = {k: F.col(r["feature"]) <= F.lit(float(r["threshold"])) for k, r in tree.items() if r["feature"] is not None}
+        for place, row in tree.items():
+            if row["feature"] is None:
+                continue
+            here, met = place, F.lit(True)
+            while here:
+                above = (here - 1) // 2
+                met = met & (goes_left[above] if here % 2 else ~goes_left[above])
+                here = above
+            entries.append(
+                F.struct(
+                    F.lit(row["tree"]).alias("tree"), F.lit(place).alias("node"), F.lit(row["feature"]).alias("feature"),
+                    F.when(met, goes_left[place]).alias("is_left"), F.col(f"_over{number}").alias("over"),
+                )
+            )
+    reached = rows.withColumns(left_over).select(F.inline(F.array(*entries))).filter("is_left IS NOT NULL AND over IS NOT NULL")
+    left, n, nl = F.sum(F.when(F.col("is_left"), F.col("over")).otherwise(0.0)), F.count("over"), F.count_if("is_left")
+    right = F.sum(F.when(F.col("is_left"), 0.0).otherwise(F.col("over")))
+    sides = reached.groupBy("tree", "node", "feature").agg(n.alias("n"), nl.alias("nl"), left.alias("l"), right.alias("r"))
+    worth = [F.coalesce(F.try_divide(F.col(s) * F.col(s), m), F.lit(0.0)) for s, m in (("l", F.col("nl")), ("r", F.col("n") - F.col("nl")))]
+    whole = (F.col("l") + F.col("r")) * (F.col("l") + F.col("r")) / F.col("n")
+    return sides.select("tree", "node", "feature", "n", (worth[0] + worth[1] - whole).alias("gain"))
+
+
+def importance_ranking(nodes: DataFrame) -> DataFrame:
+    """``feature`` and ``importance`` of a model, largest first."""
+    shares = importance_shares(nodes).select(F.explode("shares").alias("feature", "importance"))
+    return shares.orderBy(F.desc("importance"), "feature")
+
+
 def write_forest(nodes: DataFrame, path: str) -> None:
     nodes.write.mode("overwrite").parquet(path)
 
