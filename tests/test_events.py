@@ -83,22 +83,22 @@ def test_bars_match_brute_force_whatever_the_slicing(make_quotes):
     rows = random_quotes(600, seed=1)
     expected = brute_force(rows)
     quotes = make_quotes(rows)
-    for max_rows in (10**9, 40, 3):
-        assert collected(ofi_bars(quotes, max_rows=max_rows)) == expected
-        events = ofi_events(quotes, max_rows=max_rows)
+    for slot_seconds in (300, 40, 3, 0.25):
+        assert collected(ofi_bars(quotes, slot_seconds=slot_seconds)) == expected
+        events = ofi_events(quotes, slot_seconds=slot_seconds)
         sums = events.groupBy("bucket").agg(F.sum(F.col("e_bid") + F.col("e_ask")).alias("s"), F.count("*").alias("n"))
         assert {r.bucket: (r.s or 0.0, r.n) for r in sums.collect()} == {k: (v[0], v[1]) for k, v in expected.items()}
 
 
-def test_one_instant_holding_everything_is_cut_too(make_quotes):
+def test_one_second_holding_everything_is_cut_too(make_quotes):
     rows = random_quotes(300, seed=2, span_s=1)
-    assert collected(ofi_bars(make_quotes(rows), max_rows=20)) == brute_force(rows)
+    assert collected(ofi_bars(make_quotes(rows), slot_seconds=0.01)) == brute_force(rows)
 
 
 def test_hot_symbol_next_to_cold_ones(make_quotes):
     hot, cold = random_quotes(400, seed=3, span_s=900), random_quotes(30, seed=4)
     both = make_quotes(hot).unionByName(make_quotes(cold, "BBB"))
-    bars = ofi_bars(both, max_rows=50)
+    bars = ofi_bars(both, slot_seconds=20)
     assert collected(bars.filter("symbol = 'AAA'")) == brute_force(hot)
     assert collected(bars.filter("symbol = 'BBB'")) == brute_force(cold)
 
@@ -130,3 +130,19 @@ def test_quotes_move_once(make_quotes):
     assert "SinglePartition" not in plan
     assert plan.count("Exchange hashpartitioning") == 2
     assert "hashpartitioning(symbol" in plan and "bucket" in plan.split("Exchange hashpartitioning")[2]
+
+
+def test_events_scan_and_move_quotes_once(spark, make_quotes, tmp_path):
+    make_quotes(random_quotes(200, seed=8)).write.parquet(str(tmp_path / "quotes"))
+    events = ofi_events(spark.read.parquet(str(tmp_path / "quotes")))
+    events.collect()
+    final = events._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and final.count("ReusedExchange") == 1
+
+
+def test_no_job_runs_while_the_plan_is_built(spark, make_quotes):
+    quotes = make_quotes(random_quotes(50, seed=9))
+    spark.sparkContext.setJobGroup("building", "building")
+    ofi_bars(quotes), ofi_events(quotes)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import scalar as fn
 from tickloom.functions.stats import safe_corr, weighted_corr
-from tickloom.operators.ordered import average_ranks, exact_quantiles, join_on_keys
-from tickloom.settings import FEATURES, MAX_SLICE_ROWS, TARGET
+from tickloom.operators.ordered import centred_ranks, cumulative_counts, join_on_keys, quantiles_of
+from tickloom.settings import FEATURES, TARGET, materialize
 
 QUARTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
 
@@ -44,45 +44,49 @@ def rank_ic(
     group: Sequence[str],
     y: str = "y",
     p: str = "p",
-    max_rows: int = MAX_SLICE_ROWS,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Spearman correlation per group, tie-averaged ranks, 0 where undefined.
 
-    Works on counts of distinct (y, p) pairs; ranks join back on the value.
-    Ranks are centred on their mean before products are summed.
+    The predictions are read once and become counts of distinct (y, p) pairs. Both sides are
+    ranked in one pass, and ranks (less their mean) join back on the value.
     """
     group = list(group)
-    clean = predictions.select(*group, fn.nan_to_null(F.col(y)).alias("_y"), fn.nan_to_null(F.col(p)).alias("_p")).dropna(
-        subset=["_y", "_p"]
-    )
     # Zero of either sign is one value, as in comparisons.
-    clean = clean.withColumns({c: F.col(c) + F.lit(0.0) for c in ("_y", "_p")})
-    weighted = clean.groupBy(*group, "_y", "_p").agg(F.count(F.lit(1)).alias("_w"))
-    sizes = clean.groupBy(*group).agg(((F.count(F.lit(1)) + 1) / 2.0).alias("_middle"))
-    ranks_y = average_ranks(clean, group, "_y", max_rows).select(*group, "_y", F.col("avg_rank").alias("_ry"))
-    ranks_p = average_ranks(clean, group, "_p", max_rows).select(*group, "_p", F.col("avg_rank").alias("_rp"))
-    ranked = join_on_keys(join_on_keys(weighted, ranks_y, [*group, "_y"]), ranks_p, [*group, "_p"])
-    ranked = join_on_keys(ranked, sizes, group)
-    x, z = (F.col("_ry") - F.col("_middle")), (F.col("_rp") - F.col("_middle"))
-    ic = F.coalesce(weighted_corr(x, z, F.col("_w").cast("double")), F.lit(0.0))
-    return ranked.groupBy(*group).agg(ic.alias("information_coefficient"))
-
-
-def describe_columns(df: DataFrame, columns: Sequence[str], max_rows: int = MAX_SLICE_ROWS) -> DataFrame:
-    """count, mean, std, min, exact quartiles and max, one row per column."""
+    sides = [(fn.nan_to_null(F.col(c)) + F.lit(0.0)).alias(name) for c, name in ((y, "_y"), (p, "_p"))]
+    clean = predictions.select(*group, *sides).dropna(subset=["_y", "_p"])
+    weighted = materialize(clean.groupBy(*group, "_y", "_p").agg(F.count(F.lit(1)).alias("_w")), "value-pairs")
+    entries = F.array(*(F.struct(F.lit(c).alias("_side"), F.col(c).alias("_value")) for c in ("_y", "_p")))
+    values = weighted.select(*group, "_w", F.inline(entries)).groupBy(*group, "_side", "_value").agg(F.sum("_w").alias("n"))
+    ranks = centred_ranks(values, [*group, "_side"], "_value", pieces)
+    for c, name in (("_y", "_ry"), ("_p", "_rp")):
+        side = ranks.filter(F.col("_side") == c).select(*group, F.col("_value").alias(c), F.col("rank").alias(name))
+        weighted = join_on_keys(weighted, side, [*group, c])
+    ic = F.coalesce(weighted_corr(F.col("_ry"), F.col("_rp"), F.col("_w").cast("double")), F.lit(0.0))
+    return weighted.groupBy(*group).agg(ic.alias("information_coefficient"))
+
+
+def describe_columns(df: DataFrame, columns: Sequence[str], pieces: int | None = None) -> DataFrame:
+    """count, mean, std, min, exact quartiles and max, one row per column.
+
+    The frame is read once; everything follows from its counted values.
+    """
     entries = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns))
     long = df.select(F.inline(entries)).withColumn("value", fn.nan_to_null(F.col("value")))
-    basic = long.groupBy("column_name").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    quartiles = exact_quantiles(long, ["column_name"], "value", QUARTILES, max_rows)
-    return basic.join(quartiles, "column_name", "left").select(
-        "column_name", "count", "mean", "std", "min", *QUARTILES, "max"
+    counted = materialize(cumulative_counts(long, ["column_name"], "value", pieces), "counted-values")
+    n, value = F.col("n"), F.col("value")
+    basic = counted.groupBy("column_name").agg(
+        F.sum(n).alias("count"), (F.sum(n * value) / F.sum(n)).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max")
     )
+    apart = value - F.col("mean")
+    spread = counted.join(basic.select("column_name", "mean"), "column_name").groupBy("column_name")
+    spread = spread.agg(F.sqrt(F.try_divide(F.sum(n * apart * apart), F.sum(n) - 1)).alias("std"))
+    quartiles = quantiles_of(counted, ["column_name"], "value", QUARTILES)
+    # A column without values keeps its row.
+    names = df.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(columns)], "column_name string")
+    for part in (basic, spread, quartiles):
+        names = names.join(part, "column_name", "left")
+    return names.withColumn("count", F.coalesce("count", F.lit(0))).select("column_name", "count", "mean", "std", "min", *QUARTILES, "max")
 
 
 def dataset_profile(dataset: DataFrame, features: Sequence[str] = FEATURES, target: str = TARGET) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalar as fn
-from tickloom.operators.ordered import split_hot_groups
-from tickloom.settings import MAX_SLICE_ROWS, BarSpec
+from tickloom.settings import NS_PER_SECOND, SLOT_SECONDS, BarSpec
 
 DAY_KEYS = ["symbol", "date"]
 BAR_KEYS = ["symbol", "date", "bucket"]
+PIECE_KEYS = [*BAR_KEYS, "slot"]
 TIME_ORDER = ["time_ns", "seq"]
 QUOTE_FIELDS = ["best_bid", "best_bidsiz", "best_ask", "best_asksiz"]
 
@@ -41,29 +41,31 @@ def _has_previous(previous: str) -> Column:
     return F.col(f"{previous}.best_bid").isNotNull() & F.col(f"{previous}.best_ask").isNotNull()
 
 
-def _sliced(quotes: DataFrame, spec: BarSpec, max_rows: int, reused: bool) -> tuple[DataFrame, list[str]]:
-    rows = session_quotes(quotes, spec).select(*BAR_KEYS, *TIME_ORDER, F.struct(*QUOTE_FIELDS).alias("quote"))
-    return split_hot_groups(rows, BAR_KEYS, TIME_ORDER, max_rows, reused)
+def _pieces(quotes: DataFrame, spec: BarSpec, slot_seconds: float) -> DataFrame:
+    """Quotes of the session with the fixed time slot that cuts their bar.
 
-
-def _after_day(piece: list[str]) -> list[str]:
-    return [key for key in piece if key not in DAY_KEYS]
+    A session's quotes have a time, so neither key is ever missing; saying so keeps joins on them
+    from adding filters to one of two equal exchanges.
+    """
+    slot = F.floor(F.col("time_ns") / F.lit(int(slot_seconds * NS_PER_SECOND))).cast("long")
+    keys = [F.coalesce(F.col("bucket"), F.lit(0)).alias("bucket"), F.coalesce(slot, F.lit(0)).alias("slot")]
+    return session_quotes(quotes, spec).select(*DAY_KEYS, *keys, *TIME_ORDER, F.struct(*QUOTE_FIELDS).alias("quote"))
 
 
-def ofi_events(quotes: DataFrame, spec: BarSpec = BarSpec(), max_rows: int = MAX_SLICE_ROWS) -> DataFrame:
+def ofi_events(quotes: DataFrame, spec: BarSpec = BarSpec(), slot_seconds: float = SLOT_SECONDS) -> DataFrame:
     """One row per quote that has a predecessor in the session, with its two terms.
 
-    LAG runs inside a bar (or a slice of a hot bar), so a busy symbol-day is
+    LAG runs inside a piece, a fixed slot of seconds of a bar, so a busy symbol-day or bar is
     spread over many tasks. The first quote of each piece takes its predecessor
-    from the last quote of the piece before, found among one row per piece.
+    from the last quote of the piece before, found among one row per piece. Both read the same
+    exchange, so the quotes are scanned and moved once.
     """
-    rows, piece = _sliced(quotes, spec, max_rows, reused=True)
-    last = rows.groupBy(*piece).agg(F.max_by("quote", F.struct(*TIME_ORDER)).alias("last_quote"))
-    carried = last.select(
-        *piece, F.lag("last_quote").over(Window.partitionBy(*DAY_KEYS).orderBy(*_after_day(piece))).alias("carried")
-    )
-    within = F.lag("quote").over(Window.partitionBy(*piece).orderBy(*TIME_ORDER))
-    linked = rows.withColumn("within", within).join(carried, piece).withColumn("previous", F.coalesce("within", "carried"))
+    rows = _pieces(quotes, spec, slot_seconds).repartition(*PIECE_KEYS)
+    last = rows.groupBy(*PIECE_KEYS).agg(F.max_by("quote", F.struct(*TIME_ORDER)).alias("last_quote"))
+    day = Window.partitionBy(*DAY_KEYS).orderBy("bucket", "slot")
+    carried = last.select(*PIECE_KEYS, F.lag("last_quote").over(day).alias("carried"))
+    within = F.lag("quote").over(Window.partitionBy(*PIECE_KEYS).orderBy(*TIME_ORDER))
+    linked = rows.withColumn("within", within).join(carried, PIECE_KEYS).withColumn("previous", F.coalesce("within", "carried"))
     e_bid, e_ask = _terms("quote", "previous")
     return linked.filter(_has_previous("previous")).select(
         *BAR_KEYS,
@@ -75,20 +77,20 @@ def ofi_events(quotes: DataFrame, spec: BarSpec = BarSpec(), max_rows: int = MAX
     )
 
 
-def ofi_bars(quotes: DataFrame, spec: BarSpec = BarSpec(), max_rows: int = MAX_SLICE_ROWS) -> DataFrame:
+def ofi_bars(quotes: DataFrame, spec: BarSpec = BarSpec(), slot_seconds: float = SLOT_SECONDS) -> DataFrame:
     """Order-flow imbalance per (symbol, date, bar).
 
-    Quotes move once, hashed on (symbol, date, bar, slice), and are ordered and
+    Quotes move once, hashed on (symbol, date, bar, slot), and are ordered and
     summed there. What is left of each piece (its sum, its first and last quote)
     is all that the second, per-day window sees: it adds the event between the
     last quote of a piece and the first of the next.
     """
-    rows, piece = _sliced(quotes, spec, max_rows, reused=False)
-    order = Window.partitionBy(*piece).orderBy(*TIME_ORDER)
+    rows = _pieces(quotes, spec, slot_seconds)
+    order = Window.partitionBy(*PIECE_KEYS).orderBy(*TIME_ORDER)
     linked = rows.withColumn("within", F.lag("quote").over(order))
     e_bid, e_ask = _terms("quote", "within")
     counted = _has_previous("within")
-    summed = linked.groupBy(*piece).agg(
+    summed = linked.groupBy(*PIECE_KEYS).agg(
         F.sum(F.when(counted, e_bid + e_ask)).alias("inner_ofi"),
         F.count(F.when(counted, F.lit(1))).alias("inner_events"),
         F.min(F.when(counted, F.col("time_ns"))).alias("inner_start"),
@@ -96,7 +98,7 @@ def ofi_bars(quotes: DataFrame, spec: BarSpec = BarSpec(), max_rows: int = MAX_S
         F.min(F.struct(*TIME_ORDER, "quote")).alias("first"),
         F.max(F.struct(*TIME_ORDER, "quote")).alias("last"),
     )
-    day = Window.partitionBy(*DAY_KEYS).orderBy(*_after_day(piece))
+    day = Window.partitionBy(*DAY_KEYS).orderBy("bucket", "slot")
     joined = summed.select(
         "*",
         F.col("first.quote").alias("first_quote"),

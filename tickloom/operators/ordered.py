@@ -7,7 +7,7 @@ cut (a row count, the neighbouring rows) between the pieces:
 * ``split_hot_groups``  cuts oversized groups along their order key;
 * ``row_positions``     row numbers across such pieces;
 * ``over_chunks``       bounded lag / lead / sliding windows over long histories;
-* ``cumulative_counts`` ranks of values, hence tie-averaged ranks and exact quantiles.
+* ``cumulative_counts`` rows below a value by prefix sums, hence tie-averaged ranks and exact quantiles.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -178,42 +177,51 @@ def shift_columns(
     return shifted.drop("pos")
 
 
-def cumulative_counts(
-    df: DataFrame,
-    group: Sequence[str],
-    value: str,
-    max_rows: int = MAX_SLICE_ROWS,
-) -> DataFrame:
-    """Distinct values per group with ``n`` (copies) and ``before`` (rows below).
+def cumulative_counts(df: DataFrame, group: Sequence[str], value: str, pieces: int | None = None) -> DataFrame:
+    """Distinct values per group with ``n`` (copies), ``before`` (rows below) and ``total``.
 
     Copies of a value are counted before anything is ordered, so a hot value is
-    one row. Distinct values are then cut into bins holding about equal numbers
-    of them over *all* groups, which also cuts any single large group.
+    one row. The distinct values are then range-partitioned on (group, value),
+    which cuts any single large group, and stored; a partition starts from the
+    sum of the partitions before it, one row per group and partition.
+    ``pieces`` is the number of partitions, the session's by default.
     """
     values = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    bins = math.ceil(values.count() / max_rows)
-    if bins > 1:
-        shares = [i / bins for i in range(1, bins)]
-        edges = sorted(set(values.agg(F.percentile_approx(value, shares, 20 * bins)).first()[0]))
-        binned = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol=value, outputCol="_bin").transform(values)
-    else:
-        binned = values.withColumn("_bin", F.lit(0.0))
-    piece = [*group, "_bin"]
-    earlier = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        binned.groupBy(*piece).agg(F.sum("n").alias("_n"))
-        .select(*piece, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_below"))
+    return running_counts(values, group, value, pieces)
+
+
+def running_counts(values: DataFrame, group: Sequence[str], value: str, pieces: int | None = None) -> DataFrame:
+    """``cumulative_counts`` of values that come with their number ``n`` of copies."""
+    group = list(group)
+    ranged = values.repartitionByRange(*([] if pieces is None else [pieces]), *group, value)
+    # Stored, because range bounds are drawn anew wherever a plan is repeated.
+    placed = materialize(ranged.withColumn("_piece", F.spark_partition_id()), "ranged-values")
+    piece, whole = [*group, "_piece"], Window.partitionBy(*group)
+    earlier = whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(*piece).agg(F.sum("n").alias("_n"))
+    offsets = offsets.select(
+        *piece, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_below"), F.sum("_n").over(whole).alias("total")
     )
     running = Window.partitionBy(*piece).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    inside = binned.withColumn("_inside", F.coalesce(F.sum("n").over(running), F.lit(0)))
+    inside = placed.withColumn("_inside", F.coalesce(F.sum("n").over(running), F.lit(0)))
     before = F.col("_below") + F.col("_inside")
-    return join_on_keys(inside, offsets, piece).select(*group, value, "n", before.alias("before"))
+    return join_on_keys(inside, offsets, piece).select(*group, value, "n", before.alias("before"), "total")
+
 
+def _average_rank() -> Column:
+    return F.col("before") + (F.col("n") + 1) / 2.0
 
-def average_ranks(df: DataFrame, group: Sequence[str], value: str, max_rows: int = MAX_SLICE_ROWS) -> DataFrame:
+
+def average_ranks(df: DataFrame, group: Sequence[str], value: str, pieces: int | None = None) -> DataFrame:
     """One row per (group, value) with its 1-based rank, averaged over ties."""
-    counted = cumulative_counts(df, group, value, max_rows)
-    return counted.select(*group, value, (F.col("before") + (F.col("n") + 1) / 2.0).alias("avg_rank"), "n")
+    counted = cumulative_counts(df, group, value, pieces)
+    return counted.select(*group, value, _average_rank().alias("avg_rank"), "n")
+
+
+def centred_ranks(values: DataFrame, group: Sequence[str], value: str, pieces: int | None = None) -> DataFrame:
+    """Average ranks of values with their number ``n``, less the mean rank of the group."""
+    counted = running_counts(values, group, value, pieces)
+    return counted.select(*group, value, (_average_rank() - (F.col("total") + 1) / 2.0).alias("rank"))
 
 
 def exact_quantiles(
@@ -221,23 +229,25 @@ def exact_quantiles(
     group: Sequence[str],
     value: str,
     probabilities: Mapping[str, float],
-    max_rows: int = MAX_SLICE_ROWS,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, named by ``probabilities``.
 
     The built-in ``percentile`` keeps every distinct value of a group in one
     task's memory; here only the one or two values at each rank are picked.
     """
-    counted = cumulative_counts(df, group, value, max_rows)
-    totals = df.filter(F.col(value).isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("_total"))
-    counted = join_on_keys(counted, totals, group)
+    return quantiles_of(cumulative_counts(df, group, value, pieces), group, value, probabilities)
+
+
+def quantiles_of(counted: DataFrame, group: Sequence[str], value: str, probabilities: Mapping[str, float]) -> DataFrame:
+    """Quantiles from the rows of ``cumulative_counts``."""
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col(value)))
 
     picks, results = [], []
     for name, p in probabilities.items():
-        rank = (F.col("_total") - 1) * F.lit(p)
+        rank = (F.col("total") - 1) * F.lit(p)
         picks += [
             at(F.floor(rank)).alias(f"_{name}_lo"),
             at(F.ceil(rank)).alias(f"_{name}_hi"),

@@ -21,7 +21,9 @@ SEQUENCE_LENGTH = 24
 FEATURES = ("ofi_z", "lag1", "lag2", "lag3", "lag6", "lag12")
 TARGET = "y_next"
 
-# Rows one task may have to order by itself before its group is split further.
+# Width of the pieces in which quotes are put in order; a piece is never wider than a bar.
+SLOT_SECONDS = 5
+# Rows one task may have to number by itself before its group is split further.
 MAX_SLICE_ROWS = 5_000_000
 CHUNK_ROWS = 100_000
 
