@@ -2,8 +2,10 @@ import datetime as dt
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import DAY, OPEN_NS
+from tickloom.functions import scalar as fn
 from tickloom.operators import prices
 from tickloom.settings import BarSpec
 from test_events import random_quotes
@@ -60,3 +62,25 @@ def test_bar_width_is_a_parameter(make_quotes):
     quotes = make_quotes([q(0, 1, 10), q(400 * 10**9, 2, 11)])
     assert prices.price_bars(quotes).count() == 2
     assert prices.price_bars(quotes, BarSpec(bar_seconds=1800)).count() == 1
+
+
+def test_order_key_orders_like_the_pair(spark):
+    low, high = -(2**63), 2**63 - 1
+    pairs = [(0, None), (0, low), (0, -1), (0, 0), (0, high), (1, None), (1, low), (86_399_999_999_999, high)]
+    rows = spark.createDataFrame(list(enumerate(pairs)), "i int, pair struct<time_ns: long, seq: long>").repartition(3)
+    key = fn.order_key(F.col("pair.time_ns"), F.col("pair.seq"))
+    assert [r.i for r in rows.orderBy(key).collect()] == list(range(len(pairs)))
+    assert rows.select(key.alias("k")).distinct().count() == len(pairs)
+
+
+def test_ties_with_missing_and_negative_sequences(make_quotes):
+    rows = [q(1, 5, 10), q(1, -7, 11), q(1, None, 12), q(2, None, 13), q(2, -9, 14)]
+    for bars in (prices.price_bars(make_quotes(rows)), prices.price_bars_full(make_quotes(rows))):
+        bar = bars.first()
+        assert (bar.bar_open, bar.bar_close, bar.n_quotes) == pytest.approx((12, 14, 5))
+
+
+@pytest.mark.parametrize("build", [prices.price_bars, prices.price_bars_full])
+def test_bars_are_hashed_and_not_sorted(make_quotes, build):
+    plan = build(make_quotes([q(1, 1, 10)]))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan

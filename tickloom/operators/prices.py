@@ -24,10 +24,10 @@ def priced_quotes(quotes: DataFrame, spec: BarSpec = BarSpec()) -> DataFrame:
 def price_bars(quotes: DataFrame, spec: BarSpec = BarSpec()) -> DataFrame:
     """Open, close, plain mean mid (named ``bar_vwap``), mean spread and count.
 
-    First and last come from ordered aggregates, which combine map-side: no
-    sort of a bar, and a hot bar reaches its reducer as one row per map task.
+    First and last come from hashed ordered aggregates, which combine map-side: nothing is
+    sorted, and a hot bar reaches its reducer as one row per map task.
     """
-    order = F.struct(*TIME_ORDER)
+    order = fn.order_key(*map(F.col, TIME_ORDER))
     return (
         priced_quotes(quotes, spec)
         .groupBy(*BAR_KEYS)
@@ -71,8 +71,8 @@ def price_bars_full(quotes: DataFrame, spec: BarSpec = BarSpec()) -> DataFrame:
         )
     )
     return moments.groupBy(*BAR_KEYS).agg(
-        F.min_by("mid", F.struct("time_ns", "seq_low")).alias("bar_open"),
-        F.max_by("mid", F.struct("time_ns", "seq_high")).alias("bar_close"),
+        F.min_by("mid", fn.order_key(F.col("time_ns"), F.col("seq_low"))).alias("bar_open"),
+        F.max_by("mid", fn.order_key(F.col("time_ns"), F.col("seq_high"))).alias("bar_close"),
         F.avg("mid").alias("bar_vwap"),
         F.min("mid").alias("bar_low"),
         F.max("mid").alias("bar_high"),
