@@ -193,3 +193,34 @@ def test_shared_folder_rules(spark):
         settings.shared_dir(Session())
     assert settings.scratch_path(spark, "x") != settings.scratch_path(spark, "x")
     assert settings.shared_dir(spark) == settings.shared_dir(spark)
+
+
+def test_daily_tables_of_many_layouts_are_one_source(spark, make_quotes, tmp_path):
+    """Tables with equal columns share a scan, whatever their number; others keep their own."""
+    spark.sql("CREATE DATABASE IF NOT EXISTS layouts_test")
+    part = stored_quotes(make_quotes).filter(F.col("date") == F.lit(DAY)).drop("date")
+    days = [DAY + dt.timedelta(days=i) for i in range(8)]
+
+    def plan(until):
+        df = tables.read_daily_tables(spark, "layouts_test", DAY, until)
+        return df, df._jdf.queryExecution().executedPlan().toString()
+
+    try:
+        for day in days[:5]:
+            part.write.parquet(str(tmp_path / f"at-{day}"))
+            spark.sql(f"CREATE TABLE layouts_test.nbbom_{day:%Y%m%d} USING parquet LOCATION '{tmp_path}/at-{day}'")
+        two, few = plan(days[1])
+        five, more = plan(days[4])
+        assert two.count() == 4 and five.count() == 10 and few.count("FileScan") == more.count("FileScan") == 1
+        # Prices as decimals and whole numbers, a view, and a table cut further.
+        odd = part.withColumns({"best_bid": F.expr("CAST(7.5 AS DECIMAL(10,2))"), "best_asksiz": F.lit(3)})
+        odd.write.saveAsTable(f"layouts_test.nbbom_{days[5]:%Y%m%d}")
+        spark.sql(f"CREATE VIEW layouts_test.nbbom_{days[6]:%Y%m%d} AS SELECT * FROM layouts_test.nbbom_{days[0]:%Y%m%d}")
+        part.write.partitionBy("symbol").saveAsTable(f"layouts_test.nbbom_{days[7]:%Y%m%d}")
+        everything, last = plan(days[7])
+        rows = everything.collect()
+        assert last.count("FileScan") == 4 and len(rows) == 16 and everything.dtypes == five.dtypes
+        assert {(r.best_bid, r.best_asksiz) for r in rows if r.date == days[5]} == {(7.5, 3.0)}
+        assert sorted({r.date for r in rows}) == days
+    finally:
+        spark.sql("DROP DATABASE layouts_test CASCADE")

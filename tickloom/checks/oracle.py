@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from tickloom.checks.queries import CALENDAR, EXPECTED, FOREST, HOLIDAYS, PAIRS, SCAN_DAYS, SPLITS, SYMBOLS
+from tickloom.checks.queries import CALENDAR, DROPPED_DAY, EXPECTED, FOREST, HOLIDAYS, PAIRS, SCAN_DAYS, SPLITS, SYMBOLS
 from tickloom.operators.forest import forest_sql
 from tickloom.settings import ACF_LAGS, BAR_LAGS, FEATURES, PAIR_LAGS, SEQUENCE_LENGTH
 
@@ -371,7 +371,7 @@ DAY_COLUMNS = {
     **{
         name: ("date",)
         for name in (
-            "quote_view", "quote_scan", "ofi_events", "ofi_bars", "price_bars", "price_bars_rn", "price_bars_full", "bar_returns",
+            "quote_view", "quote_scan", "daily_tables_scan", "ofi_events", "ofi_bars", "price_bars", "price_bars_rn", "price_bars_full", "bar_returns",
             "trading_calendar", "partition_discovery", "completeness", "bar_dedup", "zscore_daily", "zscore_expanding",
             "zscore_train", "lag_features", "ofi_changes", "pair_bars", "pair_returns", "ar1_ols", "bar_files_roundtrip", "forest_scores",
         )
@@ -413,6 +413,11 @@ def _statements() -> dict[str, str]:
             f"SELECT {key}, time_ns, seq, {_round('mid')}, {_round('spread')} FROM priced WHERE upper(trim(symbol)) IN "
             f"({', '.join(repr(s.upper()) for s in SYMBOLS)})"
         ),
+        "daily_tables_scan": _compose(
+            "SELECT upper(symbol) AS symbol, time_ns, seq, best_bid, best_bidsiz, best_ask, best_asksiz, date FROM quotes "
+            f"WHERE symbol IN ('click', 'view') AND date BETWEEN DATE '{SCAN_DAYS[0]}' AND DATE '{SCAN_DAYS[1]}' "
+            f"AND date <> DATE '{DROPPED_DAY}'"
+        ),
         "quote_scan": _compose(
             "SELECT upper(symbol) AS symbol, time_ns, seq, best_bid, best_bidsiz, best_ask, best_asksiz, date FROM quotes "
             f"WHERE symbol IN ('click', 'view') AND date BETWEEN DATE '{SCAN_DAYS[0]}' AND DATE '{SCAN_DAYS[1]}'"

@@ -23,6 +23,7 @@ from tickloom.plans.training import train_trees
 from tickloom.settings import FEATURES, TARGET, BarSpec, SplitDates, materialize, scratch_path
 from tickloom.sources import bars as bar_files
 from tickloom.sources import metrics as metric_files
+from tickloom.sources import tables
 from tickloom.sources.quotes import read_event_quotes, read_quotes
 
 SPLITS = SplitDates(date(2024, 1, 20), date(2024, 1, 21), date(2024, 1, 25), date(2024, 1, 26))
@@ -35,6 +36,7 @@ PAIRS = (
 )
 PAIR_SPEC = BarSpec(bar_seconds=1800)
 SCAN_DAYS = (date(2024, 1, 5), date(2024, 1, 20))
+DROPPED_DAY = date(2024, 1, 10)
 CALENDAR = (date(2024, 1, 1), date(2024, 2, 29))
 HOLIDAYS = (date(2024, 1, 1), date(2024, 1, 15), date(2024, 2, 19))
 # A fixed forest of six trees over the features of the dataset.
@@ -122,6 +124,21 @@ def quote_scan(spark, sf_dir):
     return _comparable(read_quotes(spark, path, [" click", "VIEW ", "none"], *SCAN_DAYS))
 
 
+def daily_tables_scan(spark, sf_dir):
+    """Quotes stored as one table a day, read back for some symbols and days; one day's table is dropped."""
+    path = scratch_path(spark, "daily-tables")
+    schema = f"daily_{path.rsplit('-', 1)[1]}"
+    stored = quotes(spark, sf_dir).withColumn("symbol", F.upper("symbol")).withColumn("day", fn.date_key(F.col("date"))).drop("date")
+    stored.hint("rebalance", "day").write.partitionBy("day").parquet(path)
+    spark.sql(f"CREATE DATABASE {schema} LOCATION '{path}-database'")
+    days = spark.read.format("binaryFile").load(path).select("day").distinct().collect()  # one row per day
+    for row in days:
+        if row.day != int(f"{DROPPED_DAY:%Y%m%d}"):
+            spark.sql(f"CREATE TABLE {schema}.nbbom_{row.day} USING parquet LOCATION '{path}/day={row.day}'")
+    spark.sql(f"CREATE VIEW {schema}.nbbom_notes AS SELECT 1 AS x")
+    return _comparable(tables.read_daily_tables(spark, schema, *SCAN_DAYS, [" click", "VIEW ", "none"]))
+
+
 def ofi_events(spark, sf_dir):
     return _comparable(events.ofi_events(quotes(spark, sf_dir)))
 
@@ -377,7 +394,7 @@ def bar_files_roundtrip(spark, sf_dir):
 
 
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    quote_view, quote_scan, ofi_events, ofi_bars, price_bars, price_bars_rn, price_bars_full, bar_returns, return_stats,
+    quote_view, quote_scan, daily_tables_scan, ofi_events, ofi_bars, price_bars, price_bars_rn, price_bars_full, bar_returns, return_stats,
     trading_calendar, partition_discovery, completeness, bar_dedup, bar_time, zscore_daily, zscore_expanding,
     zscore_train, lag_features, ofi_changes, describe_ofi, dataset_profile, sequences, pair_bars, pair_returns,
     pair_corr, lead_lag, acf, metrics, rank_ic, best_model, model_report, ar1_ols, ar_p, granger_1lag, granger,
