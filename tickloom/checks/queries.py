@@ -18,7 +18,7 @@ from tickloom.functions import scalar as fn
 from tickloom.operators import calendar, evaluation, events, features, forest, linear, models, pairs, prices
 from tickloom.operators.events import BAR_KEYS
 from tickloom.plans import suites
-from tickloom.plans.dataset import modelling_dataset
+from tickloom.plans.dataset import bucketed_dataset, modelling_dataset
 from tickloom.plans.training import train_trees
 from tickloom.settings import FEATURES, TARGET, BarSpec, SplitDates, materialize, scratch_path
 from tickloom.sources import bars as bar_files
@@ -172,6 +172,13 @@ def trading_calendar(spark, sf_dir):
     return _comparable(calendar.reconcile_calendar(days, quotes(spark, sf_dir), HOLIDAYS))
 
 
+def stored_calendar(spark, sf_dir):
+    """The same from the folders of stored quotes, without opening their files."""
+    path = scratch_path(spark, "quotes")
+    quotes(spark, sf_dir).hint("rebalance", "date").write.partitionBy("date").parquet(path)
+    return _comparable(calendar.reconcile_calendar(calendar.weekdays(spark, *CALENDAR), calendar.stored_days(spark, path), HOLIDAYS))
+
+
 def partition_discovery(spark, sf_dir):
     """Daily-table names spelled from the events, many of them not dates, matched to a calendar."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -224,6 +231,15 @@ def lag_features(spark, sf_dir):
     return _comparable(complete.select(*BAR_KEYS, "bar_time", *FEATURES, TARGET, "split"))
 
 
+def bucketed_lags(spark, sf_dir):
+    """The same over bars stored by symbol in buckets."""
+    path = scratch_path(spark, "bucketed")
+    table = f"bars_{path.rsplit('-', 1)[1]}"
+    bar_files.write_bucketed(bars(spark, sf_dir), table, 8, path)
+    complete = features.complete_cases(bucketed_dataset(spark.table(table), SPLITS))
+    return _comparable(complete.select(*BAR_KEYS, "bar_time", *FEATURES, TARGET, "split"))
+
+
 def ofi_changes(spark, sf_dir):
     changes = features.add_ofi_changes(stored_dataset(spark, sf_dir, normalization="daily"))
     names = ["next_ofi", "next_ofi_z", "next_ofi_sign", "ofi_change", "ofi_z_change"]
@@ -393,13 +409,20 @@ def bar_files_roundtrip(spark, sf_dir):
     return _comparable(both.groupBy(*daily.columns).agg(*counts))
 
 
+def combined_order(spark, sf_dir):
+    """Rows out of order in the combined copy."""
+    path = scratch_path(spark, "combined")
+    bar_files.write_combined(bars(spark, sf_dir), path)
+    return bar_files.order_violations(spark, path)
+
+
 ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     quote_view, quote_scan, daily_tables_scan, ofi_events, ofi_bars, price_bars, price_bars_rn, price_bars_full, bar_returns, return_stats,
-    trading_calendar, partition_discovery, completeness, bar_dedup, bar_time, zscore_daily, zscore_expanding,
-    zscore_train, lag_features, ofi_changes, describe_ofi, dataset_profile, sequences, pair_bars, pair_returns,
+    trading_calendar, stored_calendar, partition_discovery, completeness, bar_dedup, bar_time, zscore_daily, zscore_expanding,
+    zscore_train, lag_features, bucketed_lags, ofi_changes, describe_ofi, dataset_profile, sequences, pair_bars, pair_returns,
     pair_corr, lead_lag, acf, metrics, rank_ic, best_model, model_report, ar1_ols, ar_p, granger_1lag, granger,
     gbt_eval, forest_scores, forest_eval, forest_importance, importance, ablation, change_suite, cross_suite, price_vs_ofi_suite, metric_json_roundtrip,
-    bar_files_roundtrip,
+    bar_files_roundtrip, combined_order,
 )
 
 

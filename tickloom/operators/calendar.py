@@ -52,6 +52,13 @@ def reconcile_calendar(calendar: DataFrame, available: DataFrame, holidays: Iter
     return calendar.join(present, "date", "left").select("date", status.alias("status"))
 
 
+def stored_days(spark: SparkSession, path: str, column: str = "date") -> DataFrame:
+    """Days of a tree partitioned by day, from its paths alone: files are listed, none is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    day = F.regexp_extract("path", f"/{column}=([^/]+)/", 1)
+    return files.select(fn.try_parse_date(day).alias("date")).filter(F.col("date").isNotNull()).distinct()
+
+
 def dates_from_names(tables: DataFrame, column: str = "table_name") -> DataFrame:
     """Distinct dates of daily tables; names without a valid date are skipped.
 

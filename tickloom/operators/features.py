@@ -86,6 +86,16 @@ def add_lags(
     return shift_columns(bars, ["symbol"], {**shifts, TARGET: (value, -1)}, chunk_rows)
 
 
+def add_lags_in_place(bars: DataFrame, lags: Iterable[int] = BAR_LAGS, value: str = "ofi_z") -> DataFrame:
+    """``add_lags`` of unique bars that already lie together by symbol: a plain window, no exchange.
+
+    A symbol has at most one bar per bucket of a day, so its history is bounded by time.
+    """
+    history = Window.partitionBy("symbol").orderBy("date", "bucket")
+    columns = {f"lag{k}": F.lag(value, k).over(history) for k in lags}
+    return bars.withColumns({**columns, TARGET: F.lead(value, 1).over(history)})
+
+
 def add_split(df: DataFrame, dates: SplitDates) -> DataFrame:
     return df.withColumn("split", fn.split_label(F.col("date"), dates))
 

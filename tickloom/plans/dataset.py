@@ -44,6 +44,14 @@ def modelling_dataset(
     return features.add_split(rows, dates)
 
 
+def bucketed_dataset(
+    bars: DataFrame, dates: SplitDates, bar_seconds: int = BarSpec().bar_seconds, lags: Iterable[int] = BAR_LAGS
+) -> DataFrame:
+    """``modelling_dataset`` of unique bars read from a table bucketed by symbol: nothing is shuffled."""
+    rows = features.zscore_training(features.add_bar_time(bars, bar_seconds), dates.train_end)
+    return features.add_split(features.add_lags_in_place(rows, lags), dates)
+
+
 def extract_bars(quotes: DataFrame, path: str, spec: BarSpec = BarSpec()) -> None:
     """Store OFI bars by day."""
     write_bar_partitions(ofi_bars(quotes, spec), path)

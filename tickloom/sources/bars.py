@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,5 +81,41 @@ def write_combined(df: DataFrame, path: str, order: Sequence[str] = ("symbol", "
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
 
 
+def order_violations(spark: SparkSession, path: str, order: Sequence[str] = ("symbol", "date", "bucket")) -> DataFrame:
+    """``n_rows`` and ``n_violations``: rows of a combined copy that come before the row in front of them.
+
+    Rows are compared within a file by their place in it, and files by their last and first
+    rows in the order of file names. Equal keys are in order; NULL comes first.
+    """
+    key = F.struct(*(F.struct(F.col(c).isNotNull(), F.col(c)) for c in order))
+    rows = spark.read.parquet(path).select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("place"), key.alias("key")
+    )
+    before = F.lag("key").over(Window.partitionBy("file").orderBy("place"))
+    files = rows.withColumn("before", before).groupBy("file").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("key") < F.col("before")).alias("within"),
+        F.min_by("key", "place").alias("first"),
+        F.max_by("key", "place").alias("last"),
+    )
+    # One row per file.
+    between = files.withColumn("ended", F.lag("last").over(Window.orderBy(F.regexp_extract("file", r"part-(\d+)", 1).try_cast("long"), "file")))
+    return between.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum(F.col("within") + F.coalesce((F.col("first") < F.col("ended")).cast("long"), F.lit(0))), F.lit(0)).alias("n_violations"),
+    )
+
+
+def write_bucketed(bars: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """A table whose files hold whole symbols, in the order of time.
+
+    Statistics and windows by symbol read it without an exchange. A symbol has at most one bar per
+    bucket of a day, so no bucket of files is much larger than its symbols are many.
+    """
+    placed = bars.repartition(buckets, "symbol").sortWithinPartitions("symbol", "date", "bucket")
+    writer = placed.write.bucketBy(buckets, "symbol").sortBy("date", "bucket").mode("overwrite")
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
+
+
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
