@@ -136,3 +136,13 @@ def test_pair_analysis_job(spark, dataset, tmp_path):
     assert spark.read.json(str(tmp_path / "correlation")).count() == 1
     assert spark.read.json(str(tmp_path / "lead_lag")).count() == 8
     assert spark.read.json(str(tmp_path / "granger")).count() == 2
+
+
+def test_granger_reads_once_and_stands_large_means(spark, wide, tmp_path):
+    shifted = wide.select(*(F.col(c) + 1e6 if t == "double" else F.col(c) for c, t in wide.dtypes)).toDF(*wide.columns)
+    shifted.write.parquet(str(tmp_path / "wide"))
+    tests = linear.granger_tests(spark.read.parquet(str(tmp_path / "wide")), [1, 2])
+    assert tests._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    near = {(r.symbol_b, r.direction): r.f_statistic for r in linear.granger_tests(wide, [1, 2]).collect()}
+    far = {(r.symbol_b, r.direction): r.f_statistic for r in tests.collect()}
+    assert far.keys() == near.keys() and all(far[k] == pytest.approx(near[k], rel=1e-6) for k in near if near[k] is not None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -46,13 +47,11 @@ def ar_baselines(dataset: DataFrame, orders: Sequence[int] = (1, 3, 6), target:
     return prediction_metrics(scored, ["model"])
 
 
-def _residual_sum(n: float, sums: np.ndarray, products: np.ndarray) -> float:
-    """RSS of column 0 on the others and an intercept, from plain and product sums."""
-    size = len(sums)
-    gram = np.zeros((size, size))
-    gram[np.triu_indices(size)] = products
-    gram = np.triu(gram) + np.triu(gram, 1).T
-    cov = gram / n - np.outer(sums, sums) / (n * n)
+def _residual_sum(n: float, covariances: np.ndarray, size: int) -> float:
+    """RSS of column 0 on the others and an intercept, from the upper triangle of covariances."""
+    cov = np.zeros((size, size))
+    cov[np.triu_indices(size)] = covariances
+    cov = np.triu(cov) + np.triu(cov, 1).T
     beta = np.linalg.lstsq(cov[1:, 1:], cov[1:, 0], rcond=None)[0]
     return max(float(n * (cov[0, 0] - cov[1:, 0] @ beta)), 0.0)
 
@@ -61,15 +60,14 @@ _RESIDUAL_SUMS = StructType([StructField("rss_r", DoubleType()), StructField("rs
 
 
 @F.pandas_udf(_RESIDUAL_SUMS)
-def _residual_sums_udf(
-    rn: pd.Series, rs: pd.Series, rp: pd.Series, un: pd.Series, us: pd.Series, up: pd.Series
-) -> pd.DataFrame:
+def _residual_sums_udf(rn: pd.Series, rc: pd.Series, un: pd.Series, uc: pd.Series) -> pd.DataFrame:
     """Two small solves per aggregated row; no data rows get here."""
 
-    def solved(counts: pd.Series, sums: pd.Series, products: pd.Series) -> list[float | None]:
-        return [_residual_sum(c, np.asarray(s, float), np.asarray(p, float)) if c else None for c, s, p in zip(counts, sums, products)]
+    def solved(counts: pd.Series, covariances: pd.Series) -> list[float | None]:
+        sizes = ((math.isqrt(8 * len(c) + 1) - 1) // 2 for c in covariances)
+        return [_residual_sum(n, np.asarray(c, float), size) if n else None for n, c, size in zip(counts, covariances, sizes)]
 
-    return pd.DataFrame({"rss_r": solved(rn, rs, rp), "rss_u": solved(un, us, up)}, dtype="float64")
+    return pd.DataFrame({"rss_r": solved(rn, rc), "rss_u": solved(un, uc)}, dtype="float64")
 
 
 def _masked(prefix: str, names: Sequence[str]) -> list[Column]:
@@ -81,10 +79,14 @@ def _masked(prefix: str, names: Sequence[str]) -> list[Column]:
 
 
 def _moments(prefix: str, size: int) -> list[Column]:
-    """Row count, sums and the upper triangle of product sums of masked columns."""
+    """Row count and the upper triangle of covariances of masked columns.
+
+    The built-in covariance carries means along and merges centred sums, so one pass is enough
+    however far the values are from zero.
+    """
     c = [F.col(f"{prefix}{i}") for i in range(size)]
-    products = F.array(*(F.sum(c[i] * c[j]) for i in range(size) for j in range(i, size)))
-    return [F.count(c[0]).alias(f"{prefix}n"), F.array(*map(F.sum, c)).alias(f"{prefix}s"), products.alias(f"{prefix}p")]
+    covariances = F.array(*(F.covar_pop(c[i], c[j]) for i in range(size) for j in range(i, size)))
+    return [F.count(c[0]).alias(f"{prefix}n"), covariances.alias(f"{prefix}c")]
 
 
 def granger_tests(
@@ -94,31 +96,25 @@ def granger_tests(
 ) -> DataFrame:
     """F-test per (pair, direction): do the other side's lags help beyond own lags?
 
-    All that regression needs are product sums, so every pair and both
-    directions are one aggregation with map-side partials. Each series is first
-    centred on its mean over the pair's rows, which keeps the sums well
-    conditioned; the frame is read twice for that, so hand in a stored one. The restricted and the unrestricted model each use their own
-    complete rows, so their terms keep separate masks. ``df2 = n - k`` leaves
-    the intercept out unless ``intercept_in_df`` is set.
+    All that regression needs are covariances, so every pair and both
+    directions are one aggregation with map-side partials, in one read. The restricted and the
+    unrestricted model each use their own complete rows, so their terms keep separate masks.
+    ``df2 = n - k`` leaves the intercept out unless ``intercept_in_df`` is set.
     """
     lags = [k for k in lags if f"a_lag{k}" in pairs_lagged.columns]
     width = len(lags)
-    means = pairs_lagged.groupBy(*PAIR_KEYS).agg(F.avg("a_ofi_z").alias("a_mean"), F.avg("b_ofi_z").alias("b_mean"))
 
     def view(direction: str, cause: str, effect: str) -> Column:
-        def centred(side: str, stem: str) -> Column:
-            return F.col(f"{side}_{stem}") - F.col(f"{side}_mean")
-
         return F.struct(
             F.lit(direction).alias("direction"),
-            centred(effect, "ofi_z").alias("y"),
-            *(centred(effect, f"lag{k}").alias(f"own{k}") for k in lags),
-            *(centred(cause, f"lag{k}").alias(f"other{k}") for k in lags),
+            F.col(f"{effect}_ofi_z").alias("y"),
+            *(F.col(f"{effect}_lag{k}").alias(f"own{k}") for k in lags),
+            *(F.col(f"{cause}_lag{k}").alias(f"other{k}") for k in lags),
         )
 
     own = ["y", *(f"own{k}" for k in lags)]
     both = [*own, *(f"other{k}" for k in lags)]
-    views = pairs_lagged.join(means, PAIR_KEYS).select(
+    views = pairs_lagged.select(
         *PAIR_KEYS, F.inline(F.array(view("a_to_b", "a", "b"), view("b_to_a", "b", "a")))
     )
     moments = (
@@ -130,7 +126,7 @@ def granger_tests(
         *PAIR_KEYS,
         "direction",
         F.col("un").alias("n"),
-        _residual_sums_udf("rn", "rs", "rp", "un", "us", "up").alias("rss"),
+        _residual_sums_udf("rn", "rc", "un", "uc").alias("rss"),
     ).select(*PAIR_KEYS, "direction", "n", "rss.*")
     df1 = F.lit(float(width))
     df2 = (F.col("n") - 2 * width - (1 if intercept_in_df else 0)).cast("double")
