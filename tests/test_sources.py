@@ -282,3 +282,22 @@ def test_bucketed_bars_need_no_exchange(spark, make_bars, tmp_path):
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     finally:
         spark.sql("DROP TABLE bucketed_test")
+
+
+def test_bar_files_whose_types_drift(spark, make_bars, tmp_path):
+    path = str(tmp_path / "bars")
+    for kind, symbol in (("int", "A B"), ("long", "B"), ("double", "C%20")):
+        rows = [(symbol, DAY + dt.timedelta(days=d), b, float(b) or float("nan")) for d in range(2) for b in range(3)]
+        frame = make_bars(rows).withColumn("bucket", F.col("bucket").cast(kind))
+        frame = frame.withColumn("n_events", F.lit(1)) if kind == "long" else frame
+        written = bar_files.write_bar_files(frame.repartition(3), path).collect()
+        assert sorted((r.symbol, r.date, r.n_bars) for r in written) == [(symbol, DAY, 3), (symbol, DAY + dt.timedelta(days=1), 3)]
+    bar_files.write_bar_files(make_bars([("B", DAY, 9, 9.0), (None, DAY, 1, 1.0)]), path)
+    assert bar_files.bar_file_layouts(spark, path).select("layout").distinct().count() == 3
+    got = bar_files.read_bar_files(spark, path)
+    assert dict(got.dtypes)["bucket"] == "int" and got.count() == 16
+    assert {(r.bucket, r.n_events) for r in got.filter("symbol = 'B'").collect()} == {(9, None), (0, 1), (1, 1), (2, 1)}
+    assert got.filter("ofi IS NULL").count() == 5
+    (tmp_path / "bars" / "ofi5m_broken.parquet").write_bytes(b"PAR1 but no footer")
+    with pytest.raises(ValueError, match="ofi5m_broken.parquet"):
+        bar_files.read_bar_files(spark, path)

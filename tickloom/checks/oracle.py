@@ -373,7 +373,7 @@ DAY_COLUMNS = {
         for name in (
             "quote_view", "quote_scan", "daily_tables_scan", "ofi_events", "ofi_bars", "price_bars", "price_bars_rn", "price_bars_full", "bar_returns",
             "trading_calendar", "stored_calendar", "partition_discovery", "completeness", "bar_dedup", "zscore_daily", "zscore_expanding",
-            "zscore_train", "lag_features", "bucketed_lags", "ofi_changes", "pair_bars", "pair_returns", "ar1_ols", "bar_files_roundtrip", "forest_scores",
+            "zscore_train", "lag_features", "bucketed_lags", "ofi_changes", "pair_bars", "pair_returns", "ar1_ols", "bar_files_roundtrip", "bar_files_scan", "forest_scores",
         )
     },
 }
@@ -546,6 +546,7 @@ def _statements() -> dict[str, str]:
         "granger_1lag": _granger_1lag_sql(),
         "granger": _granger_sql(),
         "metric_json_roundtrip": _compose(f"SELECT model, split, {score_list}, n_samples FROM scores"),
+        "bar_files_scan": _compose("SELECT date, symbol, bucket, ofi, n_events, bar_start, bar_end FROM bars"),
         "combined_order": _compose("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_violations FROM bars"),
         "bar_files_roundtrip": _compose("SELECT date, symbol, bucket, ofi, n_events, bar_start, bar_end, 1 AS n_daily, 1 AS n_combined FROM bars"),
     }

@@ -409,6 +409,22 @@ def bar_files_roundtrip(spark, sf_dir):
     return _comparable(both.groupBy(*daily.columns).agg(*counts))
 
 
+def bar_files_scan(spark, sf_dir):
+    """Bar files of three layouts, one per symbol and day, with a combined copy beside them, read back."""
+    path = scratch_path(spark, "bar-files")
+    stored = stored_bars(spark, sf_dir)
+    bucket = F.col("bucket")
+    drifted = {
+        ("click", "view"): stored,
+        ("error", "signup"): stored.withColumns({"bucket": bucket.cast("long"), "date": F.col("date").cast("string")}),
+        ("purchase",): stored.withColumn("bucket", bucket.cast("double")).select("bucket", "ofi", "symbol", "date", "n_events", "bar_start", "bar_end"),
+    }
+    for symbols, rows in drifted.items():
+        bar_files.write_bar_files(rows.filter(F.col("symbol").isin(*symbols)), path)
+    bar_files.write_combined(stored, f"{path}/ofi5m_combined.parquet")
+    return _comparable(bar_files.read_bar_files(spark, path))
+
+
 def combined_order(spark, sf_dir):
     """Rows out of order in the combined copy."""
     path = scratch_path(spark, "combined")
@@ -422,7 +438,7 @@ ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     zscore_train, lag_features, bucketed_lags, ofi_changes, describe_ofi, dataset_profile, sequences, pair_bars, pair_returns,
     pair_corr, lead_lag, acf, metrics, rank_ic, best_model, model_report, ar1_ols, ar_p, granger_1lag, granger,
     gbt_eval, forest_scores, forest_eval, forest_importance, importance, ablation, change_suite, cross_suite, price_vs_ofi_suite, metric_json_roundtrip,
-    bar_files_roundtrip, combined_order,
+    bar_files_roundtrip, bar_files_scan, combined_order,
 )
 
 
