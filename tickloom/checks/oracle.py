@@ -387,7 +387,7 @@ def statements() -> dict[str, str]:
     """One DuckDB statement per registered query that SQL can express."""
     spelled = _statements()
     # The same rows by another road.
-    spelled |= {"stored_calendar": spelled["trading_calendar"], "bucketed_lags": spelled["lag_features"]}
+    spelled |= {"stored_calendar": spelled["trading_calendar"], "bucketed_lags": spelled["lag_features"], "comparison_document": spelled["best_model"]}
     return {name: _days_as_text(sql, DAY_COLUMNS[name]) if name in DAY_COLUMNS else sql for name, sql in spelled.items()}
 
 
@@ -545,6 +545,25 @@ def _statements() -> dict[str, str]:
         "ar_p": _ar_sql(),
         "granger_1lag": _granger_1lag_sql(),
         "granger": _granger_sql(),
+        "suite_records": _compose(
+            f"""SELECT model AS experiment, 'forecasts of the next bar' AS description, 'y_next' AS target, 'forecast:' || model AS features,
+                   n_samples AS n_test, {score_list}, CAST(NULL AS DOUBLE) AS information_coefficient, n_samples, 1.0::DOUBLE AS importance,
+                   300 AS bar_seconds, 2 AS lags_1, '16:00' AS session_close, CAST(NULL AS INTEGER) AS seed, CAST(NULL AS VARCHAR) AS absent
+            FROM testscores"""
+        ),
+        "report_details": _compose(
+            f"""SELECT upper(model) AS model, '2024-02-01T00:00:00' AS timestamp, 'bar_seconds=300, best_epoch=' || best AS params,
+                   {_round('train_loss[-1]', 6, 'final_train_loss')}, {_round('val_loss[-1]', 6, 'final_val_loss')}, best AS best_epoch
+            FROM (SELECT *, CAST(list_position(val_loss, list_min(val_loss)) AS VARCHAR) AS best FROM (
+                SELECT model, list(loss ORDER BY date) FILTER (WHERE split = 'train') AS train_loss,
+                       list(loss ORDER BY date) FILTER (WHERE split = 'val') AS val_loss
+                FROM (SELECT model, split, date, avg((y_next - p) * (y_next - p)) AS loss
+                      FROM (SELECT m.model, d.split, d.date, d.y_next,
+                                   CASE m.model WHEN 'persistence' THEN d.ofi_z WHEN 'zero' THEN 0.0::DOUBLE ELSE d.lag1 END AS p
+                            FROM dataset d CROSS JOIN (VALUES ('persistence'), ('zero'), ('lag1')) m(model) WHERE d.split IN ('train', 'val'))
+                      GROUP BY model, split, date)
+                WHERE loss IS NOT NULL GROUP BY model))"""
+        ),
         "metric_json_roundtrip": _compose(f"SELECT model, split, {score_list}, n_samples FROM scores"),
         "bar_files_scan": _compose("SELECT date, symbol, bucket, ofi, n_events, bar_start, bar_end FROM bars"),
         "combined_order": _compose("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_violations FROM bars"),

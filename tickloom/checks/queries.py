@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import scalar as fn
 from tickloom.operators import calendar, evaluation, events, features, forest, linear, models, pairs, prices
 from tickloom.operators.events import BAR_KEYS
-from tickloom.plans import suites
+from tickloom.plans import reports, suites
 from tickloom.plans.dataset import bucketed_dataset, modelling_dataset
 from tickloom.plans.training import train_trees
 from tickloom.settings import FEATURES, TARGET, BarSpec, SplitDates, materialize, scratch_path
@@ -397,6 +397,63 @@ def metric_json_roundtrip(spark, sf_dir):
     return _comparable(rows)
 
 
+def suite_records(spark, sf_dir):
+    """The forecasts as a suite with free-form parameters, through its JSON document and back."""
+    scores = forecast_scores(spark, sf_dir)
+    metrics = F.struct("mse", "mae", "correlation", "directional_accuracy", "n_samples")
+    result = scores.select(
+        F.col("model").alias("experiment"),
+        F.lit(TARGET).alias("target"),
+        F.array(F.concat(F.lit("forecast:"), F.col("model"))).alias("features"),
+        F.col("n_samples").alias("n_test"),
+        metrics.alias("metrics"),
+        F.create_map(F.lit("weight"), F.lit(1.0)).alias("importance"),
+    )
+    path = scratch_path(spark, "suites")
+    params = {"bar_seconds": 300, "lags": [1, 2, 3], "session": {"open": "09:30", "close": "16:00"}, "seed": None}
+    reports.write_suite(result, f"{path}/forecasts.json", "forecasts of the next bar", params)
+    read = {"bar_seconds": "int", "lags[1]": "int", "session.close": "string", "seed": "int", "absent": "string"}
+    rows = reports.suite_rows(reports.read_documents(spark, f"{path}/forecasts.json"), read)
+    return _comparable(rows.withColumns({"features": F.array_join("features", ","), "importance": F.col("importance")["weight"]}))
+
+
+def comparison_document(spark, sf_dir):
+    """The winners from the stored comparison of stored metric records."""
+    scores = evaluation.prediction_metrics(forecasts(spark, sf_dir), ["model", "split"])
+    path = scratch_path(spark, "comparison")
+    metric_files.write_metric_records(evaluation.metric_records(scores), f"{path}/forecast_metrics.json")
+    order = F.array_position(F.array(*(F.lit(name) for name in FORECASTS)), F.col("model"))
+    records = metric_files.read_metric_records(spark, path).withColumn("ord", F.format_string("%06d", order))
+    reports.write_comparison(records, f"{path}/comparison.json")
+    return _comparable(reports.comparison_rows(reports.read_documents(spark, f"{path}/comparison.json")))
+
+
+def report_details(spark, sf_dir):
+    """Details of model records whose loss history is the error of each train and validation day."""
+    guesses = F.array(*(F.struct(F.lit(m).alias("model"), (F.lit(0.0) if c is None else F.col(c)).alias("p")) for m, c in FORECASTS.items()))
+    rows = dataset(spark, sf_dir).filter(F.col("split").isin("train", "val")).select("split", "date", F.col(TARGET).alias("y"), F.inline(guesses))
+    error = F.avg((F.col("y") - F.col("p")) * (F.col("y") - F.col("p")))
+    daily = rows.groupBy("model", "split", "date").agg(error.alias("loss")).filter("loss IS NOT NULL")
+
+    def losses(split: str) -> Column:
+        listed = F.sort_array(F.collect_list(F.when(F.col("split") == split, F.struct("date", "loss"))))
+        return F.transform(listed, lambda day: day["loss"])
+
+    history = daily.groupBy("model").agg(losses("train").alias("train_loss"), losses("val").alias("val_loss"))
+    best = F.array_position("val_loss", F.array_min("val_loss")).cast("string")
+    records = history.select(
+        "model",
+        F.lit("2024-02-01T00:00:00").alias("timestamp"),
+        F.create_map(F.lit("bar_seconds"), F.lit("300"), F.lit("best_epoch"), best).alias("params"),
+        F.struct("train_loss", "val_loss").alias("history"),
+    )
+    path = scratch_path(spark, "records")
+    metric_files.write_metric_records(records, f"{path}/forecast_metrics.json")
+    details = evaluation.model_report(metric_files.read_metric_records(spark, path))
+    params = F.array_join(F.transform("params", lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
+    return _comparable(details.withColumn("params", params), 6)
+
+
 def bar_files_roundtrip(spark, sf_dir):
     """Bars through the daily sink and the combined sink: how often each row came back from either."""
     path = scratch_path(spark, "bar-files")
@@ -438,6 +495,7 @@ ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     zscore_train, lag_features, bucketed_lags, ofi_changes, describe_ofi, dataset_profile, sequences, pair_bars, pair_returns,
     pair_corr, lead_lag, acf, metrics, rank_ic, best_model, model_report, ar1_ols, ar_p, granger_1lag, granger,
     gbt_eval, forest_scores, forest_eval, forest_importance, importance, ablation, change_suite, cross_suite, price_vs_ofi_suite, metric_json_roundtrip,
+    suite_records, comparison_document, report_details,
     bar_files_roundtrip, bar_files_scan, combined_order,
 )
 
