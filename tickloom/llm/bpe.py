@@ -10,6 +10,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from tickloom.llm.text import ChunkCache, batches_of
 ENCODED_SCHEMA = "doc_id long, ids array<int>"
 DECODED_SCHEMA = "doc_id long, ids array<int>, decoded binary"
 _IDS = pa.list_(pa.int32())
+# Prefixes up to this long are remembered across the matches that begin with them.
+_SHARED_BYTES = 16
 
 
 class Ranks:
@@ -73,10 +76,12 @@ class PrefixTable:
     That token is unique: it ends the prefix and fits the last token of the prefix before it.
     So the table grows by appends without looking back further than the longest token, and an
     edit is followed by re-encoding only until a stretch as long as that is the same again.
+    ``shared`` remembers the last tokens of prefixes for other tables over the same vocabulary.
     """
 
-    def __init__(self, ranks: Ranks, data: bytes = b""):
+    def __init__(self, ranks: Ranks, data: bytes = b"", shared: dict[bytes, int] | None = None):
         self._ranks = ranks
+        self._shared = {} if shared is None else shared
         self.data = bytearray()
         self.last: list[int] = []
         self.append(data)
@@ -103,9 +108,14 @@ class PrefixTable:
 
     def append(self, more: bytes) -> None:
         self.data += more
-        data = bytes(self.data)
-        for end in range(len(self.last) + 1, len(data) + 1):
-            self.last.append(self._last_token(data, end))
+        data, known, last = bytes(self.data), self._shared.get, self.last
+        for end in range(len(last) + 1, len(data) + 1):
+            token = known(data[:end]) if end <= _SHARED_BYTES else None
+            if token is None:
+                token = self._last_token(data, end)
+                if end <= _SHARED_BYTES:
+                    self._shared[data[:end]] = token
+            last.append(token)
 
     def splice(self, begin: int, end: int, new: bytes) -> int:
         """Replace the bytes ``begin:end`` by ``new``; return how many prefixes were re-encoded."""
@@ -142,11 +152,15 @@ class Encoder(ChunkCache):
     def __init__(self, path: str, pattern: str, most: int = 700_000):
         super().__init__(self._new_match, regex.compile(pattern).findall, most)
         self.ranks = Ranks(path)
+        self._prefixes: dict[bytes, int] = {}
+        self._most_prefixes = most // 2
 
     def _new_match(self, match: str) -> bytes:
         data = match.encode("utf-8")
         whole = self.ranks.ids.get(data)
-        ids = [whole] if whole is not None else PrefixTable(self.ranks, data).tokens()
+        if len(self._prefixes) >= self._most_prefixes:
+            self._prefixes.clear()
+        ids = [whole] if whole is not None else PrefixTable(self.ranks, data, self._prefixes).tokens()
         return array("i", ids).tobytes()
 
 
@@ -166,13 +180,26 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), lists], names=["doc_id", "ids"])
 
 
+@functools.lru_cache(maxsize=2)
+def _vocabulary(path: str) -> pa.BinaryArray:
+    """Bytes by token id, null for an id without a token."""
+    with open(path, "rb") as lines:
+        bytes_of = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
+    return pa.array([bytes_of.get(i) for i in range(max(bytes_of) + 1)], pa.binary())
+
+
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    bytes_of = Ranks(path).bytes_of.__getitem__
+    vocabulary = _vocabulary(path)
     for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
-        decoded = [None if ids is None else b"".join(map(bytes_of, ids)) for ids in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"]
-        )
+        lists = batch.column(1)
+        tokens = vocabulary.take(lists.flatten())
+        if tokens.null_count:
+            raise ValueError("an id is null or has no token")
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        decoded = pc.binary_join(pa.ListArray.from_arrays(bounds, tokens), b"")
+        decoded = pc.if_else(lists.is_valid(), decoded, pa.scalar(None, pa.binary()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists, decoded], names=["doc_id", "ids", "decoded"])
 
 
 def encode_documents(
