@@ -192,9 +192,11 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     vocabulary = _vocabulary(path)
     for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
         lists = batch.column(1)
-        tokens = vocabulary.take(lists.flatten())
-        if tokens.null_count:
-            raise ValueError("an id is null or has no token")
+        ids = lists.flatten()
+        span = pc.min_max(ids).as_py()
+        outside = len(ids) and (ids.null_count or span["min"] < 0 or span["max"] >= len(vocabulary))
+        if outside or (tokens := vocabulary.take(ids)).null_count:
+            raise KeyError("an id is null or has no token")
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
         bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
         decoded = pc.binary_join(pa.ListArray.from_arrays(bounds, tokens), b"")

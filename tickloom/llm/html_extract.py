@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 from collections.abc import Iterator
@@ -218,6 +219,12 @@ def _sums(root: Node) -> dict[int, Measures]:
     return sums
 
 
+@functools.lru_cache(maxsize=100_000)
+def _hints(text: str) -> tuple[int, int]:
+    """Attribute words that speak against main text and for it."""
+    return len(AGAINST.findall(text)), len(FOR.findall(text))
+
+
 def features(root: Node) -> tuple[list[Node], np.ndarray]:
     """Nodes to decide on and their features: own subtree, attribute words, depth, siblings."""
     nodes, sums = decided_nodes(root), _sums(root)
@@ -231,15 +238,14 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
     for row, node, children in zip(rows, nodes, below):
         depth, against_above, for_above = above.get(id(node), (0, 0.0, 0.0))
         m, kind = sums[id(node)], _kind(node.tag)
-        against = len(AGAINST.findall(f"{node.tag} {node.tokens}"))
-        favour = len(FOR.findall(f"{node.tag} {node.tokens}"))
+        against, favour = _hints(f"{node.tag} {node.tokens}")
         place, count, alike, beside, before = places.get(id(node), (0, 1, 1, whole, 0))
         row[: len(KINDS)] = [kind == k for k in KINDS]
         row[len(KINDS) :] = (
-            depth, against, favour, against_above, for_above, np.log1p(m.chars), m.chars / whole, m.linked / max(1, m.chars),
+            depth, against, favour, against_above, for_above, m.chars, m.chars / whole, m.linked / max(1, m.chars),
             m.links, m.blocks, m.chars / max(1, m.tags), m.words / max(1, m.blocks), m.marks / max(1, m.words),
             len(node.elements()), place / max(1, count - 1), count, alike / count, m.chars / max(1, beside), before / whole,
-            np.log1p(m.longest),
+            m.longest,
         )
         together = sum(sums[id(c)].chars for c in children)
         same = {t: sum(c.tag == t for c in children) for t in {c.tag for c in children}}
@@ -248,6 +254,8 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
             above[id(child)] = (depth + 1, against_above + against, for_above + favour)
             places[id(child)] = (i, len(children), same[child.tag], together, passed)
             passed += sums[id(child)].chars
+    for counted in (len(KINDS) + 5, rows.shape[1] - 1):
+        rows[:, counted] = np.log1p(rows[:, counted])
     return nodes, rows
 
 
@@ -467,21 +475,28 @@ def labelled_nodes(seed: int, texts: list[str], pages: int) -> Iterator[tuple[np
 
 @dataclass(frozen=True)
 class TrainingSettings:
-    """``pages`` labelled pages are written around the words of ``sample`` given pages; both
-    bound the training set whatever the input's size.
+    """``pages`` labelled pages are written around the words in the first ``sample_chars`` characters of
+    ``sample`` given pages; the three bound the training set whatever the input's size.
     """
 
     pages: int = 600
     sample: int = 200
+    sample_chars: int = 20_000
     trees: int = 16
     depth: int = 5
     seed: int = 7
 
 
 def train(spark: SparkSession, pages: DataFrame, settings: TrainingSettings = TrainingSettings(), html_col: str = "html") -> Forest:
-    """Forest for main text, fitted on pages of random layout around words of the given ones."""
-    sample = pages.filter(F.length(html_col) > 0).orderBy(F.xxhash64(html_col)).limit(settings.sample)
-    found = sample.select(F.substring(F.col(html_col), 1, 20_000).alias("html")).collect()
+    """Forest for main text, fitted on pages of random layout around words of the given ones.
+
+    The sample is drawn by the hash of a page: first hashes alone are compared, then the chosen
+    pages' beginnings are fetched, one of several equal pages.
+    """
+    hashed = pages.filter(F.length(html_col) > 0).select(F.xxhash64(html_col).alias("draw"), F.col(html_col).alias("html"))
+    chosen = [r.draw for r in hashed.groupBy("draw").agg(F.count("*")).orderBy("draw").limit(settings.sample).collect()]
+    beginning = F.first(F.substring("html", 1, settings.sample_chars)).alias("html")
+    found = sorted(hashed.filter(F.col("draw").isin(chosen)).groupBy("draw").agg(beginning).collect())
     texts = [" ".join(re.sub(r"<[^>]*>", " ", r["html"]).replace("&", " ").split()) for r in found]
     texts = [t for t in texts if len(t) > 40] or ["some words of a page that has none, to be cut and put together"]
     rows = [(Vectors.dense(row), label) for row, label in labelled_nodes(settings.seed, texts, settings.pages)]
@@ -493,16 +508,39 @@ def train(spark: SparkSession, pages: DataFrame, settings: TrainingSettings = Tr
 
 def extract(html: str | None, forest: Forest) -> str:
     """Main text of one page; empty if there is none."""
-    root = parse(html)
-    nodes, rows = features(root)
-    return text_of(root, decode(nodes, forest.log_odds(rows)))
+    return extract_all([html], forest)[0]
+
+
+def extract_all(pages: list[str | None], forest: Forest, most_nodes: int = 20_000) -> list[str]:
+    """Main texts of pages, whose nodes are scored together, ``most_nodes`` at a time or one page."""
+    texts: list[str] = []
+    held: list[tuple] = []
+    count = 0
+
+    def flush() -> None:
+        odds = forest.log_odds(np.concatenate([rows for _, _, rows in held]))
+        bounds = np.cumsum([len(rows) for _, _, rows in held])[:-1]
+        texts.extend(text_of(root, decode(nodes, own)) for (root, nodes, _), own in zip(held, np.split(odds, bounds)))
+        held.clear()
+
+    for html in pages:
+        root = parse(html)
+        nodes, rows = features(root)
+        held.append((root, nodes, rows))
+        count += len(nodes)
+        if count >= most_nodes:
+            flush()
+            count = 0
+    if held:
+        flush()
+    return texts
 
 
 def _extract(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             rows = batch.slice(at, 500)
-            texts = [extract(html, forest) for html in rows.column(2).to_pylist()]
+            texts = extract_all(rows.column(2).to_pylist(), forest)
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 

@@ -186,9 +186,9 @@ class ChunkEncoder(ChunkCache):
             raise ValueError(f"{path} does not split texts by the common byte-level pattern")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if not self._added:
+        if not any(a in text for a in self._added for text in texts if text):
             return super().encode(texts)
-        parts = [self._split(text) if text and any(a in text for a in self._added) else [text] for text in texts]
+        parts = [self._split(text) if text else [text] for text in texts]
         plain = iter(super().encode([part for split in parts for part in split[::2]]))
         return [b"".join(self._added[part] if i % 2 else next(plain) for i, part in enumerate(split)) for split in parts]
 
