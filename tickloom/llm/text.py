@@ -175,6 +175,8 @@ class ChunkEncoder(ChunkCache):
         self.dtype = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._code = "H" if self.dtype.itemsize == 2 else "I"
         self._symbols = byte_symbols()
+        self._blank = self._symbols[32]
+        self._packed = [self.pack([i]) for i in range(tokenizer.get_vocab_size())]
         added = tokenizer.get_added_tokens_decoder()
         if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
             raise ValueError(f"{path} has added tokens that are not matched literally")
@@ -196,10 +198,14 @@ class ChunkEncoder(ChunkCache):
         return array(self._code, ids).tobytes()
 
     def _ids(self, match: str) -> list[int]:
-        return [t.id for t in self._tokenize(match.encode("utf-8").decode("latin-1").translate(self._symbols))]
+        if match.isascii() and match[:1] == " " and match[1:].isalpha():
+            spelled = self._blank + match[1:]  # letters stand for themselves
+        else:
+            spelled = match.encode("utf-8").decode("latin-1").translate(self._symbols)
+        return [t.id for t in self._tokenize(spelled)]
 
     def _new_match(self, match: str) -> bytes:
-        return self.pack(self._ids(match))
+        return b"".join(map(self._packed.__getitem__, self._ids(match)))
 
 
 @functools.lru_cache(maxsize=2)
