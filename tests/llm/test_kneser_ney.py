@@ -3,9 +3,10 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from tickloom.llm.kneser_ney import ALPHABET, ModelSettings, keep_fluent, score_documents
+from tickloom.llm.kneser_ney import ALPHABET, ModelSettings, gram_keys, keep_fluent, runs, score_documents
 from tickloom.llm.queries import op1_kneser_ney
 
 SCHEMA = "doc_id long, text string, lang string, kept string, row_hash string, block string"
@@ -109,3 +110,24 @@ def test_query_keeps_labelled_good_documents(spark):
     kept = [r.kept for r in rows if r.quality == 1]
     assert sum(kept) > 0.97 * len(kept)
     assert sum(r.kept for r in rows if r.quality == 0) < 0.7 * sum(r.quality == 0 for r in rows)
+
+
+def test_long_texts_are_cut_without_a_trace():
+    texts = ["abc" * 50, "", "x", "é日" * 20, "qq\0"]
+    whole, lengths = gram_keys(texts, 4)
+    found, n = [], np.zeros(len(texts), int)
+    for which, keys, chars in runs(texts, 4, 7):
+        found.append(keys)
+        np.add.at(n, which, chars)
+    assert len(found) > 20 and (np.concatenate(found) == whole).all() and (n == lengths).all()
+
+
+def test_blocks_of_few_bytes_give_the_same_scores(spark):
+    docs, labels, _, _ = fixture(spark)
+    docs = docs.unionByName(spark.createDataFrame([(9500, "the cat ran off " * 40_000, "en", "", "", "")], SCHEMA))
+    scores = [
+        sorted(score_documents(docs, labels, ModelSettings(block_bytes=size)).collect(), key=repr) for size in (1, 32 << 20)
+    ]
+    assert len(scores[0]) == docs.count()
+    assert [(r.doc_id, r.n_chars, r.kept) for r in scores[0]] == [(r.doc_id, r.n_chars, r.kept) for r in scores[1]]
+    assert all(math.isclose(a.perplexity or 1, b.perplexity or 1, rel_tol=1e-9) for a, b in zip(*scores))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,3 +83,8 @@ def components(links: DataFrame) -> DataFrame:
             "edges",
         )
     return labels
+
+
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system of a path or URI that all executors reach, and the path within it."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)

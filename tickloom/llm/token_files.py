@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import file_system
 from tickloom.llm.text import batches_of, chunk_encoder
 from tickloom.settings import materialize
 
@@ -119,10 +120,6 @@ class SequenceReader:
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
-def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
 def _write_shard(
     batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int, length: int, batch: int
 ) -> Iterator[pa.RecordBatch]:
@@ -130,7 +127,7 @@ def _write_shard(
     context = TaskContext.get()
     encoder = chunk_encoder(tokenizer)
     end, width = encoder.pack([end_id]), encoder.dtype.itemsize
-    files, base = _file_system(folder)
+    files, base = file_system(folder)
     files.create_dir(base, recursive=True)
     name = f"{base}/shard-{context.partitionId():06d}"
     attempt = f"{base}/.attempt-{context.taskAttemptId()}"
@@ -189,7 +186,7 @@ def write_token_files(
 def _read_shards(batches: Iterator[pa.RecordBatch], buffer_tokens: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         for path, base in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-            files, name = _file_system(path)
+            files, name = file_system(path)
             local = isinstance(files, pafs.LocalFileSystem)
             opened = (lambda p: pa.memory_map(p)) if local else files.open_input_file
             with opened(f"{name}.ids.arrows") as data, opened(f"{name}.docs.arrows") as index:
