@@ -5,9 +5,11 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from tickloom.llm.line_dedup import dedup_lines
+from tickloom.llm.line_dedup import _candidates, _classes, _described, _lines, dedup_lines
 from tickloom.llm.queries import op6_line_dedup
+from tickloom.settings import materialize
 
 SCHEMA = "doc_id long, text string, n_lines string, place string, row_hash string"
 
@@ -85,3 +87,17 @@ def test_edge_cases(spark):
 def test_no_python_in_the_plan(spark):
     plan = op6_line_dedup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_lines_are_split_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("row", F.xxhash64("text"))
+    lines = _lines(docs, 5).filter(F.size("tokens") > 3)
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("zip_with(") == 1
+    classes = materialize(_classes(_described(lines, 80)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        made = _candidates(classes, 80)
+        made.collect()
+        assert "ReusedExchange" in made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +18,9 @@ BLANKS = "\t\x0b\f\r"
 
 
 def _words(line: Column) -> Column:
-    plain = F.translate(F.lower(line), BLANKS, " " * len(BLANKS))
-    return F.array_remove(F.split(plain, " "), "")
+    lower = F.lower(line)
+    spaced = F.when(reduce(or_, (F.contains(line, F.lit(c)) for c in BLANKS)), F.translate(lower, BLANKS, " " * len(BLANKS)))
+    return F.array_remove(F.split(spaced.otherwise(lower), " "), "")
 
 
 def _tokens(words: Column) -> Column:
@@ -29,48 +34,47 @@ def _row_hash(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col), F.col(id_col).isNull(), F.col(text_col).isNull())
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, row, line_no, tokens) of the lines with enough words."""
-    lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    worded = lines.select("doc_id", "row", "line_no", _words(F.col("line")).alias("words"))
-    return worded.filter(F.size("words") >= min_words).select("doc_id", "row", "line_no", _tokens(F.col("words")).alias("tokens"))
+def _sets(lines: Column, min_words: int, order: Callable[[Column], Column]) -> Column:
+    """Token set of each line of an array, null for one with too few words."""
+    return F.transform(F.transform(lines, _words), lambda words: F.when(F.size(words) >= min_words, order(_tokens(words))))
+
+
+def _lines(docs: DataFrame, min_words: int, order: Callable[[Column], Column] = lambda tokens: tokens) -> DataFrame:
+    """(doc_id, row, line_no, tokens) of the lines with enough words.
+
+    A generator makes the token sets, so that Spark evaluates them once and not again in filters.
+    """
+    sets = F.posexplode_outer(_sets(F.split("text", "\n"), min_words, order)).alias("line_no", "tokens")
+    return docs.select("doc_id", "row", sets).filter(F.col("tokens").isNotNull())
 
 
 def _cell(token: Column) -> Column:
-    return F.shiftrightunsigned(token, LOW_BITS).cast("int")
+    return F.shiftrightunsigned(token, LOW_BITS)
 
 
-def _by_rarity(lines: DataFrame) -> Column:
-    """Tokens renamed so that their order as numbers is that of rarity, and sorted.
+def _by_rarity(lines: DataFrame) -> Callable[[Column], Column]:
+    """Renames tokens so that their order as numbers is that of rarity, and sorts them.
 
     The upper 16 bits of a hash are its cell. Cells are ranked by how many tokens of all lines
     fall into them, and the rank replaces them: names stay unique, and the table of ranks has the
     same size for every input.
     """
-    counted = lines.select(F.explode("tokens").alias("token")).groupBy(_cell(F.col("token")).alias("cell")).count()
+    counted = lines.select(F.explode_outer("tokens").alias("token")).groupBy(_cell(F.col("token")).alias("cell")).count()
     counts = {r["cell"]: r["count"] for r in counted.collect()}
-    ranks = [0] * CELLS
+    changes = [0] * CELLS
     for rank, cell in enumerate(sorted(range(CELLS), key=lambda c: (counts.get(c, 0), c))):
-        ranks[cell] = rank - CELLS // 2
-    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<long>")
-    low = (1 << LOW_BITS) - 1
-    return F.sort_array(
-        F.transform("tokens", lambda t: F.shiftleft(F.get(table, _cell(t)), LOW_BITS).bitwiseOR(t.bitwiseAND(low)))
-    )
+        changes[cell] = ((rank - CELLS // 2) ^ cell) << LOW_BITS
+    changes = [(c + (1 << 63)) % (1 << 64) - (1 << 63) for c in changes]
+    table = F.split(F.lit(",".join(map(str, changes))), ",").cast("array<long>")
+    return lambda tokens: F.sort_array(F.transform(tokens, lambda t: t.bitwiseXOR(F.get(table, _cell(t)))))
 
 
 def _ceil_of(numerator: Column, denominator: int) -> Column:
     return F.floor((numerator + (denominator - 1)) / denominator).cast("int")
 
 
-def _keys() -> tuple[Column, Column]:
-    return F.xxhash64("tokens").alias("key"), F.xxhash64(F.lit(1), "tokens").alias("key2")
-
-
-def _classes(ordered: DataFrame, percent: int) -> DataFrame:
-    """Lines with equal token sets as one row: key, first place, number of lines, size, prefix,
-    parity bits.
-    """
+def _described(ordered: DataFrame, percent: int) -> DataFrame:
+    """Every line's place, key (two hashes of its token set), size, prefix and parity bits."""
     size = F.size("tokens")
     one = F.lit(1).cast("long")
     parity = F.aggregate(
@@ -78,27 +82,35 @@ def _classes(ordered: DataFrame, percent: int) -> DataFrame:
         F.lit(0).cast("long"),
         lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(63).cast("int"))),
     )
-    described = ordered.select(
+    return ordered.select(
         F.struct("doc_id", "row", "line_no").alias("place"),
-        *_keys(),
+        F.xxhash64("tokens").alias("key"),
+        F.xxhash64(F.lit(1), "tokens").alias("key2"),
         size.alias("n"),
         F.slice("tokens", 1, size - _ceil_of(size * percent, 100) + 1).alias("prefix"),
         parity.alias("parity"),
     )
-    return described.groupBy("key", "key2").agg(
+
+
+def _classes(described: DataFrame) -> DataFrame:
+    """Lines with equal token sets as one row: id, key, first place, number of lines, size, prefix,
+    parity bits.
+    """
+    grouped = described.groupBy("key", "key2").agg(
         F.min("place").alias("place"),
         F.count("*").alias("lines"),
         *(F.first(c).alias(c) for c in ("n", "prefix", "parity")),
     )
+    return grouped.withColumn("id", F.monotonically_increasing_id())
 
 
 def _candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that pass prefix, position, length and parity filters.
+    """Pairs of classes that pass prefix, position and length filters.
 
     A shorter line needs only the part of its prefix that lines as long as itself or longer can
     match. ``rest`` is how many tokens may still be shared from a place on.
     """
-    rows = classes.select("key", "key2", "n", "parity", F.posexplode("prefix").alias("at", "token"))
+    rows = classes.select("id", "n", F.posexplode("prefix").alias("at", "token"))
     short, long = (rows.select(*(F.col(c).alias(f"{c}_{side}") for c in rows.columns)) for side in "ab")
     total = F.col("n_a") + F.col("n_b")
     needed = _ceil_of(total * percent, 100 + percent)
@@ -106,41 +118,50 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     both = (
         (F.col("token_a") == F.col("token_b"))
-        & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("key_a") < F.col("key_b"))))
+        & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b"))))
         & (F.col("n_b") * percent <= F.col("n_a") * 100)
         # said of both sides at once, so that either side stays the same shuffle
         & (F.col("at_a") < indexed + F.least(F.col("at_b"), F.lit(0)))
         & (rest + F.least("at_a", "at_b") >= needed)
-        & (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= total - 2 * needed)
     )
-    return short.join(long, both).select("key_a", "key2_a", "key_b", "key2_b").distinct()
+    return short.join(long, both).select("id_a", "id_b").distinct()
 
 
-def _later_classes(docs: DataFrame, classes: DataFrame, percent: int, min_words: int) -> DataFrame:
-    """Keys of the classes that match one whose first line stands earlier."""
-    pairs = _candidates(classes, percent)
+def _possible(classes: DataFrame, percent: int) -> DataFrame:
+    """The candidates whose parity bits differ no more than two sets that match can."""
+    pairs = materialize(_candidates(classes, percent), "line-candidates")
     for side in "ab":
-        named = classes.select(F.col("key").alias(f"key_{side}"), F.col("key2").alias(f"key2_{side}"), F.col("place").alias(f"place_{side}"))
-        pairs = pairs.join(named, [f"key_{side}", f"key2_{side}"])
-    pairs = materialize(pairs, "line-pairs")
-    places = pairs.select(F.explode(F.array("place_a", "place_b")).alias("p"))
+        pairs = pairs.join(classes.select(*(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "parity", "place"))), f"id_{side}")
+    total = F.col("n_a") + F.col("n_b")
+    differing = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b")))
+    fits = pairs.filter(differing <= total - 2 * _ceil_of(total * percent, 100 + percent))
+    return materialize(fits.select("id_a", "id_b", "place_a", "place_b"), "line-pairs")
+
+
+def _class_sets(docs: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
+    """``id`` and ``tokens`` of the classes in the pairs, from the documents of their first lines."""
+    ends = pairs.select(F.explode(F.array(*(F.struct(F.col(f"id_{s}").alias("id"), F.col(f"place_{s}").alias("place")) for s in "ab"))).alias("end"))
+    asked = materialize(ends.select("end.id", "end.place").distinct(), "lines-asked")
     member = unused(docs, "is_member")
-    asked = with_membership(docs, "doc_id", id_bitmaps(places.select("p.doc_id"), "doc_id"), member)
-    asked = asked.filter(F.col(member) | F.col("doc_id").isNull())
-    wanted = places.select("p.row", "p.line_no").distinct()
-    sets = materialize(_lines(asked, min_words).join(wanted, ["row", "line_no"]).dropDuplicates(["row", "line_no"]), "line-sets")
+    held = with_membership(docs, "doc_id", id_bitmaps(asked.select("place.doc_id"), "doc_id"), member)
+    held = held.filter(F.col(member) | F.col("doc_id").isNull()).select("row", "text")
+    wanted = asked.groupBy("place.row").agg(F.collect_list(F.struct("id", "place.line_no")).alias("wanted"))
+    texts = held.join(wanted, "row").select("wanted", F.split("text", "\n").alias("lines"))
+    chosen = F.transform("wanted", lambda w: F.get("lines", w["line_no"]))
+    sets = F.arrays_zip(F.transform("wanted", lambda w: w["id"]).alias("id"), _sets(chosen, min_words, lambda tokens: tokens).alias("tokens"))
+    return materialize(texts.select(F.inline_outer(sets)).dropDuplicates(["id"]), "line-sets")
+
+
+def _later_classes(docs: DataFrame, classes: DataFrame, percent: int, min_words: int) -> DataFrame:
+    """Ids of the classes that match one whose first line stands earlier."""
+    pairs = _possible(classes, percent)
+    sets = _class_sets(docs, pairs, min_words)
     for side in "ab":
-        found = sets.select(F.col("row").alias("r"), F.col("line_no").alias("l"), F.col("tokens").alias(f"tokens_{side}"))
-        place = F.col(f"place_{side}")
-        pairs = pairs.join(found, (place["row"] == F.col("r")) & (place["line_no"] == F.col("l"))).drop("r", "l")
+        pairs = pairs.join(sets.select(F.col("id").alias(f"id_{side}"), F.col("tokens").alias(f"tokens_{side}")), f"id_{side}")
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    union = F.size("tokens_a") + F.size("tokens_b") - shared
-    a_first = F.col("place_a") < F.col("place_b")
-    return (
-        pairs.filter(100 * shared >= percent * union)
-        .select(F.when(a_first, F.col("key_b")).otherwise(F.col("key_a")).alias("key"), F.when(a_first, F.col("key2_b")).otherwise(F.col("key2_a")).alias("key2"))
-        .distinct()
-    )
+    later = F.when(F.col("place_a") < F.col("place_b"), F.col("id_b")).otherwise(F.col("id_a"))
+    compared = pairs.select(later.alias("id"), shared.alias("shared"), (F.size("tokens_a") + F.size("tokens_b")).alias("total"))
+    return compared.filter((100 + percent) * F.col("shared") >= percent * F.col("total")).select("id").distinct()
 
 
 def find_later_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame:
@@ -149,14 +170,14 @@ def find_later_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) ->
     ``docs`` has ``doc_id``, ``row`` (a hash of the whole row) and ``text``; the order of lines is
     that of id, row and number.
     """
-    lines = _lines(docs, min_words)
-    ordered = lines.select("doc_id", "row", "line_no", _by_rarity(lines).alias("tokens"))
-    classes = materialize(_classes(ordered, percent), "line-classes")
-    later = _later_classes(docs, classes, percent, min_words).withColumn("later", F.lit(True))
-    marked = classes.select("key", "key2", F.col("place").alias("kept"), "lines").join(later, ["key", "key2"], "left")
-    marked = marked.filter("later or lines > 1").drop("lines")
-    places = ordered.select(F.struct("doc_id", "row", "line_no").alias("place"), *_keys())
-    gone = places.join(marked, ["key", "key2"]).filter(F.coalesce("later", F.lit(False)) | (F.col("place") != F.col("kept")))
+    ordered = _lines(docs, min_words, _by_rarity(_lines(docs, min_words)))
+    described = materialize(_described(ordered, percent), "lines")
+    classes = materialize(_classes(described), "line-classes")
+    later = materialize(_later_classes(docs, classes, percent, min_words), "later-classes").withColumn("later", F.lit(True))
+    marked = classes.select("id", "key", "key2", F.col("place").alias("kept"), "lines").join(later, "id", "left")
+    marked = marked.filter("later or lines > 1").select("key", "key2", "kept", "later")
+    gone = described.select("place", "key", "key2").join(marked, ["key", "key2"])
+    gone = gone.filter(F.coalesce("later", F.lit(False)) | (F.col("place") != F.col("kept")))
     return gone.groupBy("place.row", "place.doc_id").agg(F.collect_set("place.line_no").alias("lines"))
 
 

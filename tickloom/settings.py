@@ -27,6 +27,8 @@ SLOT_SECONDS = 5
 MAX_SLICE_ROWS = 5_000_000
 CHUNK_ROWS = 100_000
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 @dataclass(frozen=True)
 class SessionHours:
@@ -84,9 +86,15 @@ def materialize(df, name: str = "stage"):
     """Cut lineage by writing ``df`` to the shared folder and reading it back.
 
     A written table keeps columnar pruning for later steps, which a
-    row-based ``checkpoint()`` does not.
+    row-based ``checkpoint()`` does not. The shuffle files of the write go
+    with it, instead of when the driver's memory is next cleaned up.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
