@@ -3,10 +3,11 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tickloom.operators import forest
-from tickloom.operators.boosting import Experiment, TreeParams, boost
+from tickloom.operators.boosting import Experiment, Fits, Layout, TreeParams, Trees, _cells, boost
 
 PARAMS = TreeParams(n_estimators=12, max_depth=3, min_gain=1e-6)
 EXPERIMENTS = [Experiment("both", ("x", "z"), "y"), Experiment("one", ("z",), "y"), Experiment("other", ("z", "x", "w"), "v")]
@@ -162,3 +163,21 @@ def test_measured_gains_of_a_forest(spark):
     # What tree 0 leaves over: 1, 3, -1, 4; no row goes right.
     assert got[1, 0] == ("z", 4, pytest.approx(0))
     assert forest.node_gains(rows.limit(0), nodes, "y").count() == 0
+
+
+def test_a_task_sends_one_row_a_node_whatever_the_bins():
+    random = np.random.default_rng(4)
+    bins, y = random.integers(0, 254, (5000, 2)).astype(np.uint8), random.normal(size=(5000, 1))
+    layout = Layout(((0, 1),), (0,), 2, 1, 2)
+    columns = {"gid": [0], "n": [5000], "part": [bytes(5000)], "bins": [bins.tobytes()], "targets": [y.tobytes()], "pred": [bytes(8 * 5000)]}
+    empty = Trees(np.full((1, 7), -1, np.int8), np.zeros((1, 7), np.uint8), np.zeros((1, 7)))
+    empty.feature[0, 0], empty.bin[0, 0] = 1, 100
+    fits = Fits(layout, np.array([2.0**-20]), np.array([True]), ())
+    sent = pa.Table.from_batches(_cells(iter([pa.RecordBatch.from_pydict(columns)]), fits, empty, 1))
+    assert sent.num_rows == 2
+    for node, packed in zip(sent["node"].to_pylist(), sent["cells"].to_pylist()):
+        cells = np.frombuffer(packed, np.int64).reshape(2, 2, 256)
+        inside = (bins[:, 1] > 100) == (node == 2)
+        for f in range(2):
+            assert (cells[f, 0] == np.bincount(bins[inside, f], minlength=256)).all()
+            assert (cells[f, 1] == np.bincount(bins[inside, f], np.rint(y[inside, 0] * 2.0**20), 256)).all()

@@ -32,8 +32,15 @@ _TRAIN, _TEST = 0, 1
 
 _BLOCK_DDL = "gid int, n int, part binary, features binary, targets binary"
 _STATE_DDL = "gid int, n int, part binary, bins binary, targets binary, pred binary"
-_CELL_DDL = "fit int, node int, feature int, bin int, n long, g long"
+_CELL_DDL = "fit int, node int, cells binary"
+_SPLIT_DDL = "fit int, node int, n long, g long, feature int, bin int, nl long, gl long, gain double"
 _PREDICTED_DDL = "gid int, number int, y double, p double"
+_SPLIT = pa.schema(
+    [
+        ("fit", pa.int32()), ("node", pa.int32()), ("n", pa.int64()), ("g", pa.int64()), ("feature", pa.int32()),
+        ("bin", pa.int32()), ("nl", pa.int64()), ("gl", pa.int64()), ("gain", pa.float64()),
+    ]
+)
 _NODE = pa.schema(
     [
         ("gid", pa.int32()), ("number", pa.int32()), ("tree", pa.int32()), ("node", pa.int32()),
@@ -87,15 +94,19 @@ class Trees:
     bin: np.ndarray
     value: np.ndarray
 
-    def leaves(self, fit: int, bins: np.ndarray, depth: int) -> np.ndarray:
-        """Place of the node that each row reaches within ``depth`` steps."""
-        node = np.zeros(len(bins), np.int64)
-        rows = np.arange(len(bins))
-        for _ in range(depth):
-            feature = self.feature[fit, node]
-            right = bins[rows, feature] > self.bin[fit, node]
-            node = np.where(feature >= 0, 2 * node + 1 + right, node)
-        return node
+    def leaves(self, fit: int, columns: np.ndarray, depth: int) -> np.ndarray:
+        """Place of the node that each row reaches within ``depth`` steps; ``columns`` are bins by feature.
+
+        Goes node by node over whole columns, which costs a few vector operations a node and no
+        gathering; children have higher places than their parent.
+        """
+        place = np.zeros(columns.shape[1], np.uint8 if self.feature.shape[1] <= 256 else np.int64)
+        for at in range((1 << depth) - 1):
+            feature = self.feature[fit, at]
+            if feature >= 0:
+                step = (columns[feature] > self.bin[fit, at]).astype(place.dtype) + place.dtype.type(at + 1)
+                place += (place == at) * step
+        return place
 
 
 @dataclass(frozen=True)
@@ -175,61 +186,62 @@ def _blocks(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[tuple
             yield gid, n, arrays[0][:, 0], *arrays[1:]
 
 
-def _fit_rows(layout: Layout, number: int, part: np.ndarray, wanted: int, bins: np.ndarray, targets: np.ndarray):
-    """Complete rows of one experiment in a block: their places, bins and targets."""
-    own, y = bins[:, layout.features[number]], targets[:, layout.targets[number]]
-    rows = np.flatnonzero((part == wanted) & (own != MISSING).all(axis=1) & ~np.isnan(y))
-    return rows, own[rows], y[rows]
+def _fit_rows(layout: Layout, number: int, part: np.ndarray, wanted: int, columns: np.ndarray, targets: np.ndarray):
+    """Complete rows of one experiment in a block: their places, bins by feature, and targets."""
+    own, y = columns[list(layout.features[number])], targets[:, layout.targets[number]]
+    rows = np.flatnonzero((part == wanted) & (own != MISSING).all(axis=0) & ~np.isnan(y))
+    return rows, own.take(rows, axis=1), y[rows]
 
 
-def _predicted(fits: Fits, fit: int, bins: np.ndarray, pred: np.ndarray) -> np.ndarray:
+def _predicted(fits: Fits, fit: int, columns: np.ndarray, pred: np.ndarray) -> np.ndarray:
     for tree in fits.trees:
-        pred = pred + tree.value[fit, tree.leaves(fit, bins, fits.layout.depth)]
+        pred = pred + tree.value[fit].take(tree.leaves(fit, columns, fits.layout.depth))
     return pred
 
 
 def _cells(batches: Iterator[pa.RecordBatch], fits: Fits, grown: Trees, level: int) -> Iterator[pa.RecordBatch]:
-    """Rows and residuals of a task by fit, node of the level, feature and bin.
+    """Rows and residuals of a task, one row per fit and node of the level.
 
+    ``cells`` holds two numbers, rows and residuals, for each of 256 bins of each feature.
     Residuals are whole multiples of the fit's unit, so their sums don't depend on the partitions.
     """
     layout, experiments = fits.layout, len(fits.layout.targets)
     first, width = (1 << level) - 1, 1 << level
 
-    def flushed(sums: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for fit, (n, g) in sums.items():
-            used = np.flatnonzero(n)
-            features = len(layout.features[fit % experiments])
-            columns = (
-                np.full(len(used), fit), first + used // (features * 256), used // 256 % features, used % 256
-            )
-            arrays = [pa.array(c.astype(np.int32)) for c in columns] + [pa.array(n[used]), pa.array(g[used])]
-            yield pa.RecordBatch.from_arrays(arrays, names=["fit", "node", "feature", "bin", "n", "g"])
+    def flushed(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for fit, cells in sums.items():
+            used = np.flatnonzero(cells[0, 0].reshape(width, 256).any(axis=1))
+            packed = [np.ascontiguousarray(cells.reshape(-1, 2, width, 256)[:, :, node]).tobytes() for node in used]
+            columns = [pa.array(np.full(len(used), fit, np.int32)), pa.array((first + used).astype(np.int32)), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["fit", "node", "cells"])
 
     current, sums = None, {}
     for gid, _, part, bins, targets, pred in _blocks(batches, layout):
         if gid != current:
             yield from flushed(sums)
             current, sums = gid, {}
+        columns = np.ascontiguousarray(bins.T)
         for number in range(experiments):
             fit = gid * experiments + number
             if not fits.active[fit]:
                 continue
-            rows, own, y = _fit_rows(layout, number, part, _TRAIN, bins, targets)
-            node = grown.leaves(fit, own, level)
-            open_ = np.flatnonzero(node >= first)
-            rows, own, y, node = rows[open_], own[open_], y[open_], node[open_] - first
+            rows, own, y = _fit_rows(layout, number, part, _TRAIN, columns, targets)
             residual = np.rint((y - _predicted(fits, fit, own, pred[rows, number])) / fits.unit[fit])
-            features = own.shape[1]
-            keys = ((node[:, None] * features + np.arange(features)) * 256 + own).ravel()
-            cells = width * features * 256
-            counted = np.bincount(keys, minlength=cells)
-            # Below 2^53 for a block, hence exact.
-            summed = np.bincount(keys, np.repeat(residual, features), cells).astype(np.int64)
+            node = grown.leaves(fit, own, level).astype(np.int64) - first
+            if (node < 0).any():
+                open_ = np.flatnonzero(node >= 0)
+                own, node, residual = own.take(open_, axis=1), node[open_], residual[open_]
+            keys = node << 8
+            cells = np.empty((len(own), 2, width << 8), np.int64)
+            for feature, column in enumerate(own):
+                at = keys + column
+                cells[feature, 0] = np.bincount(at, minlength=width << 8)
+                # Below 2^53 for a block, hence exact.
+                cells[feature, 1] = np.bincount(at, residual, width << 8)
             if fit in sums:
-                sums[fit] = (sums[fit][0] + counted, sums[fit][1] + summed)
+                sums[fit] += cells
             else:
-                sums[fit] = (counted, summed)
+                sums[fit] = cells
     yield from flushed(sums)
 
 
@@ -237,11 +249,11 @@ def _added(batches: Iterator[pa.RecordBatch], fits: Fits) -> Iterator[pa.RecordB
     """Blocks with the fits' trees added to ``pred``."""
     layout, experiments = fits.layout, len(fits.layout.targets)
     for gid, n, part, bins, targets, pred in _blocks(batches, layout):
-        pred = pred.copy()
+        pred, by_feature = pred.copy(), np.ascontiguousarray(bins.T)
         for number in range(experiments):
             fit = gid * experiments + number
             if fits.active[fit]:
-                own = bins[:, layout.features[number]]
+                own = by_feature[list(layout.features[number])]
                 pred[:, number] = _predicted(fits, fit, own, pred[:, number])
         columns = ([gid], [n], [part.tobytes()], [bins.tobytes()], [targets.tobytes()], [pred.tobytes()])
         types = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
@@ -252,40 +264,60 @@ def _added(batches: Iterator[pa.RecordBatch], fits: Fits) -> Iterator[pa.RecordB
 def _test_rows(batches: Iterator[pa.RecordBatch], fits: Fits) -> Iterator[pa.RecordBatch]:
     layout, experiments = fits.layout, len(fits.layout.targets)
     for gid, _, part, bins, targets, pred in _blocks(batches, layout):
+        columns = np.ascontiguousarray(bins.T)
         for number in range(experiments):
             fit = gid * experiments + number
             if fits.active[fit]:
-                rows, own, y = _fit_rows(layout, number, part, _TEST, bins, targets)
+                rows, own, y = _fit_rows(layout, number, part, _TEST, columns, targets)
                 p = _predicted(fits, fit, own, pred[rows, number])
                 arrays = [pa.array(np.full(len(rows), k, np.int32)) for k in (gid, number)]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(y), pa.array(p)], names=["gid", "number", "y", "p"])
 
 
-# A node of n rows with residuals g is worth g * g / (n + l2) before it is split.
-_SPLITS = """
-WITH merged AS (
-  SELECT fit, node, feature, bin, sum(n) AS n, sum(g) AS g FROM {cells} GROUP BY fit, node, feature, bin
-), sides AS (
-  SELECT fit, node, feature, bin, sum(n) OVER below AS nl, sum(g) OVER below AS gl, sum(n) OVER whole AS n, sum(g) OVER whole AS g
-  FROM merged
-  WINDOW whole AS (PARTITION BY fit, node, feature),
-    below AS (PARTITION BY fit, node, feature ORDER BY bin ROWS UNBOUNDED PRECEDING)
-), gains AS (
-  SELECT *, if(nl < n, double(gl) * gl / (nl + {l2}) + double(g - gl) * (g - gl) / (n - nl + {l2}) - double(g) * g / (n + {l2}), NULL) AS gain
-  FROM sides
-)
-SELECT fit, node, max(n) AS n, max(g) AS g,
-  max_by(struct(feature, bin, nl, gl, gain), if(gain IS NULL, NULL, struct(gain, -feature, -bin))) AS best
-FROM gains GROUP BY fit, node
-"""
+def _node_splits(batches: Iterator[pa.RecordBatch], l2: float) -> Iterator[pa.RecordBatch]:
+    """The best split of every node from its cells, which come sorted by fit and node.
+
+    A node of n rows with residuals g is worth g * g / (n + l2) before it is split. Equal gains go
+    to the earlier feature and the lower bin; ``feature`` is null where there is no split.
+    """
+
+    def best(key: tuple[int, int], cells: np.ndarray) -> tuple:
+        counted, summed = cells.reshape(-1, 2, 256).transpose(1, 0, 2)
+        nl, gl = counted.cumsum(axis=1), summed.cumsum(axis=1)
+        n, g = int(nl[0, -1]), int(gl[0, -1])
+        left, right, whole = gl.astype(np.float64), (g - gl).astype(np.float64), float(g)
+        with np.errstate(divide="ignore", invalid="ignore"):  # of places that are no splits
+            gain = left * left / (nl + l2) + right * right / (n - nl + l2) - whole * whole / (n + l2)
+        gain = np.where((counted > 0) & (nl < n), gain, -np.inf)
+        feature, bin_ = divmod(int(gain.argmax()), 256)
+        if gain[feature, bin_] == -np.inf:
+            return (*key, n, g, *[None] * 5)
+        return (*key, n, g, feature, bin_, int(nl[feature, bin_]), int(gl[feature, bin_]), float(gain[feature, bin_]))
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), _SPLIT)], schema=_SPLIT)
+
+    key, cells = None, None
+    for batch in batches:
+        found = []
+        for fit, node, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            more = np.frombuffer(packed.as_buffer(), np.int64)
+            if (fit, node) == key:
+                cells = cells + more
+                continue
+            if key is not None:
+                found.append(best(key, cells))
+            key, cells = (fit, node), more.copy()
+        if found:
+            yield rows(found)
+    if key is not None:
+        yield rows([best(key, cells)])
 
 
 def _best_splits(cells: DataFrame, l2: float) -> DataFrame:
-    """Per (fit, node): rows ``n``, residuals ``g`` and the ``best`` split, that of most gain.
-
-    Equal gains go to the earlier feature and the lower bin. Rows move once, by (fit, node, feature).
-    """
-    return cells.sparkSession.sql(_SPLITS, cells=cells.repartition("fit", "node", "feature"), l2=float(l2))
+    """Per (fit, node): rows ``n``, residuals ``g`` and the split of most gain. Rows move once."""
+    keys = ("fit", "node")
+    return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(partial(_node_splits, l2=float(l2)), _SPLIT_DDL)
 
 
 def _grow(state: DataFrame, fits: Fits, params: TreeParams) -> tuple[Trees, np.ndarray, np.ndarray]:
@@ -299,13 +331,13 @@ def _grow(state: DataFrame, fits: Fits, params: TreeParams) -> tuple[Trees, np.n
         for row in _best_splits(cells, params.l2).collect():
             at = (row.fit, row.node)
             n[at], g[at] = row.n, row.g
-            worth = row.best.gain * fits.unit[row.fit] ** 2 if row.best else 0.0
+            worth = row.gain * fits.unit[row.fit] ** 2 if row.gain is not None else 0.0
             if worth > params.min_gain:
                 split = True
-                tree.feature[at], tree.bin[at], gain[at] = row.best.feature, row.best.bin, worth
+                tree.feature[at], tree.bin[at], gain[at] = row.feature, row.bin, worth
                 left, right = (row.fit, 2 * row.node + 1), (row.fit, 2 * row.node + 2)
-                n[left], g[left] = row.best.nl, row.best.gl
-                n[right], g[right] = row.n - row.best.nl, row.g - row.best.gl
+                n[left], g[left] = row.nl, row.gl
+                n[right], g[right] = row.n - row.nl, row.g - row.gl
         if not split:
             break
     leaf = (tree.feature < 0) & (n > 0)
