@@ -4,9 +4,12 @@ import itertools
 import random
 import re
 from collections import defaultdict
+from functools import partial
 
 import pytest
+from pyspark.sql import functions as F
 
+from tickloom.llm import ngram_join
 from tickloom.llm.ngram_join import JoinSettings, join_documents, keep_first_of_groups
 from tickloom.llm.queries import op4_ngram_join
 
@@ -87,3 +90,15 @@ def test_edge_cases(spark):
     assert sorted((r.doc_id for r in left.collect()), key=repr) == sorted((i for i, _, c in want if i == c or i is None), key=repr)
     assert join_documents(df.limit(0)).count() == 0
     assert join_documents(df.filter("doc_id in (1, 2)")).count() == 2
+
+
+def test_sizes_are_compared_before_sets_move(spark):
+    short, long = " ".join(f"w{i}" for i in range(20)), " ".join(f"w{i}" for i in range(200))
+    rows = [(1, short), (2, long), (3, long + " x")]
+    docs, settings = spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.JoinSettings()
+    counts = ngram_join.cell_counts(docs, 3, "text")
+    sketch = docs.mapInArrow(partial(ngram_join._sketch, counts=counts * 0, settings=settings), ngram_join._SKETCH_DDL)
+    whole = sketch.withColumn("first", F.array(F.lit(7).cast("long")))
+    join = ngram_join._Join(docs, whole, settings)
+    assert join.star_pairs().count() == 0
+    assert {(r.a, r.b) for r in join.cross_pairs(spark.createDataFrame([], "id long, component long")).collect()} == {(2, 3)}

@@ -144,8 +144,9 @@ class _Join:
         chosen = sketch.join(self.classes, "key").filter("doc_id = rep")
         self._sketch = sketch
         self.rows = chosen.select("rep", "n", F.posexplode("first").alias("at", "token"))
-        shared = self.rows.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last")
-        self.meeting = materialize(self.rows.join(shared.select("token", "hub"), "token"), "meeting")
+        hub = (F.min("rep").alias("hub"), F.min_by("n", "rep").alias("hub_n"), F.max("rep").alias("last"))
+        shared = self.rows.groupBy("token").agg(*hub).filter("hub < last").drop("last")
+        self.meeting = materialize(self.rows.join(shared, "token"), "meeting")
 
     def _filtered(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that share prefix tokens under the other orders too, and fit in size."""
@@ -170,8 +171,9 @@ class _Join:
         return materialize(joined.mapInArrow(partial(_verify, percent=self._settings.percent), "a long, b long"), "links")
 
     def star_pairs(self) -> DataFrame:
-        """Every document with the smallest id under each of its tokens."""
-        return self.meeting.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+        """Every document with the smallest id under each of its tokens, if the two fit in size."""
+        fit = self.meeting.filter("rep != hub").filter(self._settings.sizes_fit(F.col("n"), F.col("hub_n")))
+        return fit.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
 
     def cross_pairs(self, labels: DataFrame) -> DataFrame:
         """All pairs under a token whose ends are not known to be connected yet.
