@@ -152,16 +152,30 @@ def _class_sets(docs: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
     return materialize(texts.select(F.inline_outer(sets)).dropDuplicates(["id"]), "line-sets")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``later`` of the pairs (earlier, later) whose whole sets match."""
+    for side in ("earlier", "later"):
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("tokens").alias(f"{side}_tokens")), side)
+    shared = F.size(F.array_intersect("earlier_tokens", "later_tokens"))
+    compared = pairs.select("later", shared.alias("shared"), (F.size("earlier_tokens") + F.size("later_tokens")).alias("total"))
+    return compared.filter((100 + percent) * F.col("shared") >= percent * F.col("total")).select("later").distinct()
+
+
 def _later_classes(docs: DataFrame, classes: DataFrame, percent: int, min_words: int) -> DataFrame:
-    """Ids of the classes that match one whose first line stands earlier."""
+    """Ids of the classes that match one whose first line stands earlier.
+
+    One match is enough. So every class is compared with one candidate first, and only those
+    that it doesn't match go on to all others; sets move once a class and not once a pair.
+    """
     pairs = _possible(classes, percent)
     sets = _class_sets(docs, pairs, min_words)
-    for side in "ab":
-        pairs = pairs.join(sets.select(F.col("id").alias(f"id_{side}"), F.col("tokens").alias(f"tokens_{side}")), f"id_{side}")
-    shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    later = F.when(F.col("place_a") < F.col("place_b"), F.col("id_b")).otherwise(F.col("id_a"))
-    compared = pairs.select(later.alias("id"), shared.alias("shared"), (F.size("tokens_a") + F.size("tokens_b")).alias("total"))
-    return compared.filter((100 + percent) * F.col("shared") >= percent * F.col("total")).select("id").distinct()
+    a_first = F.col("place_a") < F.col("place_b")
+    earlier, later = (F.when(a_first, F.col(x)).otherwise(F.col(y)) for x, y in (("id_a", "id_b"), ("id_b", "id_a")))
+    directed = pairs.select(earlier.alias("earlier"), later.alias("later"))
+    tried = materialize(directed.groupBy("later").agg(F.min("earlier").alias("earlier")), "line-firsts")
+    known = materialize(_verified(tried, sets, percent), "line-firsts-known")
+    rest = directed.join(known, "later", "left_anti").join(tried, ["later", "earlier"], "left_anti")
+    return known.unionByName(_verified(materialize(rest, "line-rest"), sets, percent)).select(F.col("later").alias("id"))
 
 
 def find_later_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame:
