@@ -101,3 +101,22 @@ def test_lines_are_split_once(spark):
         assert "ReusedExchange" in made._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_candidates_share_several_tokens(spark):
+    base = [f"w{i}" for i in range(40)]
+    near = base[:10] + ["other"] + base[11:]
+    far = [f"x{i}" for i in range(20)] + base[:2] + [f"y{i}" for i in range(18)]
+    docs = spark.createDataFrame([(i, i, " ".join(words)) for i, words in enumerate((base, near, far))], "doc_id long, row long, text string")
+    head = F.xxhash64(F.lit("w0"), F.lit("w1"))
+    order = lambda tokens: F.concat(F.filter(tokens, lambda t: t == head), F.filter(tokens, lambda t: t != head))
+    classes = materialize(_classes(_described(_lines(docs, 5, order), 80)))
+    ids = {r.place.doc_id: r.id for r in classes.collect()}
+    assert {frozenset(r) for r in _candidates(classes, 80).collect()} == {frozenset((ids[0], ids[1]))}
+
+
+def test_changed_texts_are_split_once(spark):
+    line = "one two three four five six"
+    docs = spark.createDataFrame([(1, f"{line}\na"), (2, f"{line}\nb")], "doc_id long, text string")
+    plan = dedup_lines(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # of documents that lose lines, and of all others

@@ -14,6 +14,8 @@ from tickloom.settings import materialize
 
 CELLS = 1 << 16
 LOW_BITS = 48
+# Tokens that two sets must share within their prefixes.
+SHARED = 3
 BLANKS = "\t\x0b\f\r"
 
 
@@ -66,7 +68,9 @@ def _by_rarity(lines: DataFrame) -> Callable[[Column], Column]:
         changes[cell] = ((rank - CELLS // 2) ^ cell) << LOW_BITS
     changes = [(c + (1 << 63)) % (1 << 64) - (1 << 63) for c in changes]
     table = F.split(F.lit(",".join(map(str, changes))), ",").cast("array<long>")
-    return lambda tokens: F.sort_array(F.transform(tokens, lambda t: t.bitwiseXOR(F.get(table, _cell(t)))))
+    # never null, so that the arrays are sorted as plain numbers
+    change = lambda t: F.coalesce(F.get(table, _cell(t)), F.lit(0).cast("long"))
+    return lambda tokens: F.sort_array(F.transform(tokens, lambda t: t.bitwiseXOR(change(t))))
 
 
 def _ceil_of(numerator: Column, denominator: int) -> Column:
@@ -87,7 +91,7 @@ def _described(ordered: DataFrame, percent: int) -> DataFrame:
         F.xxhash64("tokens").alias("key"),
         F.xxhash64(F.lit(1), "tokens").alias("key2"),
         size.alias("n"),
-        F.slice("tokens", 1, size - _ceil_of(size * percent, 100) + 1).alias("prefix"),
+        F.slice("tokens", 1, size - _ceil_of(size * percent, 100) + SHARED).alias("prefix"),
         parity.alias("parity"),
     )
 
@@ -107,14 +111,16 @@ def _classes(described: DataFrame) -> DataFrame:
 def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes that pass prefix, position and length filters.
 
-    A shorter line needs only the part of its prefix that lines as long as itself or longer can
+    Two sets that must share ``needed`` tokens share the first ``SHARED`` of them, or all if these
+    are fewer, within prefixes longer by as many, less one, than for a single shared token. A
+    shorter line needs only the part of its prefix that lines as long as itself or longer can
     match. ``rest`` is how many tokens may still be shared from a place on.
     """
     rows = classes.select("id", "n", F.posexplode("prefix").alias("at", "token"))
     short, long = (rows.select(*(F.col(c).alias(f"{c}_{side}") for c in rows.columns)) for side in "ab")
     total = F.col("n_a") + F.col("n_b")
     needed = _ceil_of(total * percent, 100 + percent)
-    indexed = F.col("n_a") - _ceil_of(F.col("n_a") * 2 * percent, 100 + percent) + 1
+    indexed = F.col("n_a") - _ceil_of(F.col("n_a") * 2 * percent, 100 + percent) + SHARED
     rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     both = (
         (F.col("token_a") == F.col("token_b"))
@@ -124,7 +130,9 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
         & (F.col("at_a") < indexed + F.least(F.col("at_b"), F.lit(0)))
         & (rest + F.least("at_a", "at_b") >= needed)
     )
-    return short.join(long, both).select("id_a", "id_b").distinct()
+    weight = F.when(needed >= SHARED, 1).otherwise(SHARED)
+    met = short.join(long, both).groupBy("id_a", "id_b").agg(F.sum(weight).alias("shared"))
+    return met.filter(F.col("shared") >= SHARED).select("id_a", "id_b")
 
 
 def _possible(classes: DataFrame, percent: int) -> DataFrame:
@@ -222,7 +230,10 @@ def dedup_lines(
     lost = gone.select(F.col("row").alias(row), F.col("lines").alias(drop))
     changed = flagged.filter(moved).join(lost, row, "left")
     same = flagged.filter(~moved).withColumn(drop, F.lit(None).cast("array<int>"))
-    lines = F.split(F.col(text_col), "\n")
+    # a column, so that a text is split once and not again for each of its lines
+    split = unused(changed, "split_lines")
+    changed, same = (x.withColumn(split, F.split(text_col, "\n")) for x in (changed, same))
+    lines = F.col(split)
     count = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
     left = F.array_except(F.sequence(F.lit(0), count - 1), drop)
     text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
