@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 from functools import partial
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,28 @@ def test_sizes_are_compared_before_sets_move(spark):
     join = ngram_join._Join(docs, whole, settings)
     assert join.star_pairs().count() == 0
     assert {(r.a, r.b) for r in join.cross_pairs(spark.createDataFrame([], "id long, component long")).collect()} == {(2, 3)}
+
+
+def test_parity_bits_never_differ_more_than_sets():
+    random_ = np.random.default_rng(5)
+    pool = random_.integers(0, 1 << 63, 3000).astype(np.uint64)
+    for size_a, size_b in [(0, 0), (0, 3), (1, 1), (1, 40), (30, 33), (60, 70), (500, 520), (511, 513), (3000, 100)]:
+        a, b = (np.unique(random_.choice(pool, n, replace=False)) for n in (size_a, size_b))
+        differing = ngram_join.differing_bits(ngram_join.parity_bits(a), ngram_join.parity_bits(b))
+        assert differing <= len(np.setxor1d(a, b))
+        assert ngram_join.differing_bits(ngram_join.parity_bits(a), ngram_join.parity_bits(a)) == 0
+    apart = ngram_join.differing_bits(ngram_join.parity_bits(pool[:1000]), ngram_join.parity_bits(pool[150:1150]))
+    assert 200 <= apart <= 300
+
+
+def test_sets_of_pairs_that_cannot_link_do_not_move(spark):
+    words = [f"w{i}" for i in range(400)]
+    half = [w if i % 160 < 110 else f"x{i}" for i, w in enumerate(words)]
+    near = words[:200] + ["new"] + words[201:]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate((words, half, near))], "doc_id long, text string")
+    settings = JoinSettings()
+    counts = ngram_join.cell_counts(docs, 3, "text")
+    sketch = docs.mapInArrow(partial(ngram_join._sketch, counts=counts * 0, settings=settings), ngram_join._SKETCH_DDL)
+    met = spark.createDataFrame([(0, 1), (0, 2)], "a long, b long")
+    whole = sketch.withColumn("others", F.array(*[F.array(F.lit(7))] * settings.filters))
+    assert {tuple(r) for r in ngram_join._Join(docs, whole, settings)._filtered(met).collect()} == {(0, 2)}

@@ -90,10 +90,32 @@ def prefixes(tokens: np.ndarray, counts: np.ndarray, settings: JoinSettings) ->
     return [tokens[order[:size]] for order in orders]
 
 
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """One bit per bucket of tokens, two to four buckets a token: whether it holds an odd number."""
+    size = max(64, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    counts = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits(counts.astype(np.uint8) & 1).tobytes()
+
+
+def differing_bits(x: bytes, y: bytes) -> int:
+    """Buckets whose parity differs, at most as many as tokens that only one of the sets has.
+
+    The halves of a larger bitmap, combined, are the bitmap of half as many buckets.
+    """
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 _SKETCH = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int32()), ("key", pa.binary()), ("first", pa.list_(pa.int64())), ("others", pa.list_(pa.list_(pa.int32())))]
+    [
+        ("doc_id", pa.int64()), ("n", pa.int32()), ("key", pa.binary()), ("first", pa.list_(pa.int64())), ("others", pa.list_(pa.list_(pa.int32()))),
+        ("parity", pa.binary()),
+    ]
 )
-_SKETCH_DDL = "doc_id long, n int, key binary, first array<long>, others array<array<int>>"
+_SKETCH_DDL = "doc_id long, n int, key binary, first array<long>, others array<array<int>>, parity binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], counts: np.ndarray, settings: JoinSettings) -> Iterator[pa.RecordBatch]:
@@ -101,7 +123,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], counts: np.ndarray, settings: Joi
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            sizes, keys, first, others = [], [], [], []
+            sizes, keys, first, others, parity = [], [], [], [], []
             for text in part.column(1).to_pylist():
                 tokens = sets.of(text)
                 heads = prefixes(tokens, counts, settings) if len(tokens) else [tokens] * (settings.filters + 1)
@@ -109,7 +131,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], counts: np.ndarray, settings: Joi
                 keys.append(xxhash.xxh3_128_digest(tokens.tobytes()))
                 first.append(heads[0].view(np.int64))
                 others.append([h.astype(np.uint32).view(np.int32) for h in heads[1:]])
-            arrays = [part.column(0)] + [pa.array(c, f.type) for c, f in zip((sizes, keys, first, others), list(_SKETCH)[1:])]
+                parity.append(parity_bits(tokens))
+            arrays = [part.column(0)] + [pa.array(c, f.type) for c, f in zip((sizes, keys, first, others, parity), list(_SKETCH)[1:])]
             yield pa.RecordBatch.from_arrays(arrays, schema=_SKETCH)
 
 
@@ -122,6 +145,17 @@ def _set_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["id", "tokens"])
 
 
+def _parity_fits(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose bits differ no more than the sets may."""
+    for batch in batches:
+        fits = []
+        for n_a, n_b, x, y in zip(*(c.to_pylist() for c in batch.columns[2:])):
+            shared = -(-percent * (n_a + n_b) // (100 + percent))
+            fits.append(differing_bits(x, y) <= n_a + n_b - 2 * shared)
+        chosen = batch.filter(pa.array(fits, pa.bool_()))
+        yield pa.RecordBatch.from_arrays(chosen.columns[:2], names=["a", "b"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         linked = []
@@ -149,14 +183,18 @@ class _Join:
         self.meeting = materialize(self.rows.join(shared, "token"), "meeting")
 
     def _filtered(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that share prefix tokens under the other orders too, and fit in size."""
+        """Pairs (a, b) that share prefix tokens under the other orders too, and fit in size and parity bits.
+
+        The bits of a large set take a 16th of its room or less, and leave few pairs whose sets must move.
+        """
         tables = [
-            self._sketch.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("others").alias(f"others_{c}")) for c in "ab"
+            self._sketch.select(F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "others", "parity"))) for c in "ab"
         ]
         joined = pairs.join(tables[0], "a").join(tables[1], "b").filter(self._settings.sizes_fit(F.col("n_a"), F.col("n_b")))
         for k in range(self._settings.filters):
             joined = joined.filter(F.arrays_overlap(F.col("others_a")[k], F.col("others_b")[k]))
-        return joined.select("a", "b").distinct()
+        rows = joined.select("a", "b", "n_a", "n_b", "parity_a", "parity_b")
+        return rows.mapInArrow(partial(_parity_fits, percent=self._settings.percent), "a long, b long").distinct()
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link, from the whole sets of those that pass the filters."""
@@ -203,8 +241,8 @@ def join_documents(
 
     Tokens are runs of words ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case; a shorter text is one
     token. Equal sets are one class. Under the first order, classes meet in their prefix tokens;
-    they are candidates if they share prefix tokens under all other orders as well, and their
-    whole sets decide. A first round compares each class only with the smallest id under each
+    they are candidates if they share prefix tokens under all other orders as well and the parity
+    bits of their sets differ no more than linked ones can, and their whole sets decide. A first round compares each class only with the smallest id under each
     token, which connects groups of near copies without all their pairs. The second round takes
     every pair under a token that the first has not connected; no link is lost between them.
 
