@@ -3,13 +3,14 @@
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tickloom.llm.line_dedup import _candidates, _classes, _described, _lines, dedup_lines
 from tickloom.llm.queries import op6_line_dedup
-from tickloom.settings import materialize
+from tickloom.settings import materialize, scratch_path
 
 SCHEMA = "doc_id long, text string, n_lines string, place string, row_hash string"
 
@@ -120,3 +121,13 @@ def test_changed_texts_are_split_once(spark):
     docs = spark.createDataFrame([(1, f"{line}\na"), (2, f"{line}\nb")], "doc_id long, text string")
     plan = dedup_lines(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 2  # of documents that lose lines, and of all others
+
+
+def test_tables_of_the_search_go_with_it(spark):
+    shared = Path(scratch_path(spark, "probe").removeprefix("file:")).parent
+    before = set(shared.iterdir()) if shared.exists() else set()
+    line = "one two three four five six"
+    docs = spark.createDataFrame([(1, f"{line}\na"), (2, f"{line}\nb")], "doc_id long, text string")
+    got = dedup_lines(docs)
+    assert sorted({p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before}) == ["bitmaps", "gone-lines"]
+    assert sorted(r.text for r in got.collect()) == ["b", f"{line}\na"]

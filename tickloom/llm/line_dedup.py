@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import id_bitmaps, unused, with_membership
-from tickloom.settings import materialize
+from tickloom.settings import materialize, materialize_last
 
 CELLS = 1 << 16
 LOW_BITS = 48
@@ -223,7 +223,7 @@ def dedup_lines(
     row = unused(docs, "row_hash")
     hashed = docs.withColumn(row, _row_hash(id_col, text_col))
     texts = hashed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(row).alias("row"), F.col(text_col).alias("text"))
-    gone = materialize(find_later_lines(texts, percent, min_words), "gone-lines")
+    gone = materialize_last(docs.sparkSession, lambda: find_later_lines(texts, percent, min_words), "gone-lines")
     member, drop = unused(hashed, "is_member"), unused(hashed, "drop_lines")
     flagged = with_membership(hashed, id_col, id_bitmaps(gone, "doc_id"), member)
     moved = F.col(member) | F.col(id_col).isNull()

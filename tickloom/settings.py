@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 NS_PER_SECOND = 1_000_000_000
 
@@ -29,6 +31,9 @@ CHUNK_ROWS = 100_000
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+# Folders of the tables written so far within ``materialize_last``.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 
 @dataclass(frozen=True)
 class SessionHours:
@@ -91,6 +96,8 @@ def materialize(df, name: str = "stage"):
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if (written := _written.get()) is not None:
+        written.append(path)
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
@@ -98,3 +105,24 @@ def materialize(df, name: str = "stage"):
     finally:
         spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_last(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``materialize(make())``, without the tables that were materialised for it.
+
+    Only for a ``make`` whose tables nothing else reads. Folders go by way of Spark's own file
+    systems, so that any shared folder will do.
+    """
+    outer, written = _written.get(), []
+    token = _written.set(written)
+    try:
+        made = materialize(make(), name)
+    finally:
+        _written.reset(token)
+    *used, last = written
+    for path in used:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if outer is not None:
+        outer.append(last)
+    return made
