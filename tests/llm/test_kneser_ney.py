@@ -1,12 +1,13 @@
 """Kneser-Ney perplexities against a plain Python model."""
 
 import math
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from tickloom.llm.kneser_ney import ALPHABET, ModelSettings, gram_keys, keep_fluent, runs, score_documents
+from tickloom.llm.kneser_ney import ALPHABET, ModelSettings, _probabilities, gram_keys, keep_fluent, runs, score_documents
 from tickloom.llm.queries import op1_kneser_ney
 
 SCHEMA = "doc_id long, text string, lang string, kept string, row_hash string, block string"
@@ -131,3 +132,16 @@ def test_blocks_of_few_bytes_give_the_same_scores(spark):
     assert len(scores[0]) == docs.count()
     assert [(r.doc_id, r.n_chars, r.kept) for r in scores[0]] == [(r.doc_id, r.n_chars, r.kept) for r in scores[1]]
     assert all(math.isclose(a.perplexity or 1, b.perplexity or 1, rel_tol=1e-9) for a, b in zip(*scores))
+
+
+def test_no_plan_holds_all_orders(spark):
+    plain = Plain(["abcabd", "abe"], 4)
+    counts = {g: n for g, n in plain.levels[4].items()} | {"\0abx": 0}
+    key = lambda gram: int("".join(f"{0 if c == chr(0) else ord(c) + 1:03x}" for c in gram), 16)
+    rows = spark.createDataFrame([("en", key(g), n) for g, n in counts.items()], "lang string, gram long, n long")
+    known = _probabilities(rows, 4)
+    got = {r.gram: r.p for r in known.collect()}
+    assert got == pytest.approx({key(g): plain.p(g) for g in counts})
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Aggregate") <= 4
+    assert not re.search(r"hashpartitioning\(lang#\d+, \d+\)", plan)

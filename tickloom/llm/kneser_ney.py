@@ -204,34 +204,44 @@ def _discounted(counts: DataFrame) -> DataFrame:
         discount(1, n1, n2).alias("d1"), discount(2, n2, n3).alias("d2"), discount(3, n3, n4).alias("d3")
     )
     cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    return counts.join(rates, "lang").withColumn("cut", cut)
+    # stored, so that Spark knows how small the table is and doesn't deal the counts out by language
+    return counts.join(materialize(rates, "rates"), "lang").withColumn("cut", cut)
 
 
-def _probabilities(counts: DataFrame, wanted: DataFrame, order: int) -> DataFrame:
-    """``p`` of every wanted (lang, gram) of this order, interpolated down to equal symbols.
+def _mixed(counts: DataFrame, lower: DataFrame | None, order: int) -> DataFrame:
+    """``p`` of every (lang, gram) of ``counts`` from that of its suffix in ``lower``, or from equal symbols."""
+    rows = _discounted(counts).withColumn("context", F.shiftright("gram", BITS))
+    contexts = rows.filter("n > 0").groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
+    if lower is None:
+        rows = rows.withColumn("p", F.lit(1.0 / ALPHABET))
+    else:
+        rows = rows.withColumn("suffix", _suffix(order)).join(lower.withColumnRenamed("gram", "suffix"), ["lang", "suffix"])
+    rows = rows.join(contexts, ["lang", "context"], "left")
+    own = F.when(F.col("n") > 0, F.col("n") - F.col("cut")).otherwise(0.0)
+    mixed = (own + F.col("freed") * F.col("p")) / F.col("total")
+    return rows.select("lang", "gram", F.coalesce(mixed, F.col("p")).alias("p"))
+
+
+def _suffix(order: int) -> Column:
+    return F.col("gram").bitwiseAND((1 << (BITS * (order - 1))) - 1)
+
+
+def _probabilities(counts: DataFrame, order: int) -> DataFrame:
+    """``p`` of every (lang, gram) of this order, interpolated down to equal symbols.
 
     ``counts`` are n-gram counts at the highest order and numbers of distinct left neighbours
-    below. All tables are sharded by (lang, n-gram) and meet in joins.
+    below, 0 for what is only asked for. All tables are sharded by (lang, n-gram) and meet in
+    joins. Each order is stored before the next one, so that no plan holds them all.
     """
-    context = F.shiftright("gram", BITS)
-    suffix = F.col("gram").bitwiseAND((1 << (BITS * (order - 1))) - 1)
-    seen = _discounted(counts)
-    contexts = seen.groupBy("lang", context.alias("context")).agg(
-        F.sum("n").alias("total"), F.sum("cut").alias("freed")
-    )
-    terms = seen.select("lang", "gram", (F.col("n") - F.col("cut")).alias("own"))
-    if order == 1:
-        lower = wanted.withColumn("p", F.lit(1.0 / ALPHABET)).withColumn("suffix", F.lit(0).cast("long"))
-        rows = lower
-    else:
-        below = counts.groupBy("lang", suffix.alias("gram")).agg(F.count("*").alias("n"))
-        asked = wanted.select("lang", suffix.alias("gram")).distinct()
-        lower = _probabilities(below, asked, order - 1).withColumnRenamed("gram", "suffix")
-        rows = wanted.withColumn("suffix", suffix).join(lower, ["lang", "suffix"])
-    rows = rows.withColumn("context", context).join(contexts, ["lang", "context"], "left")
-    rows = rows.join(terms, ["lang", "gram"], "left")
-    mixed = (F.coalesce("own", F.lit(0.0)) + F.col("freed") * F.col("p")) / F.col("total")
-    return rows.select("lang", "gram", F.coalesce(mixed, F.col("p")).alias("p"))
+    levels = [counts]
+    for k in range(order, 1, -1):
+        below = levels[0].groupBy("lang", _suffix(k).alias("gram")).agg(F.count_if(F.col("n") > 0).alias("n"))
+        levels.insert(0, materialize(below, "gram-counts"))
+    known = None
+    for k, level in enumerate(levels, 1):
+        known = _mixed(level, known, k)
+        known = known if k == order else materialize(known, "probabilities")
+    return known
 
 
 _SCORE_DDL = "doc_id long, lang string, row_hash long, trusted boolean, held_out boolean, n_chars long, perplexity double"
@@ -332,8 +342,8 @@ def score_documents(
     grams = stored.filter("path is null").select("block", "lang", "gram", "n")
     places = stored.filter("path is not null").select(F.col("block").alias("at_block"), "path", "begin", "size")
     totals = materialize(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram-counts")
-    probabilities = _probabilities(totals.filter("n > 0"), totals.select("lang", "gram"), settings.order)
-    trained = totals.filter("n > 0").select("lang").distinct()
+    probabilities = _probabilities(totals, settings.order)
+    trained = materialize(totals.filter("n > 0").select("lang").distinct(), "trained")
     known = materialize(probabilities.join(trained, "lang", "left_semi"), "probabilities")
     answers = grams.select("block", "lang", "gram").join(known, ["lang", "gram"])
     scored = (
@@ -346,7 +356,7 @@ def score_documents(
         (F.percentile_approx("perplexity", settings.quantile, 10_000) * settings.slack).alias("threshold")
     )
     fine = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)) & (F.col("n_chars") > 0)
-    return scores.join(limits, "lang", "left").select(
+    return scores.join(materialize(limits, "limits"), "lang", "left").select(
         "doc_id", "lang", "n_chars", "perplexity", "threshold", fine.alias("kept"), "row_hash"
     )
 
