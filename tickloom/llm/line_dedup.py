@@ -54,14 +54,16 @@ def _cell(token: Column) -> Column:
     return F.shiftrightunsigned(token, LOW_BITS)
 
 
-def _by_rarity(lines: DataFrame) -> Callable[[Column], Column]:
+def _by_rarity(docs: DataFrame) -> Callable[[Column], Column]:
     """Renames tokens so that their order as numbers is that of rarity, and sorts them.
 
-    The upper 16 bits of a hash are its cell. Cells are ranked by how many tokens of all lines
-    fall into them, and the rank replaces them: names stay unique, and the table of ranks has the
-    same size for every input.
+    The upper 16 bits of a hash are its cell. Cells are ranked by how many pairs of neighbouring
+    words of all texts fall into them, and the rank replaces them: names stay unique, and the table
+    of ranks has the same size for every input. Words are taken across lines here, which any order allows.
     """
-    counted = lines.select(F.explode_outer("tokens").alias("token")).groupBy(_cell(F.col("token")).alias("cell")).count()
+    words = docs.select(_words(F.translate("text", "\n", " ")).alias("words"))
+    pairs = words.select(F.inline(F.arrays_zip("words", F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))).alias("next"))).alias("a", "b"))
+    counted = pairs.filter("b is not null").groupBy(_cell(F.xxhash64("a", "b")).alias("cell")).count()
     counts = {r["cell"]: r["count"] for r in counted.collect()}
     changes = [0] * CELLS
     for rank, cell in enumerate(sorted(range(CELLS), key=lambda c: (counts.get(c, 0), c))):
@@ -108,36 +110,58 @@ def _classes(described: DataFrame) -> DataFrame:
     return grouped.withColumn("id", F.monotonically_increasing_id())
 
 
-def _candidates(classes: DataFrame, percent: int) -> DataFrame:
+def _prefix_rows(classes: DataFrame) -> DataFrame:
+    doc = F.coalesce("place.doc_id", F.lit(-(1 << 63))).alias("doc")
+    return classes.select("id", "n", doc, F.posexplode("prefix").alias("at", "token"))
+
+
+def _meeting(classes: DataFrame) -> DataFrame:
+    """The prefix tokens that several classes have, with the first of these classes, their hub."""
+    rows = _prefix_rows(classes)
+    first = (F.min_by("id", "doc").alias("hub"), F.min_by("n", "doc").alias("hub_n"))
+    shared = rows.groupBy("token").agg(*first, F.min("id").alias("low"), F.max("id").alias("high"))
+    return rows.join(shared.filter("low < high").drop("low", "high"), "token")
+
+
+def _hub_pairs(meeting: DataFrame, percent: int) -> DataFrame:
+    """Every class with the hub that it meets under most tokens, if the two fit in size."""
+    fits = (F.col("n") * percent <= F.col("hub_n") * 100) & (F.col("hub_n") * percent <= F.col("n") * 100)
+    met = meeting.filter(fits & (F.col("id") != F.col("hub"))).groupBy("id", "hub").agg(F.count("*").alias("times"))
+    return met.groupBy(F.col("id").alias("id_b")).agg(F.max_by("hub", "times").alias("id_a")).select("id_a", "id_b")
+
+
+def _candidates(classes: DataFrame, percent: int, meeting: DataFrame | None = None, done: DataFrame | None = None) -> DataFrame:
     """Pairs of classes that pass prefix, position and length filters.
 
     Two sets that must share ``needed`` tokens share the first ``SHARED`` of them, or all if these
     are fewer, within prefixes longer by as many, less one, than for a single shared token. A
     shorter line needs only the part of its prefix that lines as long as itself or longer can
-    match. ``rest`` is how many tokens may still be shared from a place on.
+    match. ``rest`` is how many tokens may still be shared from a place on. ``meeting`` holds the
+    prefix tokens worth a look; no pair is asked for of which the later class is ``done``.
     """
-    rows = classes.select("id", "n", F.posexplode("prefix").alias("at", "token"))
-    short, long = (rows.select(*(F.col(c).alias(f"{c}_{side}") for c in rows.columns)) for side in "ab")
+    rows = _prefix_rows(classes) if meeting is None else meeting.select("id", "n", "doc", "at", "token")
+    asked = rows if done is None else rows.join(done, "id", "left_anti")
+    later, earlier = (x.select(*(F.col(c).alias(f"{c}_{side}") for c in rows.columns)) for x, side in ((asked, "b"), (rows, "a")))
     total = F.col("n_a") + F.col("n_b")
     needed = _ceil_of(total * percent, 100 + percent)
-    indexed = F.col("n_a") - _ceil_of(F.col("n_a") * 2 * percent, 100 + percent) + SHARED
+    n, least_at = F.least("n_a", "n_b"), F.least("at_a", "at_b")
+    a_shorter = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
     rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     both = (
         (F.col("token_a") == F.col("token_b"))
-        & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b"))))
-        & (F.col("n_b") * percent <= F.col("n_a") * 100)
-        # said of both sides at once, so that either side stays the same shuffle
-        & (F.col("at_a") < indexed + F.least(F.col("at_b"), F.lit(0)))
-        & (rest + F.least("at_a", "at_b") >= needed)
+        & ((F.col("doc_a") < F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("id_a") != F.col("id_b"))))
+        & (F.greatest("n_a", "n_b") * percent <= n * 100)
+        & (F.when(a_shorter, F.col("at_a")).otherwise(F.col("at_b")) < n - _ceil_of(n * 2 * percent, 100 + percent) + SHARED)
+        & (rest + least_at >= needed)
     )
     weight = F.when(needed >= SHARED, 1).otherwise(SHARED)
-    met = short.join(long, both).groupBy("id_a", "id_b").agg(F.sum(weight).alias("shared"))
+    met = earlier.join(later, both).groupBy("id_a", "id_b").agg(F.sum(weight).alias("shared"))
     return met.filter(F.col("shared") >= SHARED).select("id_a", "id_b")
 
 
-def _possible(classes: DataFrame, percent: int) -> DataFrame:
+def _possible(classes: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
     """The candidates whose parity bits differ no more than two sets that match can."""
-    pairs = materialize(_candidates(classes, percent), "line-candidates")
+    pairs = materialize(candidates, "line-candidates")
     for side in "ab":
         pairs = pairs.join(classes.select(*(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "parity", "place"))), f"id_{side}")
     total = F.col("n_a") + F.col("n_b")
@@ -169,13 +193,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return compared.filter((100 + percent) * F.col("shared") >= percent * F.col("total")).select("later").distinct()
 
 
-def _later_classes(docs: DataFrame, classes: DataFrame, percent: int, min_words: int) -> DataFrame:
-    """Ids of the classes that match one whose first line stands earlier.
+def _matched(docs: DataFrame, pairs: DataFrame, percent: int, min_words: int) -> DataFrame:
+    """``id`` of the classes in the pairs that match one whose first line stands earlier.
 
     One match is enough. So every class is compared with one candidate first, and only those
     that it doesn't match go on to all others; sets move once a class and not once a pair.
     """
-    pairs = _possible(classes, percent)
     sets = _class_sets(docs, pairs, min_words)
     a_first = F.col("place_a") < F.col("place_b")
     earlier, later = (F.when(a_first, F.col(x)).otherwise(F.col(y)) for x, y in (("id_a", "id_b"), ("id_b", "id_a")))
@@ -186,13 +209,26 @@ def _later_classes(docs: DataFrame, classes: DataFrame, percent: int, min_words:
     return known.unionByName(_verified(materialize(rest, "line-rest"), sets, percent)).select(F.col("later").alias("id"))
 
 
+def _later_classes(docs: DataFrame, classes: DataFrame, percent: int, min_words: int) -> DataFrame:
+    """Ids of the classes that match one whose first line stands earlier.
+
+    Every class is first compared with the earliest one it meets under most of its tokens. That
+    settles groups of near copies without all their pairs; only classes without a match there are
+    compared with all earlier ones under their tokens.
+    """
+    meeting = materialize(_meeting(classes), "line-meeting")
+    near = materialize(_matched(docs, _possible(classes, _hub_pairs(meeting, percent), percent), percent, min_words), "line-near")
+    far = _matched(docs, _possible(classes, _candidates(classes, percent, meeting, near), percent), percent, min_words)
+    return near.unionByName(far).distinct()
+
+
 def find_later_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame:
     """``row`` and ``lines``: the numbers of a document's lines that have a match earlier.
 
     ``docs`` has ``doc_id``, ``row`` (a hash of the whole row) and ``text``; the order of lines is
     that of id, row and number.
     """
-    ordered = _lines(docs, min_words, _by_rarity(_lines(docs, min_words)))
+    ordered = _lines(docs, min_words, _by_rarity(docs))
     described = materialize(_described(ordered, percent), "lines")
     classes = materialize(_classes(described), "line-classes")
     later = materialize(_later_classes(docs, classes, percent, min_words), "later-classes").withColumn("later", F.lit(True))
