@@ -8,7 +8,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm.line_dedup import _candidates, _classes, _described, _hub_pairs, _lines, _meeting, dedup_lines
+from tickloom.llm import line_dedup
+from tickloom.llm.line_dedup import _candidates, _classes, _described, _lines, dedup_lines
 from tickloom.llm.queries import op6_line_dedup
 from tickloom.settings import materialize, scratch_path
 
@@ -133,13 +134,10 @@ def test_tables_of_the_search_go_with_it(spark):
     assert sorted(r.text for r in got.collect()) == ["b", f"{line}\na"]
 
 
-def test_near_copies_are_settled_by_their_first(spark):
-    base = [f"w{i}" for i in range(40)]
-    texts = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(30)]
-    docs = spark.createDataFrame([(i, i, text) for i, text in enumerate(texts)], "doc_id long, row long, text string")
-    classes = materialize(_classes(_described(_lines(docs, 5, F.sort_array), 80)))
-    meeting = materialize(_meeting(classes))
-    assert _candidates(classes, 80).count() > 100
-    assert _hub_pairs(meeting, 80).count() < 30
-    first = classes.filter("place.doc_id = 0").select("id").first().id
-    assert _candidates(classes, 80, meeting, classes.filter(F.col("id") != first).select("id")).count() == 0
+def test_rarity_is_counted_without_token_sets(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, 1, "a b a b\nc d"), (2, 2, None), (3, 3, "")], "doc_id long, row long, text string")
+    monkeypatch.setattr(line_dedup, "_tokens", None)
+    order = line_dedup._by_rarity(docs)
+    head, other = F.xxhash64(F.lit("a"), F.lit("b")), F.xxhash64(F.lit("c"), F.lit("d"))
+    got = spark.range(1).select(order(F.array(head, other)).alias("both"), order(F.array(other)).alias("rare")).first()
+    assert got.both[0] == got.rare[0] and len(set(got.both)) == 2
