@@ -174,3 +174,12 @@ def test_added_tokens_as_the_library_by_default():
     texts = ["a<|endoftext|>b", "<|endoftext|>", " x <|endoftext|><|endoftext|> y", "<|endoftext|", None, "plain words", "a\n<|endoftext|> \n b "]
     for text, packed in zip(texts, encoder.encode(texts)):
         assert np.frombuffer(packed, encoder.dtype).tolist() == whole.encode(text or "", add_special_tokens=False).ids
+
+
+def test_remembered_words_are_bounded_within_a_batch():
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
+    texts = [" ".join(words), "x " + " ".join(f"{w}." for w in words), "even  blanks", "line \n  end ", "a　 b", None, ""]
+    whole, encoder = Tokenizer.from_file(PATH), ChunkEncoder(PATH, most=50)
+    got = [np.frombuffer(ids, encoder.dtype).tolist() for ids in encoder.encode(texts)]
+    assert got == [whole.encode(text or "", add_special_tokens=False).ids for text in texts]
+    assert len(encoder._words) <= 51

@@ -68,6 +68,21 @@ def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(rolled)
 
 
+class _Uneven(Exception):
+    """A text in which blanks meet, or which ends in one, so that its words aren't its chunks."""
+
+
+class _Words(dict):
+    """Encoded words, each with a space before it; a new one is learned when it is first asked for."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        super().__init__()
+        self._learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        return self._learn(word)
+
+
 class ChunkCache:
     """Whole texts encoded chunk by chunk, each distinct chunk once while it is remembered.
 
@@ -77,7 +92,7 @@ class ChunkCache:
 
     def __init__(self, encode_match: Callable[[str], bytes], matches: Callable[[str], list[str]], most: int):
         self._encode_match, self._matches, self._most = encode_match, matches, most
-        self._words: dict[str, bytes] = {}
+        self._words = _Words(self._learn)
         self._chunks: dict[str, bytes] = {}
         self._marks: dict[str, bytes] = {}
 
@@ -95,33 +110,27 @@ class ChunkCache:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Encoded texts; a null text is empty."""
-        out: list[bytes] = []
-        words, spans = [], []
-        for text in texts:
-            if not text or _UNEVEN(text):
-                spans.append((self._pieces(text or ""), len(words)))
-            else:
-                first, *rest = text.split(" ")
-                words += rest
-                spans.append((self._pieces(first), len(words)))
-        found = list(map(self._words.get, words))
-        if None in found:
-            missing = [i for i, value in enumerate(found) if value is None]
-            self._learn({words[i] for i in missing})
-            for i in missing:
-                known = self._words.get(words[i])
-                found[i] = self._pieces(" " + words[i]) if known is None else known
-        begin = 0
-        for head, end in spans:
-            out.append(head + b"".join(found[begin:end]))
-            begin = end
-        return out
-
-    def _learn(self, words: set[str]) -> None:
-        plain = [word for word in words if word.split() == [word]]
-        if len(self._words) + len(plain) > self._most:
+        return [self._text(text) if text else b"" for text in texts]
+
+    def _text(self, text: str) -> bytes:
+        first, *words = text.split(" ")
+        if first[-1:].isspace():
+            return self._pieces(text)
+        try:
+            return self._pieces(first) + b"".join(map(self._words.__getitem__, words))
+        except _Uneven:
+            return self._pieces(text)
+
+    def _learn(self, word: str) -> bytes:
+        """A word's code, remembered if it is a chunk by itself."""
+        if not word or word[-1].isspace():
+            raise _Uneven
+        if not (word.isalpha() or word.split() == [word]):
+            return self._pieces(" " + word)
+        if len(self._words) >= self._most:
             self._words.clear()
-        self._words.update((word, self._word(word)) for word in plain)
+        known = self._words[word] = self._word(word)
+        return known
 
     def _word(self, word: str) -> bytes:
         """A word with a space before it; letters and a last mark are split as the pattern would."""
@@ -176,7 +185,6 @@ class ChunkEncoder(ChunkCache):
         self._code = "H" if self.dtype.itemsize == 2 else "I"
         self._symbols = byte_symbols()
         self._blank = self._symbols[32]
-        self._packed = [self.pack([i]) for i in range(tokenizer.get_vocab_size())]
         added = tokenizer.get_added_tokens_decoder()
         if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
             raise ValueError(f"{path} has added tokens that are not matched literally")
@@ -205,7 +213,7 @@ class ChunkEncoder(ChunkCache):
         return [t.id for t in self._tokenize(spelled)]
 
     def _new_match(self, match: str) -> bytes:
-        return b"".join(map(self._packed.__getitem__, self._ids(match)))
+        return array(self._code, self._ids(match)).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
