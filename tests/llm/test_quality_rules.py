@@ -84,3 +84,14 @@ def test_a_line_in_many_texts_is_common_on_a_large_host(spark):
     rows = [(i, f"own line number {i}" + "\nshared by a few of many" * (i < 15), "big", "k", "r", "h") for i in range(400)]
     got = {r.doc_id: r.common_words for r in measure_quality(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {i: 6 * (i < 15) for i in range(400)}
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    line = "this one line stands in all of the texts"
+    rows = [(i, f"h{i % 2}", f"{line}\n" + " ".join(f"w{i}x{j}" for j in range(60))) for i in range(30)]
+    rows += [(0, "h0", "too short"), (40, "h0", "short too"), (None, "h0", "no id"), (None, "h1", rows[1][2]), (41, "h2", " ".join(f"v{j}" for j in range(70)))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = apply_quality(docs)
+    assert "getbit" in got._jdf.queryExecution().optimizedPlan().toString()  # texts of other rows don't move
+    want = [(i, h, t.removeprefix(f"{line}\n")) for i, h, t in rows if len(t.split()) >= 50]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)

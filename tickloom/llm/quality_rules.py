@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import unused
+from tickloom.llm.common import id_bitmaps, unused, with_membership
 from tickloom.settings import materialize
 
 SYMBOLS = "#*$%&|<>"
@@ -191,15 +191,24 @@ def apply_quality(
 ) -> DataFrame:
     """``docs`` without the rejected ones, and without the lines that are common on their host.
 
-    All columns stay; the cases of :func:`measure_quality` hold.
+    All columns stay; the cases of :func:`measure_quality` hold. Texts move only where lines go, or
+    where rows that share an id, or have none, must be told apart.
     """
-    verdicts = measure_quality(docs, limits, id_col, text_col, host_col)
     row, kept, lines = (unused(docs, name) for name in ("row_hash", "kept", "common_lines"))
-    acted = verdicts.filter(~F.col("kept") | F.col("common_lines").isNotNull()).select(
-        F.col("row_hash").alias(row), F.col("kept").alias(kept), F.col("common_lines").alias(lines)
-    )
-    acted = materialize(acted.dropDuplicates([row]), "verdicts")
-    joined = docs.withColumn(row, row_hash(id_col, host_col, text_col)).join(acted, row, "left")
+    measured = measure_quality(docs, limits, id_col, text_col, host_col)
+    verdicts = materialize(measured.select("doc_id", "row_hash", "kept", "common_lines"), "verdicts")
+    acted = verdicts.filter(~F.col("kept") | F.col("common_lines").isNotNull())
+    ids = {"acted_id": id_bitmaps(acted, "doc_id"), "kept_id": id_bitmaps(verdicts.filter("kept"), "doc_id")}
+    acted = acted.select(F.col("row_hash").alias(row), F.col("kept").alias(kept), F.col("common_lines").alias(lines))
+    acted = materialize(acted.dropDuplicates([row]), "acted")
+    flagged, flags = docs, []
+    for name, bitmaps in ids.items():
+        flags.append(unused(flagged, name))
+        flagged = with_membership(flagged, id_col, bitmaps, flags[-1])
+    is_acted, is_kept = map(F.col, flags)
+    moved = flagged.filter(F.col(id_col).isNull() | (is_acted & is_kept)).select(*docs.columns)
+    joined = moved.withColumn(row, row_hash(id_col, host_col, text_col)).join(acted, row, "left")
     left = joined.filter(F.coalesce(kept, F.lit(True)))
     drop = partial(_drop_lines, text_at=docs.columns.index(text_col))
-    return left.select(*docs.columns, lines).mapInArrow(drop, docs.schema)
+    changed = left.select(*docs.columns, lines).mapInArrow(drop, docs.schema)
+    return changed.unionByName(flagged.filter(F.col(id_col).isNotNull() & ~is_acted).select(*docs.columns))
