@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm.line_dedup import _candidates, _classes, _described, _lines, dedup_lines
+from tickloom.llm.line_dedup import _candidates, _classes, _described, _hub_pairs, _lines, dedup_lines
 from tickloom.llm.queries import op6_line_dedup
 from tickloom.settings import materialize, scratch_path
 
@@ -131,3 +131,19 @@ def test_tables_of_the_search_go_with_it(spark):
     got = dedup_lines(docs)
     assert sorted({p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before}) == ["bitmaps", "gone-lines"]
     assert sorted(r.text for r in got.collect()) == ["b", f"{line}\na"]
+
+
+def test_near_copies_meet_in_hubs(spark):
+    random_ = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(80):
+        words = list(base)
+        for _ in range(2):
+            words[random_.randrange(60)] = f"x{i}"
+        rows.append((i, i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, row long, text string")
+    classes = materialize(_classes(_described(_lines(docs, 5), 80)))
+    assert 79 <= _hub_pairs(classes).count() <= 4 * 80
+    settled = classes.withColumn("done", F.col("place.doc_id") > 2)
+    assert _candidates(settled, 80).count() <= 3 < 1000 < _candidates(classes, 80).count()

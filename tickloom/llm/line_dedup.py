@@ -108,15 +108,39 @@ def _classes(described: DataFrame) -> DataFrame:
     return grouped.withColumn("id", F.monotonically_increasing_id())
 
 
+def _first_doc() -> Column:
+    """Document of a class's first line, as a number that orders classes of different documents."""
+    return F.coalesce("place.doc_id", F.lit(-(1 << 63))).alias("doc")
+
+
+def _hub_pairs(classes: DataFrame) -> DataFrame:
+    """Every class with the earliest one under each of four of its prefix tokens.
+
+    The four are the first and last two by the bits below the cell, which are the same for most
+    members of a group of near copies. There are at most four pairs a class, however many meet.
+    """
+    below = F.transform("prefix", lambda t: F.coalesce(F.call_function("shiftleft", t, F.lit(64 - LOW_BITS)), F.lit(0).cast("long")))
+    mixed = classes.select("id", _first_doc(), F.sort_array(below).alias("mixed"))
+    few = F.array_distinct(F.concat(F.slice("mixed", 1, 2), F.slice("mixed", F.greatest(F.size("mixed") - 1, F.lit(1)), F.lit(2))))
+    rows = mixed.select("id", "doc", F.explode(few).alias("token"))
+    hubs = rows.groupBy("token").agg(F.min_by("id", "doc").alias("hub"), F.count("*").alias("times")).filter("times > 1")
+    met = rows.join(hubs.select("token", "hub"), "token").filter(F.col("id") != F.col("hub"))
+    return met.select(F.col("hub").alias("id_a"), F.col("id").alias("id_b")).distinct()
+
+
 def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes that pass prefix, position and length filters.
 
+    Classes may have a column ``done``; pairs of which the later one is done are left out, unless
+    both are of one document and one of them isn't.
+
     Two sets that must share ``needed`` tokens share the first ``SHARED`` of them, or all if these
     are fewer, within prefixes longer by as many, less one, than for a single shared token. A
     shorter line needs only the part of its prefix that lines as long as itself or longer can
     match. ``rest`` is how many tokens may still be shared from a place on.
     """
-    rows = classes.select("id", "n", F.posexplode("prefix").alias("at", "token"))
+    done = F.col("done") if "done" in classes.columns else F.lit(False)
+    rows = classes.select("id", "n", done.alias("done"), _first_doc(), F.posexplode("prefix").alias("at", "token"))
     short, long = (rows.select(*(F.col(c).alias(f"{c}_{side}") for c in rows.columns)) for side in "ab")
     total = F.col("n_a") + F.col("n_b")
     needed = _ceil_of(total * percent, 100 + percent)
@@ -126,6 +150,7 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
         (F.col("token_a") == F.col("token_b"))
         & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b"))))
         & (F.col("n_b") * percent <= F.col("n_a") * 100)
+        & ~((F.col("done_a") | (F.col("doc_a") < F.col("doc_b"))) & (F.col("done_b") | (F.col("doc_b") < F.col("doc_a"))))
         # said of both sides at once, so that either side stays the same shuffle
         & (F.col("at_a") < indexed + F.least(F.col("at_b"), F.lit(0)))
         & (rest + F.least("at_a", "at_b") >= needed)
@@ -135,20 +160,21 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     return met.filter(F.col("shared") >= SHARED).select("id_a", "id_b")
 
 
-def _possible(classes: DataFrame, percent: int) -> DataFrame:
-    """The candidates whose parity bits differ no more than two sets that match can."""
-    pairs = materialize(_candidates(classes, percent), "line-candidates")
+def _possible(classes: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+    """The candidates, as earlier and later one, whose parity bits differ no more than two sets that match can."""
+    pairs = materialize(candidates, "line-candidates")
     for side in "ab":
         pairs = pairs.join(classes.select(*(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "parity", "place"))), f"id_{side}")
     total = F.col("n_a") + F.col("n_b")
     differing = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b")))
-    fits = pairs.filter(differing <= total - 2 * _ceil_of(total * percent, 100 + percent))
-    return materialize(fits.select("id_a", "id_b", "place_a", "place_b"), "line-pairs")
+    fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (differing <= total - 2 * _ceil_of(total * percent, 100 + percent))
+    ends = [F.struct(F.col(f"place_{side}").alias("place"), F.col(f"id_{side}").alias("id")) for side in "ab"]
+    return pairs.filter(fits).select(F.least(*ends).alias("earlier"), F.greatest(*ends).alias("later"))
 
 
 def _class_sets(docs: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
     """``id`` and ``tokens`` of the classes in the pairs, from the documents of their first lines."""
-    ends = pairs.select(F.explode(F.array(*(F.struct(F.col(f"id_{s}").alias("id"), F.col(f"place_{s}").alias("place")) for s in "ab"))).alias("end"))
+    ends = pairs.select(F.explode(F.array("earlier", "later")).alias("end"))
     asked = materialize(ends.select("end.id", "end.place").distinct(), "lines-asked")
     member = unused(docs, "is_member")
     held = with_membership(docs, "doc_id", id_bitmaps(asked.select("place.doc_id"), "doc_id"), member)
@@ -169,23 +195,38 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return compared.filter((100 + percent) * F.col("shared") >= percent * F.col("total")).select("later").distinct()
 
 
-def _later_classes(docs: DataFrame, classes: DataFrame, percent: int, min_words: int) -> DataFrame:
-    """Ids of the classes that match one whose first line stands earlier.
+def _matched(docs: DataFrame, pairs: DataFrame, percent: int, min_words: int) -> DataFrame:
+    """``id`` of the later classes of the pairs that match the earlier one.
 
     One match is enough. So every class is compared with one candidate first, and only those
     that it doesn't match go on to all others; sets move once a class and not once a pair.
     """
-    pairs = _possible(classes, percent)
     sets = _class_sets(docs, pairs, min_words)
-    a_first = F.col("place_a") < F.col("place_b")
-    earlier, later = (F.when(a_first, F.col(x)).otherwise(F.col(y)) for x, y in (("id_a", "id_b"), ("id_b", "id_a")))
-    directed = pairs.select(earlier.alias("earlier"), later.alias("later"))
+    directed = pairs.select(F.col("earlier.id").alias("earlier"), F.col("later.id").alias("later"))
     tried = materialize(directed.groupBy("later").agg(F.min("earlier").alias("earlier")), "line-firsts")
     known = materialize(_verified(tried, sets, percent), "line-firsts-known")
     rest = directed.join(known, "later", "left_anti").join(tried, ["later", "earlier"], "left_anti")
     return known.unionByName(_verified(materialize(rest, "line-rest"), sets, percent)).select(F.col("later").alias("id"))
 
 
+def _later_classes(docs: DataFrame, classes: DataFrame, percent: int, min_words: int) -> DataFrame:
+    """Ids of the classes that match one whose first line stands earlier.
+
+    A first round compares each class with the earliest one under a few of its tokens, which
+    settles most of a group of near copies without all its pairs. The second takes all pairs
+    under a token but those of two settled classes, and verifies those whose later one is not
+    settled; no match is lost between them.
+    """
+    pairs = materialize(_possible(classes, _hub_pairs(classes), percent), "line-pairs")
+    near = materialize(_matched(docs, pairs, percent, min_words), "line-near")
+    done = id_bitmaps(near, "id")
+    open_ = _candidates(with_membership(classes.select("id", "n", "place", "prefix"), "id", done, "done"), percent)
+    pairs = _possible(classes, open_, percent)
+    pairs = with_membership(pairs.withColumn("id", F.col("later.id")), "id", done, "done").filter(~F.col("done"))
+    pairs = materialize(pairs.select("earlier", "later"), "line-pairs")
+    return near.unionByName(_matched(docs, pairs, percent, min_words))
+
+
 def find_later_lines(docs: DataFrame, percent: int = 80, min_words: int = 5) -> DataFrame:
     """``row`` and ``lines``: the numbers of a document's lines that have a match earlier.
 
